@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave import schema
 from kinweave.functions.records import RECORD_KINDS, canonical_json, parse_ts, valid_provenance
 from kinweave.functions.text import is_blank, strip
+from kinweave.session import materialize
 
 _TEXT_KEYS = ("id", "kn", "cl", "bc", "gv", "wn", "tn", "rf", "pv", "ts", "ss")
 
@@ -119,14 +120,19 @@ def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     different one is an error, because one of the two records would be lost. The
     winner is found with an aggregate rather than a window, so an id that was
     appended endlessly is reduced before the shuffle.
+
+    The checked lines are written once: records and errors both read them, and
+    filters on the outcome do not drag the JSON parsing along with them.
     """
-    checked = _decode(lines).withColumn("problems", _problems())
+    fields = [f.name for f in schema.WIRE_RECORD.fields]
+    checked = materialize(
+        _decode(lines).select(*fields, "id_type", _problems().alias("problems")), "checked-log"
+    )
     invalid = checked.filter(F.size("problems") > 0).select(
         "line",
         F.when(F.col("id_type") == "STRING", F.col("id")).alias("id"),
         F.explode("problems").alias("message"),
     )
-    fields = [f.name for f in schema.WIRE_RECORD.fields]
     valid = checked.filter(F.size("problems") == 0).select(*fields)
     first = (
         valid.withColumn("canonical", canonical_json())
