@@ -8,12 +8,17 @@ text. Every adapter reads whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.graph import CodeGraph
 from kinweave.operators.records import apply_index, index_records
 from kinweave.operators.resolve import contains_edges
+from kinweave.session import shared_dir
+from kinweave.sources.tables import load_graph, save_graph
 
 lit, col = F.lit, F.col
 
@@ -111,8 +116,6 @@ def busiest_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as parsed log records: several kinds, provenances and subjects, with supersede links."""
-    from pyspark.sql import Window
-
     n_parts = table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
     targets = symbols(spark, sf_dir).select(col("k").alias("s"), col("id").alias("symbol_id"), col("file_path"))
     e, user = col("event_id"), col("user_id")
@@ -173,19 +176,40 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(path.alias("path")).unionByName(code)
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _indexed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], CodeGraph]) -> CodeGraph:
+    """Index once, query many times: the graph is written to shared storage on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/kinweave/graph-{name}-{uuid.uuid4().hex}"
+        save_graph(build(), path)
+        _stored[key] = path
+    return load_graph(spark, _stored[key])
+
+
 def code_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """Symbols, files and code edges."""
-    nodes = symbols(spark, sf_dir).drop("k")
-    return CodeGraph.from_tables(
-        spark, symbols=nodes, files=files(spark, sf_dir), calls=calls(spark, sf_dir),
-        extends=extends(spark, sf_dir), contains=contains_edges(nodes),
-    )
+
+    def build() -> CodeGraph:
+        nodes = symbols(spark, sf_dir).drop("k")
+        return CodeGraph.from_tables(
+            spark, symbols=nodes, files=files(spark, sf_dir), calls=calls(spark, sf_dir),
+            extends=extends(spark, sf_dir), contains=contains_edges(nodes),
+        )
+
+    return _indexed(spark, sf_dir, "code", build)
 
 
 def knowledge_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """The code graph with the record log indexed into it."""
-    graph = code_graph(spark, sf_dir)
-    return apply_index(graph, index_records(graph, log_records(spark, sf_dir), listing(spark, sf_dir)))
+
+    def build() -> CodeGraph:
+        graph = code_graph(spark, sf_dir)
+        return apply_index(graph, index_records(graph, log_records(spark, sf_dir), listing(spark, sf_dir)))
+
+    return _indexed(spark, sf_dir, "knowledge", build)
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

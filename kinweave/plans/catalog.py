@@ -387,7 +387,7 @@ def debounce_batches(s, d):
 
 @query
 def path_filter(s, d):
-    page = F.regexp_extract(a.table(s, d, "pages")["url"], r"^https?://([^?]*)", 1).alias("path")
+    page = F.regexp_extract("url", r"^https?://([^?]*)", 1).alias("path")
     ignored = paths.watch_ignored(col("path"), ["fr", "es"], "de")
     return a.table(s, d, "pages").select("page_id", page).select(
         "page_id", ignored.cast("int").alias("ignored"),

@@ -384,11 +384,11 @@ def _generated(ext: str) -> str:
   SELECT c, stem || '{ext}' AS path, CASE WHEN c = 0 THEN 0 ELSE (c - 1) // 3 END AS p, c + 1 AS n, count(*) FILTER (j > 0) AS blocks
   FROM members GROUP BY c, stem),
 methods AS (
-  SELECT m.c, path, p, n, method, path || '::C' || m.c || '.' || method AS id, {header} + {block} * (j - 1) + 1 AS at
+  SELECT m.c, path, p, n, method, path || '::C' || m.c || '.' || method AS id, {header} + {block} * (j - 1) + 1 AS first_line
   FROM members m JOIN groups USING (c) WHERE j > 0),
 found AS (
   SELECT path, 'C' || c AS fqn, 'class' AS kind, 3 AS line_start, {header} + {block} * blocks + {1 if ext != '.py' else 0} AS line_end FROM groups
-  UNION ALL SELECT path, 'C' || c || '.' || method, 'method', at + {first - 1}, at + {block} - 1 FROM methods
+  UNION ALL SELECT path, 'C' || c || '.' || method, 'method', first_line + {first - 1}, first_line + {block} - 1 FROM methods
   {{more}})"""
 
 
@@ -404,13 +404,13 @@ oracle("ts_symbols", _FOUND, _generated(".ts").replace("{more}", _ROOT.format(ct
 oracle("php_symbols", _FOUND, _generated(".php").replace("{more}", _ROOT.format(ctor="__construct", header=7)))
 oracle("python_symbols", _FOUND, _generated(".py").replace("{more}", _PY))
 _REFS = """
-SELECT id AS caller_id, 'C' || c || '.shared' AS target_name, 'static_call' AS kind, at + 1 AS line FROM methods
-UNION ALL SELECT id, 'C' || n || '.shared', 'static_call', at + 2 FROM methods
-UNION ALL SELECT id, 'parent::shared', 'static_call', at + 3 FROM methods
-UNION ALL SELECT id, 'C' || n || '.make', 'static_call', at + 4 FROM methods
-UNION ALL SELECT id, 'C' || n, 'instantiation', at + 5 FROM methods
-UNION ALL SELECT id, 'C' || p || '.shared', 'static_call', at + 6 FROM methods
-UNION ALL SELECT id, 'C' || c || '.own' || p, 'static_call', at + 7 FROM methods"""
+SELECT id AS caller_id, 'C' || c || '.shared' AS target_name, 'static_call' AS kind, first_line + 1 AS line FROM methods
+UNION ALL SELECT id, 'C' || n || '.shared', 'static_call', first_line + 2 FROM methods
+UNION ALL SELECT id, 'parent::shared', 'static_call', first_line + 3 FROM methods
+UNION ALL SELECT id, 'C' || n || '.make', 'static_call', first_line + 4 FROM methods
+UNION ALL SELECT id, 'C' || n, 'instantiation', first_line + 5 FROM methods
+UNION ALL SELECT id, 'C' || p || '.shared', 'static_call', first_line + 6 FROM methods
+UNION ALL SELECT id, 'C' || c || '.own' || p, 'static_call', first_line + 7 FROM methods"""
 for _lang, _ext in (("ts", ".ts"), ("php", ".php")):
     _views = _generated(_ext).replace("{more}", "")
     oracle(f"{_lang}_call_refs", _REFS, _views)
@@ -418,10 +418,10 @@ for _lang, _ext in (("ts", ".ts"), ("php", ".php")):
 SELECT path AS file_path, 'C' || c AS child, 'C' || p AS parent FROM groups
 UNION ALL SELECT path, 'C' || c, 'Root' || c FROM groups""", _views)
 oracle("python_call_refs", """
-SELECT id AS caller_id, 'C' || c || '.shared' AS target_name, 'static_call' AS kind, at + 2 AS line FROM methods
-UNION ALL SELECT id, 'C' || n || '.make', 'static_call', at + 3 FROM methods
-UNION ALL SELECT id, 'C' || n, 'instantiation', at + 4 FROM methods
-UNION ALL SELECT id, 'helper', 'static_call', at + 5 FROM methods""", _generated(".py").replace("{more}", ""))
+SELECT id AS caller_id, 'C' || c || '.shared' AS target_name, 'static_call' AS kind, first_line + 2 AS line FROM methods
+UNION ALL SELECT id, 'C' || n || '.make', 'static_call', first_line + 3 FROM methods
+UNION ALL SELECT id, 'C' || n, 'instantiation', first_line + 4 FROM methods
+UNION ALL SELECT id, 'helper', 'static_call', first_line + 5 FROM methods""", _generated(".py").replace("{more}", ""))
 
 # --- indexing -----------------------------------------------------------------
 

@@ -22,15 +22,13 @@ BUCKET_KEYS = {
 }
 
 
-def save_graph(graph: CodeGraph, path: str, only: list[str] | None = None) -> None:
-    """Write the graph tables below ``path``.
+def save_graph(graph: CodeGraph, path: str) -> None:
+    """Write the graph tables below ``path``, a new folder per build.
 
-    Tables are written aside first: the graph may have been read from ``path``.
+    Readers of an earlier build keep their files; nothing is overwritten.
     """
-    chosen = {n: df for n, df in graph.tables().items() if only is None or n in only}
-    staged = {name: materialize(df, f"save-{name}") for name, df in chosen.items()}
-    for name, df in staged.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, df in graph.tables().items():
+        df.write.parquet(f"{path}/{name}")
 
 
 def load_graph(spark: SparkSession, path: str) -> CodeGraph:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,18 +43,20 @@ def flush_batches(events: DataFrame, key: str = "root", item: str = "path", gap_
     key lie more than a gap apart, so a slot meets at most two of them: the join
     stays linear, and a busy key is spread over its slots.
     """
-    slot = (F.unix_micros("ts") / F.lit(gap_seconds * 1_000_000)).cast("bigint")
+    zoneless = dict(events.dtypes)["ts"] == "timestamp_ntz"
+
+    def slot(at: Column) -> Column:
+        day = F.unix_date(F.to_date(at)) * 86400
+        clock = day + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+        return F.floor((clock if zoneless else F.unix_seconds(at)) / gap_seconds)
+
     bursts = flush_windows(events, key, f"{gap_seconds} seconds")
     last = F.expr(f"end - interval {gap_seconds} seconds")
-    width = F.lit(gap_seconds * 1_000_000)
     slots = bursts.select(
-        key, "start", last.alias("last"),
-        F.explode(
-            F.sequence((F.unix_micros("start") / width).cast("bigint"), (F.unix_micros(last) / width).cast("bigint"))
-        ).alias("slot"),
+        key, "start", last.alias("last"), F.explode(F.sequence(slot(F.col("start")), slot(last))).alias("slot")
     )
     return (
-        events.select(key, item, "ts", slot.alias("slot"))
+        events.select(key, item, "ts", slot(F.col("ts")).alias("slot"))
         .join(slots, [key, "slot"])
         .filter((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("last")))
         .groupBy(key, "start", item)
