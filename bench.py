@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from kinweave import adapters
@@ -44,6 +45,7 @@ def main() -> None:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
         seconds[name] = round(statistics.median(runs[1:]), 3)
+        print(name, [round(r, 2) for r in runs], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

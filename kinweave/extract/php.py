@@ -57,8 +57,8 @@ def _scan(files: DataFrame) -> DataFrame:
     files = files.select(
         "file_path", "text", F.col("text").rlike(_BRACED_NAMESPACE).cast("int").alias("base")
     )
-    rows = neighbours(tokenize(files, TOKEN, _COMMENT, separator=_TAG), back=4, ahead=5)
-    rows = rows.withColumn("depth", _col("depth") - _col("base")).withColumn("word", F.lower("tok"))
+    rows = neighbours(tokenize(files, TOKEN, _COMMENT, separator=_TAG), back=range(1, 2), ahead=range(1, 3))
+    rows = rows.withColumns({"depth": _col("depth") - _col("base"), "word": F.lower("tok")}).drop("base", "newline")
     tok, word, p1, n1, n2 = _col("tok"), _col("word"), _col("p1"), _col("n1"), _col("n2")
     attribute = F.startswith(tok, F.lit("#["))
     opener = is_ident("tok") | attribute
@@ -66,8 +66,12 @@ def _scan(files: DataFrame) -> DataFrame:
     # Top-level statements.
     rows = rows.withColumn("top", (_col("depth") == 0) & (_col("parens") == 0))
     rows = rows.withColumn("starts", _col("top") & opener & p1.isin("", ";", "}", "{"))
-    rows = rows.withColumn("stmt", F.sum(_col("starts").cast("int")).over(up_to()))
-    rows = rows.withColumn("leads", since(_col("starts"), _col("top") & ~word.isin(*_MODIFIERS) & ~attribute) == 0)
+    rows = rows.withColumns(
+        {
+            "stmt": F.sum(_col("starts").cast("int")).over(up_to()),
+            "leads": since(_col("starts"), _col("top") & ~word.isin(*_MODIFIERS) & ~attribute) == 0,
+        }
+    )
     # A declaration ends with the brace that closes its body.
     rows = rows.withColumn(
         "stmt_end",
@@ -91,11 +95,15 @@ def _scan(files: DataFrame) -> DataFrame:
     # Members.
     rows = rows.withColumn("member", _col("in_body") & (_col("depth") == 1) & (_col("parens") == 0))
     rows = rows.withColumn("begins", _col("member") & opener & p1.isin("{", ";", "}"))
-    rows = rows.withColumn("member_id", F.sum(_col("begins").cast("int")).over(up_to()))
-    rows = rows.withColumn("begin", carry(_col("begins"), F.struct("word", "line")))
-    rows = rows.withColumn(
-        "member_leads",
-        since(_col("begins"), _col("member") & ~word.isin(*_MEMBER_MODIFIERS) & ~attribute) == 0,
+    rows = rows.withColumns(
+        {
+            "member_id": F.sum(_col("begins").cast("int")).over(up_to()),
+            "begin": carry(_col("begins"), F.struct("word", "line")),
+            "clause": carry(_col("top") & word.isin("extends", "implements"), F.struct("stmt", "word")),
+            "member_leads": since(
+                _col("begins"), _col("member") & ~word.isin(*_MEMBER_MODIFIERS) & ~attribute
+            ) == 0,
+        }
     )
     body = (_col("depth") >= 1) & ~((_col("depth") == 1) & (tok == "}"))
     rows = rows.withColumn(
@@ -104,6 +112,7 @@ def _scan(files: DataFrame) -> DataFrame:
     )
     is_method = _col("member") & _col("member_leads") & (word == "function") & named
 
+    rows = neighbours(rows, back=range(2, 4), ahead=range(3, 6))
     # Typed properties: declared in the body or promoted in a parameter list.
     variable = F.startswith(tok, F.lit("$"))
     type_name = F.when(is_ident("p1") & ~F.lower(p1).isin(*_MEMBER_MODIFIERS) & ~_col("p2").isin("|", "&"), _simple("p1"))
@@ -120,7 +129,6 @@ def _scan(files: DataFrame) -> DataFrame:
     prop_type = F.coalesce(type_name, _col("declared_type.type"))
 
     # Parents: the extends clause of a class, used traits of a class or trait.
-    rows = rows.withColumn("clause", carry(_col("top") & word.isin("extends", "implements"), F.struct("stmt", "word")))
     base_class = (
         _col("in_class") & _col("top") & is_ident("tok") & (_col("clause.stmt") == _col("stmt"))
         & (_col("clause.word") == "extends") & (F.lower("p1") == "extends")

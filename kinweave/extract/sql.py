@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave import schema
+from kinweave.extract.tokens import place_by_file
 from kinweave.functions.text import sql_object_name
 
 # How each object kind is introduced, between CREATE and the name.
@@ -37,7 +38,7 @@ def sql_symbols(files: DataFrame) -> DataFrame:
     over a file's hits needs no shuffle of its own.
     """
     value = F.col("value")
-    lines = source_lines(files.repartition("file_path")).filter(
+    lines = source_lines(place_by_file(files)).filter(
         value.rlike(r"(?i)\bCREATE\s") & ~value.rlike(r"^\s*--")
     )
     hit = F.coalesce(

@@ -29,6 +29,15 @@ def up_to() -> Window:
     return in_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def place_by_file(files: DataFrame) -> DataFrame:
+    """Hash files over ``spark.sql.shuffle.partitions`` tasks.
+
+    The count is explicit so that adaptive execution does not merge partitions
+    by the size of the text: its tokens take many times that space and time.
+    """
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_path")
+
+
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -72,7 +81,7 @@ def tokenize(
         )
     others = [c for c in files.columns if c not in ("file_path", "text")]
     rows = (
-        files.repartition("file_path")
+        place_by_file(files)
         .select("file_path", *others, F.posexplode(tokens).alias("pos", "raw"))
         .withColumn("tok", F.regexp_replace("raw", r"\A\s+", ""))
         .withColumn("lead_nl", _newlines(F.expr("left(raw, length(raw) - length(tok))")))
@@ -94,13 +103,16 @@ def tokenize(
     )
 
 
-def neighbours(rows: DataFrame, back: int, ahead: int) -> DataFrame:
-    """Add ``p1..p<back>`` and ``n1..n<ahead>``: the tokens around each token, '' past the ends."""
-    for i in range(1, back + 1):
-        rows = rows.withColumn(f"p{i}", F.lag("tok", i, "").over(in_file()))
-    for i in range(1, ahead + 1):
-        rows = rows.withColumn(f"n{i}", F.lead("tok", i, "").over(in_file()))
-    return rows
+def neighbours(rows: DataFrame, back: range = range(0), ahead: range = range(0)) -> DataFrame:
+    """Add ``p<i>`` and ``n<i>``: the tokens ``i`` before and after each token, '' past the ends.
+
+    Every later window copies these columns, so a scan asks for distant tokens
+    only where it uses them.
+    """
+    return rows.withColumns(
+        {f"p{i}": F.lag("tok", i, "").over(in_file()) for i in back}
+        | {f"n{i}": F.lead("tok", i, "").over(in_file()) for i in ahead}
+    )
 
 
 def is_ident(column: str | Column) -> Column:

@@ -18,17 +18,17 @@ EXTENSIONS = (".ts", ".tsx", ".mts", ".cts")
 _BACKTICK = r"`(?:[^`\\$]++|\\(?s:.)|\$(?!\{)|\$\{(?:[^{}`]++|`[^`]*`|\{[^{}]*\})*+\}|\$\{)*+`"
 TOKEN = "|".join(
     [
+        r"#?[\p{L}_$][\p{L}\p{N}_$]*+",
         r"/\*(?s:.*?)(?:\*/|\z)",  # block comment
         r"//[^\n]*",  # line comment
         _BACKTICK,
         r'"(?:[^"\\\n]++|\\(?s:.))*+"',
         r"'(?:[^'\\\n]++|\\(?s:.))*+'",
         # regular expression literal, only where an operand may start
-        r"(?<=[(,=:;!&|?{}\[+~^%<>*-]\s{0,20})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*",
-        r"(?<=\breturn\s{1,5})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*",
+        r"(?=/)(?<=[(,=:;!&|?{}\[+~^%<>*-]\s{0,20})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*",
+        r"(?=/)(?<=\breturn\s{1,5})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*",
         r"\[[\w$.]+\](?=\s*[(<])",  # computed member name
-        r"(?<=[\w$])<(?:[^<>(){};=]|=(?!>)|<[^<>(){};]*>)*+>",  # type arguments
-        r"#?[\p{L}_$][\p{L}\p{N}_$]*+",
+        r"(?=<)(?<=[\w$])<(?:[^<>(){};=]|=(?!>)|<[^<>(){};]*>)*+>",  # type arguments
         r"[0-9][\w.]*+",
         r"=>|\?\.(?![0-9])|\.\.\.|\?\?|&&|\|\||\S",
     ]
@@ -80,11 +80,21 @@ def _simple_type(first: int) -> Column:
 
 
 def _scan(files: DataFrame) -> DataFrame:
-    rows = neighbours(
-        tokenize(files, TOKEN, r"\A(?://|/\*)", unfold=r"\A`(?s:.)*\$\{"), back=4, ahead=6
-    )
+    rows = tokenize(files, TOKEN, r"\A(?://|/\*)", unfold=r"\A`(?s:.)*\$\{")
+    rows = neighbours(rows, back=range(1, 5), ahead=range(1, 3))
     tok, p1, n1, n2 = _col("tok"), _col("p1"), _col("n1"), _col("n2")
-    word = is_ident("tok")
+    word = _col("word")
+    decorator = (
+        (tok == "@") | (p1 == "@") | ((_col("p2") == "@") & tok.isin("(", "."))
+        | ((_col("p3") == "@") & (p1 == ".")) | ((_col("p4") == "@") & (tok == "("))
+    )
+    rows = rows.withColumns(
+        {
+            "word": is_ident("tok"),
+            "decorator": decorator,
+            "accessible": p1.isin(*_ACCESS) | ((p1 == "readonly") & _col("p2").isin(*_ACCESS)),
+        }
+    ).drop("p2", "p3", "p4")
 
     # Top-level statements.
     top = (_col("depth") == 0) & (_col("parens") == 0)
@@ -93,14 +103,19 @@ def _scan(files: DataFrame) -> DataFrame:
         p1.isin("", ";") | ((p1 == "}") & tok.isin(*_MODIFIERS, *_DECLARE, "@")) | fresh_line
     )
     const_enum = (tok == "const") & (n1 == "enum")
-    rows = rows.withColumn("starts", starts).withColumn("top", top)
-    rows = rows.withColumn("stmt", F.sum(_col("starts").cast("int")).over(up_to()))
-    rows = rows.withColumn(
-        "leads", since(_col("starts"), _col("top") & ~tok.isin(*_MODIFIERS) & ~const_enum) == 0
+    rows = rows.withColumns({"starts": starts, "top": top})
+    rows = rows.withColumns(
+        {
+            "stmt": F.sum(_col("starts").cast("int")).over(up_to()),
+            "leads": since(_col("starts"), _col("top") & ~tok.isin(*_MODIFIERS) & ~const_enum) == 0,
+        }
     )
     in_stmt = Window.partitionBy("file_path", "stmt")
-    rows = rows.withColumn("stmt_end", F.max("end_line").over(in_stmt)).withColumn(
-        "stmt_last", F.max(F.struct("pos", "tok")).over(in_stmt)["tok"]
+    rows = rows.withColumns(
+        {
+            "stmt_end": F.max("end_line").over(in_stmt),
+            "stmt_last": F.max_by("tok", "pos").over(in_stmt),
+        }
     )
     shape = (
         F.when(tok == "class", ~n1.isin("extends", "implements"))
@@ -139,24 +154,27 @@ def _scan(files: DataFrame) -> DataFrame:
     begins = member & (word | quoted | (tok == "@")) & (
         p1.isin("{", ";", "}", ",") | (_col("newline") & ~p1.isin(*_CONTINUES_AFTER) & ~tok.isin(*_CONTINUES_BEFORE))
     )
-    decorator = (
-        (tok == "@") | (p1 == "@") | ((_col("p2") == "@") & tok.isin("(", "."))
-        | ((_col("p3") == "@") & (p1 == ".")) | ((_col("p4") == "@") & (tok == "("))
-    )
     as_name = n1.isin("(", "?", "=", ":", ";", "!") | F.startswith(n1, F.lit("<"))
     modifier = tok.isin(*_MEMBER_MODIFIERS) & ~as_name
-    rows = (
-        rows.withColumn("member", member).withColumn("begins", begins).withColumn("in_class", in_class)
-        .withColumn("significant", _col("member") & ~modifier & ~decorator & (tok != "*"))
-        .withColumn("another", another)
-    )
-    rows = rows.withColumn("member_id", F.sum(_col("begins").cast("int")).over(up_to())).withColumn(
-        "names", _col("significant") & (word | quoted) & (since(_col("begins"), _col("significant")) == 0)
-    )
-    rows = rows.withColumn("abstract_member", since(_col("begins"), _col("member") & (tok == "abstract")) > 0)
-    rows = rows.withColumn(
-        "begin", carry(_col("begins"), F.struct("tok", "line"))
-    ).withColumn("member_name", carry(_col("names"), tok))
+    rows = rows.withColumns(
+        {
+            "member": member, "begins": begins, "in_class": in_class, "another": another,
+            "significant": member & ~modifier & ~_col("decorator") & (tok != "*"),
+        }
+    )
+    clause = carry(tok.isin("extends", "implements") & _col("top"), F.struct("stmt", "tok"))
+    rows = rows.withColumns(
+        {
+            "member_id": F.sum(_col("begins").cast("int")).over(up_to()),
+            "begin": carry(_col("begins"), F.struct("tok", "line")),
+            "clause": clause,
+            "names": _col("significant") & (word | quoted) & (since(_col("begins"), _col("significant")) == 0),
+            "abstract_member": since(_col("begins"), _col("member") & (tok == "abstract")) > 0,
+        }
+    )
+    rows = neighbours(
+        rows.withColumn("member_name", carry(_col("names"), tok)), ahead=range(3, 7)
+    )
     in_member = Window.partitionBy("file_path", "stmt", "member_id")
     body = (_col("depth") >= 1) & ~((_col("depth") == 1) & (tok == "}"))
     rows = rows.withColumn("member_end", F.max(F.when(body, _col("end_line"))).over(in_member))
@@ -171,12 +189,10 @@ def _scan(files: DataFrame) -> DataFrame:
     typed = F.when(n1 == ":", _simple_type(2)).when(n1.isin("?", "!") & (n2 == ":"), _simple_type(3))
     parameter = (
         (_col("depth") == 1) & (_col("parens") == 1) & (_col("member_name") == "constructor") & word
-        & (p1.isin(*_ACCESS) | ((p1 == "readonly") & _col("p2").isin(*_ACCESS)))
+        & _col("accessible")
     )
     is_prop = _col("in_class") & (_col("names") | parameter) & typed.isNotNull()
 
-    clause = carry(tok.isin("extends", "implements") & _col("top"), F.struct("stmt", "tok"))
-    rows = rows.withColumn("clause", clause)
     heritage = _col("in_class") & _col("top") & word & (_col("clause.stmt") == _col("stmt"))
     is_parent = heritage & (
         ((p1 == "extends") & ~n1.isin(".", "("))
