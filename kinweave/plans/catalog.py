@@ -512,7 +512,7 @@ for _name, _ext in (("ts", ".ts"), ("php", ".php"), ("python", ".py")):
 
 
 def _built(s, d, ext=".ts"):
-    return ix.build_index(a.source_files(s, d, ext), ["typescript", "php", "python", "sql"])
+    return ix.build_index(a.source_files(s, d, ext), ["php" if ext == ".php" else "typescript"])
 
 
 @query
