@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as whitespace in record text (Unicode
 # spaces, line terminators and the byte-order mark), as a regex class body.
-WHITESPACE = r"\t-\r    -     　﻿"
+WHITESPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_CHARACTERS = "".join(c for c in map(chr, range(0x10000)) if re.fullmatch(f"[{WHITESPACE}]", c))
 
 # Fixed value: the longest claim that is kept, counted in UTF-16 units.
 MAX_CLAIM = 280
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    return F.btrim(text, F.lit(_CHARACTERS))
 
 
 def collapse(text: Column) -> Column:
@@ -36,9 +39,7 @@ def clip(text: Column, limit: int = MAX_CLAIM) -> Column:
     keep = 2 * (limit - 1)
     splits_pair = F.hex(F.substring(utf16, keep - 1, 1)).between("D8", "DB")
     head = F.when(splits_pair, F.substring(utf16, 1, keep - 2)).otherwise(F.substring(utf16, 1, keep))
-    shortened = F.concat(
-        F.regexp_replace(F.decode(head, "UTF-16BE"), rf"[{WHITESPACE}]+\z", ""), F.lit("…")
-    )
+    shortened = F.concat(F.rtrim(F.decode(head, "UTF-16BE"), F.lit(_CHARACTERS)), F.lit("…"))
     return F.when(F.octet_length(utf16) > 2 * limit, shortened).otherwise(trimmed)
 
 

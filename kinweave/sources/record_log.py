@@ -36,31 +36,25 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _json_type(doc: Column, key: str) -> Column:
-    """Type of ``doc[key]``: null when the key is absent, ``VOID`` for JSON null."""
-    return F.schema_of_variant(F.try_variant_get(doc, f"$.{key}", "variant"))
-
-
 def _decode(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with the parsed value, its key types and its fields.
+    """Non-blank lines with the type and the value of each key.
 
     Types are kept next to values because a plain typed read turns a value of
-    the wrong type into null, which would then look like an absent key.
+    the wrong type into null, which would then look like an absent key. A type is
+    null when the key is absent and ``VOID`` for JSON null.
     """
-    doc = F.col("doc")
+    keys = F.col("keys")
     decoded = (
         lines.select("line", strip(F.col("value")).alias("raw"))
         .filter("raw <> ''")
         .withColumn("doc", F.try_parse_json("raw"))
-        .withColumn("doc_type", F.schema_of_variant(doc))
+        .withColumn("keys", F.try_variant_get("doc", "$", "map<string,variant>"))
     )
-    is_object = F.startswith(F.col("doc_type"), F.lit("OBJECT"))
-    obj = F.when(is_object, doc)
     return decoded.select(
-        "line", "doc_type", is_object.alias("is_object"),
-        *[_json_type(obj, k).alias(f"{k}_type") for k in (*_TEXT_KEYS, "sb")],
-        *[F.try_variant_get(obj, f"$.{k}", "string").alias(k) for k in _TEXT_KEYS],
-        F.try_variant_get(obj, "$.sb", "array<string>").alias("sb"),
+        "line", F.col("doc").isNotNull().alias("is_json"), keys.isNotNull().alias("is_object"),
+        *[F.schema_of_variant(keys[k]).alias(f"{k}_type") for k in (*_TEXT_KEYS, "sb")],
+        *[F.try_variant_get(keys[k], "$", "string").alias(k) for k in _TEXT_KEYS],
+        F.try_variant_get(keys["sb"], "$", "array<string>").alias("sb"),
     )
 
 
@@ -106,7 +100,7 @@ def _problems() -> Column:
         misplaced("rf", "source"),
     ]
     return (
-        F.when(F.col("doc_type").isNull(), F.array(F.lit("malformed JSON")))
+        F.when(~F.col("is_json"), F.array(F.lit("malformed JSON")))
         .when(~F.col("is_object"), F.array(F.lit("not a JSON object")))
         .otherwise(F.array_compact(F.array(*rules)))
     )
