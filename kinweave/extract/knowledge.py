@@ -25,9 +25,21 @@ def merge_markers(extra: list[str] | tuple[str, ...] = ()) -> list[str]:
 
 
 def marker_pattern(markers: list[str] | tuple[str, ...]) -> str:
-    """Group 1: the marker, first token of a comment. Group 2: its text, without a closing ``*/``."""
+    """Groups: the marker as first token of a comment, the separators after it, the rest of the line."""
     names = "|".join(re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", m) for m in markers)
-    return rf"(?i)(?://+|#+|/\*+|\*+)[{WHITESPACE}]*({names})[:\-{WHITESPACE}]+(.+?)[{WHITESPACE}]*(?:\*/[{WHITESPACE}]*)?\z"
+    return rf"(?is)(?://+|#+|/\*+|\*+)[{WHITESPACE}]*({names})([:\-{WHITESPACE}]+)(.*)\z"
+
+
+def _claim(separators: Column, rest: Column) -> Column:
+    """The text of a marker comment without a closing ``*/``.
+
+    There has to be some text: failing anything else it is a lone ``*/`` or the
+    last of several separators.
+    """
+    text = strip(rest)
+    open_text = strip(F.regexp_replace(text, r"\*/\z", ""))
+    last = F.when(F.length(separators) > 1, strip(F.right(separators, F.lit(1)))).otherwise("")
+    return F.when(open_text != "", open_text).when(text != "", text).otherwise(last)
 
 
 def scan_markers(files: DataFrame, markers: list[str] | tuple[str, ...] = DEFAULT_MARKERS) -> DataFrame:
@@ -36,14 +48,14 @@ def scan_markers(files: DataFrame, markers: list[str] | tuple[str, ...] = DEFAUL
     if not markers:
         return lines.select("file_path", "line", F.lit("").alias("marker"), F.lit("").alias("claim")).limit(0)
     pattern = marker_pattern(markers)
+    # The line is searched once for the comment; its parts come from that match.
+    comment = lines.select("file_path", "line", F.regexp_extract("value", pattern, 0).alias("comment"))
+    parts = [F.regexp_extract("comment", r"\A" + pattern, i) for i in (1, 2, 3)]
     return (
-        lines.filter(F.col("value").rlike(pattern))
-        .select(
-            "file_path", "line",
-            F.upper(F.regexp_extract("value", pattern, 1)).alias("marker"),
-            clip(F.regexp_extract("value", pattern, 2)).alias("claim"),
-        )
-        .filter("claim <> ''")
+        comment.filter("comment <> ''")
+        .select("file_path", "line", F.upper(parts[0]).alias("marker"), _claim(parts[1], parts[2]).alias("text"))
+        .filter("text <> '' AND NOT text RLIKE r'[\n\r\u2028\u2029]'")
+        .select("file_path", "line", "marker", clip(F.col("text")).alias("claim"))
     )
 
 

@@ -81,11 +81,13 @@ def test_sql(spark):
 
 def test_markers(spark):
     source = "\n".join(
-        ["// HACK: first", "x # fixme - second", "/* WARNING: third */", "// TODO: no", "// this is a HACK: no", "// HACK", "* Danger  x */ y", "// C++: custom"]
+        ["// HACK: first", "x # fixme - second", "/* WARNING: third */", "// TODO: no", "// this is a HACK: no", "// HACK", "* Danger  x */ y", "// C++: custom",
+         "/* XXX: */", "// HACK --", "// HACK:", "# hack: crlf \r"]
     )
     found = knowledge.scan_markers(one(spark, source), knowledge.merge_markers(["c++"]))
     assert [(r.line, r.marker, r.claim) for r in found.orderBy("line").collect()] == [
-        (1, "HACK", "first"), (2, "FIXME", "second"), (3, "WARNING", "third"), (7, "DANGER", "x */ y"), (8, "C++", "custom")
+        (1, "HACK", "first"), (2, "FIXME", "second"), (3, "WARNING", "third"), (7, "DANGER", "x */ y"), (8, "C++", "custom"),
+        (9, "XXX", "*/"), (10, "HACK", "-"), (12, "HACK", "crlf"),
     ]
 
 
