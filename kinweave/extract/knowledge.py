@@ -48,14 +48,18 @@ def scan_markers(files: DataFrame, markers: list[str] | tuple[str, ...] = DEFAUL
     if not markers:
         return lines.select("file_path", "line", F.lit("").alias("marker"), F.lit("").alias("claim")).limit(0)
     pattern = marker_pattern(markers)
-    # The line is searched once for the comment; its parts come from that match.
-    comment = lines.select("file_path", "line", F.regexp_extract("value", pattern, 0).alias("comment"))
+    # Exploding one-element arrays keeps the filters behind the computation: a
+    # plain filter would be pushed below it and repeat every expression.
+    comment = F.explode(F.filter(F.array(F.regexp_extract("value", pattern, 0)), lambda c: c != ""))
     parts = [F.regexp_extract("comment", r"\A" + pattern, i) for i in (1, 2, 3)]
+    marker = F.struct(F.upper(parts[0]).alias("marker"), _claim(parts[1], parts[2]).alias("text"))
+    one_line = F.explode(
+        F.filter(F.array(marker), lambda m: (m["text"] != "") & ~m["text"].rlike(r"[\n\r\u2028\u2029]"))
+    )
     return (
-        comment.filter("comment <> ''")
-        .select("file_path", "line", F.upper(parts[0]).alias("marker"), _claim(parts[1], parts[2]).alias("text"))
-        .filter("text <> '' AND NOT text RLIKE r'[\n\r\u2028\u2029]'")
-        .select("file_path", "line", "marker", clip(F.col("text")).alias("claim"))
+        lines.select("file_path", "line", comment.alias("comment"))
+        .select("file_path", "line", one_line.alias("m"))
+        .select("file_path", "line", "m.marker", clip(F.col("m.text")).alias("claim"))
     )
 
 

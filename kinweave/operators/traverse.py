@@ -71,11 +71,14 @@ def reach(
     a small frontier is broadcast because its size is known. A hub that holds
     many edges is one key of an inner join, which adaptive execution splits.
 
+    ``edges`` is scanned once per level and should be a stored table; one that is
+    bucketed on ``src`` is joined without being moved. Parallel edges are harmless.
+
     With ``with_path`` the lexicographically smallest shortest path is kept;
     since all paths of a level have equal length, it is found level by level.
     ``include_seed`` lets a cycle report the seed itself.
     """
-    edges = materialize(edges.select("src", "dst").distinct(), "edges")
+    edges = edges.select("src", "dst")
     start = seeds.select("seed").distinct().withColumn("node", F.col("seed"))
     if with_path:
         start = start.withColumn("path", F.array("seed"))
