@@ -1,4 +1,4 @@
-"""Time the headline queries: one warm-up, then the median of the repeats, results fully materialised."""
+"""Time the headline queries: one warm-up, then the median of BENCH_REPEATS runs, results fully materialised."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = get_session(
         "kinweave-bench", master=f"local[{cpus}]",
