@@ -78,7 +78,8 @@ def external_shuffle(
     shard = F.expr(f"((offset + pos) * {k}L) div {n}L")
     first = F.expr(f"(shard_no * {n}L + {k - 1}L) div {k}L")
     placed = (
-        written.join(_offsets(written), "bucket").withColumn("shard_no", shard)
+        # Stored first: Spark then knows that it is small and does not move the records a second time.
+        written.join(materialize(_offsets(written), "offsets"), "bucket").withColumn("shard_no", shard)
         .withColumn("slot_no", at - first)
     )
     return placed.select(*with_results("row", docs.columns, shard=F.col("shard_no").cast("int"), slot=F.col("slot_no")))
