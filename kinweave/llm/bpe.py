@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import quoted, whole_row, with_results
 
 MAX_MODEL_BYTES = 64 << 20
-MEMO = 300_000
+MEMO = 150_000
 NONE = np.int64(1 << 62)
 # The contractions that the tokenizer's pattern keeps whole.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")

@@ -18,23 +18,26 @@ def lower_words(text: str) -> list[bytes]:
 class WordMemo(dict):
     """The slot of each word; what a slot holds is made by ``make`` when the word is first seen.
 
-    A memo of more than ``limit`` words starts anew with the next text, so its
-    memory is bounded and its results are not.
+    Slot 0 stands for all words for which ``make`` gives None. A memo of more
+    than ``limit`` words starts anew with the next text, so its memory is
+    bounded and its results are not.
     """
 
     def __init__(self, make: Callable[[bytes], object], limit: int = 300_000) -> None:
         super().__init__()
-        self.make, self.limit, self.held = make, limit, []
+        self.make, self.limit, self.held = make, limit, [None]
 
     def __missing__(self, word: bytes) -> int:
-        slot = self[word] = len(self.held)
-        self.held.append(self.make(word))
+        value = self.make(word)
+        slot = self[word] = 0 if value is None else len(self.held)
+        if slot:
+            self.held.append(value)
         return slot
 
     def slots(self, words: list[bytes]) -> np.ndarray:
-        if len(self.held) > self.limit:
+        if len(self) > self.limit:
             self.clear()
-            self.held.clear()
+            del self.held[1:]
         return np.array(list(map(self.__getitem__, words)), np.int64)
 
 

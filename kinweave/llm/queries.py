@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, chat, decontamination, language, sharding, topk, url_filter, warc
+from kinweave.llm import bpe, chat, decontamination, language, sharding, topk, toxicity, url_filter, warc
 from kinweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,12 @@ def op5_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("id % 100 = 0"), k=10)
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_on_kept_in(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -88,7 +94,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_dictionary, op2_bloom_cascade, op3_ftrl_language, op4_positional_index, op5_segment_topk,
-        op7_external_shuffle, op8_content_parts, op9_segment_tree_bpe,
+        op6_weak_supervision, op7_external_shuffle, op8_content_parts, op9_segment_tree_bpe,
     )
 }
 
