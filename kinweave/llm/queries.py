@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, chat, decontamination, language, sharding, topk, toxicity, url_filter, warc
+from kinweave.llm import bpe, chat, decontamination, language, sharding, signature_join, topk, toxicity, url_filter, warc
 from kinweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -90,11 +90,17 @@ def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, threshold=90).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_dictionary, op2_bloom_cascade, op3_ftrl_language, op4_positional_index, op5_segment_topk,
-        op6_weak_supervision, op7_external_shuffle, op8_content_parts, op9_segment_tree_bpe,
+        op6_weak_supervision, op7_external_shuffle, op8_content_parts, op9_segment_tree_bpe, op10_signature_tree,
     )
 }
 
