@@ -20,9 +20,9 @@ with the name of a result is replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import held_out, quoted, whole_row, with_results
-from kinweave.llm.linear import Ftrl, WordMemo, lower_words, softmax, temperature
+from kinweave.llm.linear import Ftrl, WordMemo, sliced, softmax, temperature
 
 PER_LANGUAGE = 1500
 MAX_LANGUAGES = 500
@@ -39,32 +39,49 @@ FEATURES = 1 << 15
 SIZES = (1, 2, 3)
 UNKNOWN = "und"
 SCALE = 50.0
-_RUNS = re.compile(r"[^\W\d_]+")
 
 
-def word_ngrams(word: bytes) -> np.ndarray:
-    """Hashed n-grams of the letter runs of a word, repeats included."""
-    out = []
-    for run in _RUNS.findall(word.decode("utf-8", "replace")):
-        letters = "".join(c for c in run if c.isalpha())
-        if letters:
-            marked = f" {letters} "
-            out += [xxhash.xxh32_intdigest(marked[i: i + n], n) % FEATURES for n in SIZES for i in range(len(marked) - n + 1) if n > 1 or marked[i] != " "]
-    return np.array(out, np.int32)
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether a code point below 2^16 is a letter."""
+    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+
+
+def word_ngrams(words: list[bytes]) -> list[np.ndarray]:
+    """The hashed n-grams of each word, repeats included. Runs of letters are marked with a space at both ends."""
+    joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
+    code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    word = np.cumsum(code == 32) - 1
+    low = np.minimum(code, 65535).astype(np.int64)
+    letter = _letters()[low]
+    for i in np.flatnonzero(code > 65535):
+        letter[i] = chr(code[i]).isalpha()
+    code = np.where(letter, code, 32)
+    found, owner = [], []
+    with np.errstate(over="ignore"):
+        for n in SIZES:
+            if len(code) < n:
+                continue
+            h, last = np.full(len(code) - n + 1, n, np.uint64), len(code) - n + 1
+            for k in range(n):
+                h = (h ^ code[k: last + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            inner = np.ones(last, bool)  # a space is an end only, and something must be a letter
+            for k in range(1, n - 1):
+                inner &= letter[k: last + k]
+            inner &= letter[:last] | letter[n - 1: last + n - 1] if n < 3 else inner
+            found.append((h[inner] >> np.uint64(20)).astype(np.int64) % FEATURES)
+            owner.append(word[:last][inner])
+    at = np.concatenate(owner)
+    order = np.argsort(at, kind="stable")
+    counts = np.bincount(at, minlength=len(words))[: len(words)]
+    return np.split(np.concatenate(found)[order].astype(np.int32), np.cumsum(counts)[:-1])
 
 
 def _memo() -> WordMemo:
     return WordMemo(word_ngrams)
 
 
-def _ngram_counts(memo: WordMemo, text: str | None) -> np.ndarray:
-    words = lower_words(text or "")
-    slots, counts = np.unique(memo.slots(words), return_counts=True)
-    if not len(slots):
-        return np.zeros(0, np.int32)
-    return np.concatenate([np.repeat(memo.held[s], n) for s, n in zip(slots, counts)])
-
-
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -72,17 +89,27 @@ class LanguageModel:
     bias: np.ndarray
     heat: float
 
-    def contribution(self, word: bytes) -> np.ndarray:
-        ngrams = word_ngrams(word)
-        return np.append(self.weights[ngrams].sum(axis=0), len(ngrams))
-
-    def predict(self, texts: list[str | None], memo: WordMemo) -> tuple[list[str], np.ndarray]:
+    def contributions(self, words: list[bytes]) -> np.ndarray:
+        """Per word the sums of its n-grams' weights, and their number."""
+        ngrams = word_ngrams(words)
+        sizes = np.array([len(g) for g in ngrams])
+        out = np.zeros((len(words), len(self.languages) + 1))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+            out[some, :-1] = np.add.reduceat(self.weights[np.concatenate([ngrams[i] for i in some])], starts, axis=0)
+        out[:, -1] = sizes
+        return out
+
+    def predict(self, texts: list[list[bytes]], memo: WordMemo) -> tuple[list[str], np.ndarray]:
         sums = np.zeros((len(texts), len(self.languages) + 1))
-        for i, text in enumerate(texts):
-            words = lower_words(text or "")
-            if words:
-                slots, counts = np.unique(memo.slots(words), return_counts=True)
-                sums[i] = counts @ np.stack([memo.held[s] for s in slots])
+        slots = memo.slots(texts)
+        if any(map(len, slots)):
+            used, at = np.unique(np.concatenate(slots), return_inverse=True)
+            values = np.stack([memo.held[s] for s in used])[at]
+            sizes = np.array([len(s) for s in slots])
+            some = np.flatnonzero(sizes)
+            sums[some] = np.add.reduceat(values, np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), axis=0)
         known = sums[:, -1] > 0
         logits = sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias
         scores = softmax(logits / self.heat) if self.languages else np.zeros((len(texts), 1))
@@ -95,15 +122,14 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, total, flags = _memo(), np.zeros(FEATURES + 1, np.int64), np.zeros(FEATURES, bool)
         for batch in batches:
-            for text in batch.column(0):
-                words = lower_words(text.as_py() or "")
-                at = [memo.held[s] for s in np.unique(memo.slots(words))]
-                if at:
-                    at = np.concatenate(at)
-                    flags[at] = True
-                    total[:-1] += flags
-                    flags[at] = False
-                total[-1] += 1
+            total[-1] += batch.num_rows
+            for texts in sliced(batch.column(0)):
+                for slots in memo.slots(texts):
+                    if len(slots):
+                        at = np.concatenate([memo.held[s] for s in set(slots.tolist())])
+                        flags[at] = True
+                        total[:-1] += flags
+                        flags[at] = False
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["feature", "n"])
 
@@ -127,22 +153,17 @@ def _sample(training: DataFrame, per_language: int) -> tuple[list[str], list[int
     draw = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 30)) / float(1 << 30)
     names = {lang: i for i, lang in enumerate(languages)}
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo()
         for batch in batches:
-            ngrams = [_ngram_counts(memo, t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [pa.array([names[x] for x in batch.column(0).to_pylist()], pa.int32()), pa.array(ngrams, pa.list_(pa.int32()))], names=["lang", "ngrams"]
-            )
-
-    # n-grams of a very long text are thinned by value counts, not cut: (id, count) pairs
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in read(batches):
             ids, ns = [], []
-            for grams in batch.column(1):
-                values, n = np.unique(np.asarray(grams.values), return_counts=True)
-                ids.append(values), ns.append(n.astype(np.int32))
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=["lang", "ids", "ns"])
+            for texts in sliced(batch.column(1)):
+                for slots in memo.slots(texts):
+                    grams = np.concatenate([memo.held[s] for s in slots]) if len(slots) else np.zeros(0, np.int32)
+                    values, n = np.unique(grams, return_counts=True)
+                    ids.append(values), ns.append(n.astype(np.int32))
+            lang = pa.array([names[x] for x in batch.column(0).to_pylist()], pa.int32())
+            yield pa.record_batch([lang, pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=["lang", "ids", "ns"])
 
     limit = 2 * per_language * len(languages)
     rows = training.filter(draw < share).select("lang", "text").mapInArrow(packed, "lang int, ids array<int>, ns array<int>").limit(limit).toArrow()
@@ -185,9 +206,13 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        memo = WordMemo(model.contribution)
+        memo = WordMemo(model.contributions)
         for texts in batches:
-            names, scores = model.predict(texts.to_pylist(), memo)
+            names, scores = [], []
+            for words in sliced(texts):
+                of_slice = model.predict(words, memo)
+                names += of_slice[0]
+                scores += of_slice[1].tolist()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     rows = docs.select(whole_row(docs).alias("row"), predict(F.col(quoted(text_col))).alias("p"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 # ASCII but letters to spaces; texts are lower-cased before.
 _SPLIT = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -15,30 +16,35 @@ def lower_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SPLIT).split()
 
 
-class WordMemo(dict):
-    """The slot of each word; what a slot holds is made by ``make`` when the word is first seen.
+def sliced(texts: pa.Array, size: int = 256) -> Iterator[list[list[bytes]]]:
+    """The words of texts (an Arrow array of strings), some texts at a time."""
+    for i in range(0, len(texts), size):
+        yield [lower_words(t) if t else [] for t in texts.slice(i, size).to_pylist()]
+
+
+class WordMemo:
+    """What ``make`` gives for the words of texts, made for all new words of some texts at once.
 
     Slot 0 stands for all words for which ``make`` gives None. A memo of more
-    than ``limit`` words starts anew with the next text, so its memory is
+    than ``limit`` words starts anew with the next texts, so its memory is
     bounded and its results are not.
     """
 
-    def __init__(self, make: Callable[[bytes], object], limit: int = 300_000) -> None:
-        super().__init__()
-        self.make, self.limit, self.held = make, limit, [None]
-
-    def __missing__(self, word: bytes) -> int:
-        value = self.make(word)
-        slot = self[word] = 0 if value is None else len(self.held)
-        if slot:
-            self.held.append(value)
-        return slot
-
-    def slots(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-            del self.held[1:]
-        return np.array(list(map(self.__getitem__, words)), np.int64)
+    def __init__(self, make: Callable[[list[bytes]], Sequence[object]], limit: int = 300_000) -> None:
+        self.make, self.limit = make, limit
+        self.index: dict[bytes, int] = {}
+        self.held: list[object] = [None]
+
+    def slots(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        if len(self.index) > self.limit:
+            self.index, self.held = {}, [None]
+        new = list(set().union(*texts).difference(self.index))
+        for word, value in zip(new, self.make(new) if new else ()):
+            self.index[word] = 0 if value is None else len(self.held)
+            if value is not None:
+                self.held.append(value)
+        get = self.index.__getitem__
+        return [np.array(list(map(get, words)), np.int64) for words in texts]
 
 
 class Ftrl:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import held_out, quoted, whole_row, with_results
-from kinweave.llm.linear import Ftrl, WordMemo, lower_words, softmax, temperature
+from kinweave.llm.linear import Ftrl, WordMemo, lower_words, sliced, softmax, temperature
 
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 FEATURES = 1 << 22
@@ -70,11 +70,11 @@ def word_ids(word: bytes) -> list[int]:
     return [2 * (xxhash.xxh32_intdigest(n) % (FEATURES // 2)) for n in names]
 
 
-def word_features(word: bytes) -> np.ndarray:
-    return np.array(word_ids(word), np.int32)
+def word_features(words: list[bytes]) -> list[np.ndarray]:
+    return [np.array(word_ids(w), np.int32) for w in words]
 
 
-_LEXICON_IDS = np.array([word_features(w.encode())[0] for lexicon in LEXICONS for w in lexicon])
+_LEXICON_IDS = np.array([word_ids(w.encode())[0] for lexicon in LEXICONS for w in lexicon])
 
 
 def _hits(text: str) -> int:
@@ -103,11 +103,6 @@ def values_of(ids: np.ndarray, n_words: int) -> np.ndarray:
     return np.where(ids & 1, 1.0, 1 / (1 + n_words / 50))
 
 
-def text_features(text: str | None, memo: WordMemo) -> np.ndarray:
-    words = lower_words(text or "")
-    return _present(memo.slots(words), memo.held, len(words)) if words else np.zeros(0, np.int64)
-
-
 def mine_voters(features: list[np.ndarray], toxic: np.ndarray, weights: np.ndarray, count: int = MINED, cover: int = 3) -> list[int]:
     """Features that hold for toxic texts and hardly for others, each toxic text covered up to ``cover`` times."""
     flat = np.concatenate(features) if features else np.zeros(0, np.int64)
@@ -217,9 +212,9 @@ class ToxicityModel:
         """Of each word those features that carry weight in either form."""
         weighted = frozenset((self.features & ~1).tolist())
 
-        def of(word: bytes) -> np.ndarray | None:
-            ids = [i for i in word_ids(word) if i in weighted]
-            return np.array(ids, np.int32) if ids else None
+        def of(words: list[bytes]) -> list[np.ndarray | None]:
+            kept = [[i for i in word_ids(w) if i in weighted] for w in words]
+            return [np.array(ids, np.int32) if ids else None for ids in kept]
 
         return WordMemo(of)
 
@@ -229,16 +224,12 @@ class ToxicityModel:
         at = np.minimum(np.searchsorted(self.features, ids), len(self.features) - 1)
         return np.where(self.features[at] == ids, at, -1)
 
-    def score(self, text: str | None, memo: WordMemo) -> float:
-        words = lower_words(text or "")
-        logit = self.bias
-        if words:
-            slots = memo.slots(words)
-            used = slots[slots > 0]
-            if len(used):
-                ids = _present(used, memo.held, len(words))
-                at = self._at(ids)
-                logit += float(self.weights[at[at >= 0]] @ values_of(ids, len(words))[at >= 0])
+    def score(self, slots: np.ndarray, memo: WordMemo) -> float:
+        logit, used = self.bias, slots[slots > 0]
+        if len(used):
+            ids = _present(used, memo.held, len(slots))
+            at = self._at(ids)
+            logit += float(self.weights[at[at >= 0]] @ values_of(ids, len(slots))[at >= 0])
         return float(1 / (1 + np.exp(-np.clip(logit / self.heat, -500, 500))))
 
 
@@ -259,13 +250,14 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordMemo(word_features)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = [text_features(t, memo).astype(np.int32) for t in texts]
+            rows, sizes = [], []
+            for texts in sliced(batch.column(1)):
+                for slots in memo.slots(texts):
+                    rows.append(_present(slots, memo.held, len(slots)).astype(np.int32))
+                    sizes.append(len(slots))
+            hits = [_hits(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch(
-                [
-                    batch.column(0), pa.array([_hits(t or "") for t in texts], pa.int32()),
-                    pa.array([len(lower_words(t or "")) for t in texts], pa.int32()), pa.array(rows, pa.list_(pa.int32())),
-                ],
+                [batch.column(0), pa.array(hits, pa.int32()), pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int32()))],
                 names=["y", "hits", "n_words", "features"],
             )
 
@@ -319,7 +311,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
         model = shared.value
         memo = model.memo()
         for texts in batches:
-            yield pa.array([model.score(t, memo) for t in texts.to_pylist()], pa.float64())
+            yield pa.array([model.score(s, memo) for words in sliced(texts) for s in memo.slots(words)], pa.float64())
 
     rows = docs.select(whole_row(docs).alias("row"), scores(F.col(quoted(text_col))).alias("s"))
     return rows.select(*with_results("row", docs.columns, score=F.col("s"), predicted=(F.col("s") >= THRESHOLD).cast("int")))
