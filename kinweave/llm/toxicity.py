@@ -47,6 +47,7 @@ SHORT = 100
 STEMS = range(4, 9)
 THRESHOLD = 0.3
 MINED = 32
+BIAS = 4.0  # the value of the constant feature, so that the penalties hardly touch it
 MAX_GROUP = 6
 
 LEXICONS = (
@@ -154,14 +155,14 @@ def _pattern(votes: np.ndarray, group: list[int]) -> np.ndarray:
     return votes[:, group].astype(np.int64) @ (1 << np.arange(len(group)))
 
 
-def _maximise(votes: np.ndarray, groups: list[list[int]], soft: np.ndarray, weights: np.ndarray) -> LabelModel:
+def _maximise(votes: np.ndarray, groups: list[list[int]], soft: np.ndarray, weights: np.ndarray, prior: float) -> LabelModel:
     mass = np.stack([weights * (1 - soft), weights * soft], axis=1)
     tables = []
     for group in groups:
         table = np.full((1 << len(group), 2), 0.5 / (1 << len(group)))
         np.add.at(table, _pattern(votes, group), mass)
         tables.append(table / table.sum(axis=0))
-    return LabelModel(float(np.clip(mass[:, 1].sum() / mass.sum(), 1e-4, 1 - 1e-4)), groups, tables)
+    return LabelModel(prior, groups, tables)
 
 
 def _groups(votes: np.ndarray, soft: np.ndarray, weights: np.ndarray, least: float = 0.3) -> list[list[int]]:
@@ -189,10 +190,11 @@ def _groups(votes: np.ndarray, soft: np.ndarray, weights: np.ndarray, least: flo
 def fit_label_model(votes: np.ndarray, weights: np.ndarray, rounds: int = 25) -> LabelModel:
     """Expectation maximisation from the last voter's view (the annotation's), first with independent voters, then with the groups that their correlations show."""
     soft = np.where(votes[:, -1], 0.9, 0.05)
+    prior = float(np.clip(np.average(votes[:, -1], weights=weights), 1e-4, 1 - 1e-4))  # the class balance is the annotation's
     groups = [[v] for v in range(votes.shape[1])]
     for stage in range(2):
         for _ in range(rounds):
-            model = _maximise(votes, groups, soft, weights)
+            model = _maximise(votes, groups, soft, weights, prior)
             soft = model.posterior(votes)
         if not stage:
             groups = _groups(votes, soft, weights)
@@ -286,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     model = Ftrl(FEATURES, 2, alpha, beta, l1, l2)
     bias = FEATURES - 1  # an odd id that no word has as its even one is shared with one dense feature at most
     used = [np.append(f[f != bias], bias) for f in features]
-    values = [np.append(values_of(f[:-1], n), 1.0) for f, n in zip(used, n_words)]
+    values = [np.append(values_of(f[:-1], n), BIAS) for f, n in zip(used, n_words)]
     for _ in range(epochs):
         for i in range(kept_apart, len(features)):
             model.learn(used[i], values[i], np.array([1 - target[i], target[i]]), weights[i])
@@ -299,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     )
     at = np.flatnonzero(every)
     at = at[at != bias]
-    return ToxicityModel(at, every[at], float(every[bias]), heat)
+    return ToxicityModel(at, every[at], float(BIAS * every[bias]), heat)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
