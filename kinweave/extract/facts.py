@@ -2,6 +2,7 @@
 
 A scan makes one pass over a file and emits facts:
 
+* ``error``: name = what is wrong with the file
 * ``symbol``: name = fqn, a = symbol type
 * ``parent``: name = child, a = parent
 * ``prop``: name = property, a = declaring class, b = declared type
@@ -56,6 +57,13 @@ def fact(
     )
 
 
+def unbalanced(outside: Column | None = None) -> Column:
+    """An error at the last token (``n1`` is empty) of a file whose braces do not close; ``outside`` is the depth
+    around the file's top level."""
+    after = F.col("depth") + F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
+    return fact("error", (F.col("n1") == "") & (after != (F.lit(0) if outside is None else outside)), F.lit("braces are not balanced"), F.lit(""))
+
+
 def collect_facts(rows: DataFrame, *facts: Column) -> DataFrame:
     found = F.explode(F.array_compact(F.array(*facts)))
     return rows.select("file_path", F.col("pos").cast("bigint").alias("pos"), found.alias("f")).select(
@@ -66,7 +74,6 @@ def collect_facts(rows: DataFrame, *facts: Column) -> DataFrame:
 def assemble(facts: DataFrame, language: str) -> Extraction:
     """Facts are written once, so the text is tokenized once for all three outputs."""
     facts = materialize(facts, f"facts-{language}")
-    spark = facts.sparkSession
     symbols = facts.filter("fact = 'symbol'").select(
         F.concat("file_path", F.lit("::"), "name").alias("id"),
         F.col("name").alias("fqn"),
@@ -102,5 +109,5 @@ def assemble(facts: DataFrame, language: str) -> Extraction:
         "line",
         "file_path",
     ).filter("target_name IS NOT NULL")
-    errors = spark.createDataFrame([], "file_path string, error string")
+    errors = facts.filter("fact = 'error'").select("file_path", F.col("name").alias("error"))
     return Extraction(schema.conform(symbols, schema.EXTRACTED_SYMBOL), refs, inheritance, errors)

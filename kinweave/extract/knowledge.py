@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.extract.sql import source_lines
-from kinweave.functions.text import WHITESPACE, clip, collapse, strip
+from kinweave.functions.text import _CHARACTERS, WHITESPACE, clip, collapse, strip
 
 # The comment tags that signal a trap, the folders that
 # conventionally hold decision records, and the separators of the log dump.
@@ -78,17 +78,43 @@ def scan_reverts(log: DataFrame) -> DataFrame:
     ).filter("sha <> '' AND claim <> ''")
 
 
+def _without_number(title: Column) -> Column:
+    """Drop a leading number, with or without ADR before it, if a separator follows."""
+    separators = _CHARACTERS + ".:)-"
+    adr = F.lower(F.left(title, F.lit(3))) == "adr"
+    named = F.substring(title, 4, 1 << 30)
+    joined = F.when(F.left(named, F.lit(1)).rlike(r"[-\s]"), F.substring(named, 2, 1 << 30)).otherwise(named)
+    start = F.when(adr & F.left(joined, F.lit(1)).rlike("[0-9]"), joined).otherwise(title)
+    after = F.ltrim(start, F.lit("0123456789"))
+    text = F.ltrim(after, F.lit(separators))
+    return strip(F.when((F.length(after) < F.length(start)) & (F.length(text) < F.length(after)), text).otherwise(title))
+
+
 def decision_title(text: Column) -> Column:
-    """The first level-one heading without its number; empty when there is none."""
-    title = F.regexp_extract(text, r"(?m)^#[ \t]+(\S.*)$", 1)
-    return strip(F.regexp_replace(title, r"(?i)\A(?:ADR[-\s]?[0-9]+|0*[0-9]+)[.:)\-\s]+", ""))
+    """The first level-one heading without its number; empty when there is none.
+
+    A ``#`` that stands alone is a heading whose text is the next line with any.
+    """
+    lines = F.split(text, "\n")
+    place = F.array_position(F.transform(lines, lambda l: F.left(F.concat(F.rtrim(l, F.lit(_CHARACTERS)), F.lit(" ")), F.lit(2)).rlike(r"#\s")), F.lit(True))
+    rest = F.slice(lines, F.greatest(place, F.lit(1)).cast("int"), F.size(lines))
+    texts = F.transform(rest, lambda l, i: strip(F.when(i == 0, F.substring(l, 2, 1 << 30)).otherwise(l)))
+    return F.when(place > 0, _without_number(F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit("")))).otherwise("")
 
 
 def decision_reason(text: Column) -> Column:
     """The first paragraph under a Decision heading on one line; null when there is none."""
-    after = F.regexp_extract(text, r"(?ims)^##+\s*Decision\s*$(.*)\z", 1)
-    paragraph = F.get(F.split(F.regexp_replace(after, rf"\A[{WHITESPACE}]+", ""), r"\n\s*\n|\n#{1,6}\s"), F.lit(0))
-    reason = collapse(paragraph)
+    lines = F.split(text, "\n")
+    blank = lambda l: strip(l) == ""
+    is_heading = lambda l: (F.lower(strip(F.ltrim(l, F.lit("#")))) == "decision") & F.startswith(l, F.lit("##"))
+    after = lambda found, all_: F.slice(all_, F.when(found > 0, found + 1).otherwise(F.size(all_) + 1).cast("int"), F.size(all_))
+    body = after(F.array_position(F.transform(lines, is_heading), F.lit(True)), lines)
+    first = F.array_position(F.transform(body, lambda l: ~blank(l)), F.lit(True))
+    body = F.when(first > 0, F.slice(body, F.greatest(first, F.lit(1)).cast("int"), F.size(body))).otherwise(F.array().cast("array<string>"))
+    level = lambda l: F.length(l) - F.length(F.ltrim(l, F.lit("#")))
+    ends = lambda l, i: (i > 0) & (blank(l) | (level(l).between(1, 6) & F.substring(F.ltrim(l, F.lit("#")), 1, 1).rlike(r"\s")))
+    end = F.array_position(F.transform(body, ends), F.lit(True))
+    reason = collapse(F.array_join(F.when(end > 0, F.slice(body, 1, (end - 1).cast("int"))).otherwise(body), " "))
     return F.when(reason != "", clip(reason))
 
 

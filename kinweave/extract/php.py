@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.extract.facts import Extraction, assemble, collect_facts, fact
-from kinweave.extract.tokens import carry, is_ident, neighbours, since, tokenize, up_to
+from kinweave.extract.facts import Extraction, assemble, collect_facts, fact, unbalanced
+from kinweave.extract.tokens import carry, is_ident, neighbours, nested, since, tokenize, up_to
 
 EXTENSIONS = (".php",)
 
@@ -22,7 +22,7 @@ TOKEN = "|".join(
         r"/\*(?s:.*?)(?:\*/|\z)",
         r"//(?:(?!\?>)[^\n])*+",
         r"#(?!\[)(?:(?!\?>)[^\n])*+",
-        r"#\[(?:[^\[\]]++|\[[^\[\]]*\])*+\]",  # attribute
+        "#" + nested(r"\[", r"\]", r"""[^\[\]'"]++|"(?:[^"\\]++|\\(?s:.))*+"|'(?:[^'\\]++|\\(?s:.))*+'"""),  # attribute
         r"""<<<[ \t]*(['"]?)(\w+)\1\n(?s:.*?)\n?[ \t]*\2\b""",  # heredoc, nowdoc
         r'"(?:[^"\\]++|\\(?s:.))*+"',
         r"'(?:[^'\\]++|\\(?s:.))*+'",
@@ -58,7 +58,7 @@ def _scan(files: DataFrame) -> DataFrame:
         "file_path", "text", F.col("text").rlike(_BRACED_NAMESPACE).cast("int").alias("base")
     )
     rows = neighbours(tokenize(files, TOKEN, _COMMENT, separator=_TAG), back=range(1, 2), ahead=range(1, 3))
-    rows = rows.withColumns({"depth": _col("depth") - _col("base"), "word": F.lower("tok")}).drop("base", "newline")
+    rows = rows.withColumns({"depth": _col("depth") - _col("base"), "word": F.lower("tok"), "outside": -_col("base")}).drop("base", "newline")
     tok, word, p1, n1, n2 = _col("tok"), _col("word"), _col("p1"), _col("n1"), _col("n2")
     attribute = F.startswith(tok, F.lit("#["))
     opener = is_ident("tok") | attribute
@@ -144,6 +144,7 @@ def _scan(files: DataFrame) -> DataFrame:
 
     return collect_facts(
         rows,
+        unbalanced(_col("outside")),
         fact("symbol", _col("declares"), name, kind, line=_col("first.line"), end_line=_col("stmt_end")),
         fact(
             "symbol", is_method, F.concat(_col("decl.name"), F.lit("."), name), F.lit("method"),

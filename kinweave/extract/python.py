@@ -11,10 +11,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kinweave.extract.facts import Extraction, assemble
-from kinweave.session import materialize
 
 EXTENSIONS = (".py",)
 _FACTS = "file_path string, pos bigint, fact string, name string, a string, b string, line bigint, end_line bigint"
@@ -59,14 +57,11 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     (path, i, fact, name, a, b, node.lineno, node.end_lineno)
                     for i, (fact, name, a, b, node) in enumerate(found)
                 ]
-            except (SyntaxError, ValueError, RecursionError) as error:
-                rows = [(path, 0, "error", str(error), "", "", 0, 0)]
+            except Exception as error:  # whatever one file does, the others are still read
+                rows = [(path, 0, "error", str(error) or type(error).__name__, "", "", 0, 0)]
             yield pd.DataFrame(rows, columns=columns)
 
 
 def extract(files: DataFrame) -> Extraction:
     """Symbols and call references of ``(file_path, text)``; parse failures in ``errors``."""
-    facts = materialize(files.select("file_path", "text").mapInPandas(_facts, _FACTS), "facts-python")
-    result = assemble(facts.filter("fact <> 'error'"), "python")
-    errors = facts.filter("fact = 'error'").select("file_path", F.col("name").alias("error"))
-    return Extraction(result.symbols, result.refs, result.inheritance, errors)
+    return assemble(files.select("file_path", "text").mapInPandas(_facts, _FACTS), "python")

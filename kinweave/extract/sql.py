@@ -2,27 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave import schema
-from kinweave.extract.tokens import place_by_file
 from kinweave.functions.text import sql_object_name
 
-# How each object kind is introduced, between CREATE and the name.
-_NAME = r"""((?:[\w`"\[\]]+\.)*[\w`"\[\]]+)"""
-_DEFINER = r"(?:DEFINER\s*=\s*\S+\s+)?"
-_REPLACE = r"(?:OR\s+REPLACE\s+)?"
-DDL_FORMS = {
-    "table": r"(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?",
-    "view": _REPLACE + r"(?:ALGORITHM\s*=\s*\w+\s+)?" + _DEFINER
-    + r"(?:SQL\s+SECURITY\s+\w+\s+)?(?:MATERIALIZED\s+)?VIEW\s+",
-    "function": _REPLACE + _DEFINER + r"FUNCTION\s+",
-    "procedure": _REPLACE + _DEFINER + r"PROCEDURE\s+",
-    "trigger": _REPLACE + _DEFINER + r"TRIGGER\s+",
+# The words that may stand between CREATE and each kind of object,
+# and those that take a value (``DEFINER = x``, ``SQL SECURITY x``).
+_REPLACE, _OWNER = ("or", "replace"), ("definer=",)
+MODIFIERS = {
+    "table": (("temporary",), ()),
+    "view": ((*_REPLACE, "sql", "security", "definer", "invoker", "materialized"), ("algorithm=", *_OWNER)),
+    "function": (_REPLACE, _OWNER),
+    "procedure": (_REPLACE, _OWNER),
+    "trigger": (_REPLACE, _OWNER),
 }
 
 
+def created_object(line: Column) -> Column:
+    """``struct<kind, name>`` of the object that a line creates, null for none: the words after CREATE are modifiers,
+    the kind, then the name."""
+    start = F.regexp_instr(line, F.lit(r"(?i)\bCREATE\s"))
+    rest = F.regexp_replace(F.substring(line, start + 6, F.lit(1 << 30)), r"\s*=\s*", "=")
+    words = F.filter(F.split(rest, r"\s+"), lambda w: w != "")
+    lower = F.transform(words, lambda w: F.lower(w))
+    place = F.array_position(F.transform(lower, lambda w: w.isin(*MODIFIERS)), F.lit(True)).cast("int")
+    kind = F.get(lower, place - 1)
+    before = F.slice(lower, 1, F.greatest(place - 1, F.lit(0)))
+
+    def allowed(plain: tuple[str, ...], valued: tuple[str, ...]) -> Column:
+        def test(w: Column) -> Column:
+            ok = w.isin(*plain)
+            for v in valued:
+                ok |= F.startswith(w, F.lit(v))
+            return ok
+
+        return F.forall(before, test)
+
+    fits = F.coalesce(*[F.when(kind == k, allowed(*m)) for k, m in MODIFIERS.items()], F.lit(False))
+    guarded = (kind == "table") & (F.array_join(F.slice(lower, place + 1, 3), " ") == "if not exists")
+    written = F.get(words, place + F.when(guarded, 3).otherwise(0))
+    name = sql_object_name(F.regexp_extract(F.coalesce(written, F.lit("")), r"""^[\w`"\[\].]+""", 0))
+    return F.when((start > 0) & (place > 0) & fits & (name != ""), F.struct(kind.alias("kind"), name.alias("name")))
+
+
 def source_lines(files: DataFrame) -> DataFrame:
     """``(file_path, line, value, n_lines)`` from ``(file_path, text)``, 1-based."""
     parts = F.split("text", "\n")
@@ -34,21 +58,10 @@ def source_lines(files: DataFrame) -> DataFrame:
 def sql_symbols(files: DataFrame) -> DataFrame:
     """Symbols of ``(file_path, text)``; each ends where the next one starts.
 
-    Files are placed by path before they are split into lines, so the window
-    over a file's hits needs no shuffle of its own.
+    Only the hits are moved to their file's task.
     """
     value = F.col("value")
-    lines = source_lines(place_by_file(files)).filter(
-        value.rlike(r"(?i)\bCREATE\s") & ~value.rlike(r"^\s*--")
-    )
-    hit = F.coalesce(
-        *[
-            F.when(raw != "", F.struct(F.lit(kind).alias("kind"), sql_object_name(raw).alias("name")))
-            for kind, form in DDL_FORMS.items()
-            for raw in [F.regexp_extract("value", rf"(?i)\bCREATE\s+{form}{_NAME}", 1)]
-        ]
-    )
-    hits = lines.withColumn("hit", hit).filter("hit.name <> ''")
+    hits = source_lines(files).filter(value.rlike(r"(?i)\bCREATE\s") & ~value.rlike(r"^\s*--")).withColumn("hit", created_object(value)).filter("hit IS NOT NULL")
     in_file = Window.partitionBy("file_path").orderBy("line")
     end = F.greatest("line", F.coalesce(F.lead("line").over(in_file) - 1, F.col("n_lines")))
     return hits.select(

@@ -12,6 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def nested(opening: str, closing: str, other: str, levels: int = 12) -> str:
+    """A pattern of brackets within brackets, ``levels`` deep; ``other`` matches what is neither."""
+    inner = rf"{opening}(?:{other})*+{closing}"
+    for _ in range(levels):
+        inner = rf"{opening}(?:{other}|{inner})*+{closing}"
+    return inner
+
+
 IDENT = r"\A[\p{L}_$#\\][\p{L}\p{N}_$\\]*\z"
 
 
@@ -43,7 +51,7 @@ def _newlines(text: Column) -> Column:
 
 
 def tokenize(
-    files: DataFrame, token: str, comment: str, unfold: str | None = None, separator: str | None = None
+    files: DataFrame, token: str, comment: str, unfold: str | None = None, separator: str | None = None, glued: str | None = None
 ) -> DataFrame:
     """Tokens of ``(file_path, text[, ...])`` without comments.
 
@@ -51,7 +59,9 @@ def tokenize(
     belongs to it, so lines are counted without separate newline rows.
     ``unfold`` matches tokens that hold code of their own (template strings): the
     code inside ``${...}`` is tokenized in place. ``separator`` matches tokens that
-    only end a statement; they become ``;``.
+    only end a statement; they become ``;``. ``glued`` matches, with one group each,
+    two tokens that are only known together (a regular expression literal and what
+    stands before it); they become two.
 
     Adds ``pos, tok, line, end_line, depth, parens, newline``: ``depth`` and
     ``parens`` count the braces and the parentheses or brackets open *before* the
@@ -59,6 +69,16 @@ def tokenize(
     """
     pattern = F.lit(rf"\s*(?:{token})")
     tokens = F.regexp_extract_all("text", pattern, F.lit(0))
+    if glued is not None:
+        tokens = F.flatten(
+            F.transform(
+                tokens,
+                lambda t: F.when(
+                    F.endswith(t, F.lit("/")) & t.rlike(glued) | t.rlike(r"/[a-z]+\z") & t.rlike(glued),
+                    F.array(F.regexp_extract(t, glued, 1), F.regexp_extract(t, glued, 2)),
+                ).otherwise(F.array(t)),
+            )
+        )
     if unfold is not None:
         inner = r"\$\{([^{}`]*)\}|\n"
         tokens = F.flatten(

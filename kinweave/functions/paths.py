@@ -14,6 +14,19 @@ def normalize_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^/+|/+$", "")
 
 
+def relative_path(path: Column) -> Column:
+    """``path`` from the top of the tree: ``.`` and empty segments are dropped and ``..`` takes back the segment before it."""
+    segments = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    resolved = F.aggregate(
+        segments, _no_strings(),
+        lambda done, s: F.when((s == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, 1, F.size(done) - 1)).otherwise(
+            F.concat(done, F.array(s))
+        ),
+    )
+    absolute = F.when(F.startswith(path, F.lit("/")), "/").otherwise("")
+    return F.concat(absolute, F.array_join(resolved, "/"))
+
+
 def _prefixes(parts: Column, separator: str) -> Column:
     """Proper prefixes of ``parts``, longest first. Empty when there are none."""
     n = F.size(parts)

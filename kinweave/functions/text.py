@@ -63,5 +63,9 @@ def is_constant_name(name: Column) -> Column:
 
 
 def sql_object_name(raw: Column) -> Column:
-    """Drop the schema prefix and one quoting character from each end."""
-    return F.trim(F.regexp_replace(F.substring_index(raw, ".", -1), r'\A[`"\[\]]|[`"\[\]]\z', ""))
+    """The last part of a dotted name without the quoting character that may stand at each end."""
+    quotes = ("`", '"', "[", "]")
+    part = F.substring_index(raw, ".", -1)
+    opened = F.when(F.left(part, F.lit(1)).isin(*quotes), F.substring(part, 2, 1 << 30)).otherwise(part)
+    closed = F.when(F.right(opened, F.lit(1)).isin(*quotes), F.left(opened, F.length(opened) - 1)).otherwise(opened)
+    return F.trim(closed)

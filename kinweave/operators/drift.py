@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.paths import relative_path
 from kinweave.functions.records import provenance_pointer
 from kinweave.functions.text import is_local_ref
 from kinweave.graph import CodeGraph
@@ -25,10 +26,6 @@ class DriftReport:
     invalid: DataFrame  # (line, id, message)
 
 
-def _relative(path: F.Column) -> F.Column:
-    return F.regexp_replace(F.regexp_replace(path, r"^(\./)+", ""), r"/+$", "")
-
-
 def drift_report(graph: CodeGraph, log: DataFrame, errors: DataFrame, listing: DataFrame) -> DriftReport:
     """Check live records of the log, not of the graph, so a stale graph cannot hide drift.
 
@@ -48,11 +45,11 @@ def drift_report(graph: CodeGraph, log: DataFrame, errors: DataFrame, listing: D
     refs = live.filter((F.col("rf") != "") & is_local_ref(F.col("rf"))).select(
         F.col("id").alias("record_id"), F.col("rf").alias("ref"), F.col("cl").alias("claim")
     )
-    missing = refs.join(on_disk, _relative(F.col("ref")) == F.col("on_disk"), "left_anti")
+    missing = refs.join(on_disk, relative_path(F.col("ref")) == F.col("on_disk"), "left_anti")
     cited = live.select(
         F.col("id").alias("record_id"), provenance_pointer(F.col("pv")).alias("pointer"), F.col("cl").alias("claim")
     ).filter("pointer IS NOT NULL")
-    fabricated = cited.join(on_disk, _relative(F.col("pointer")) == F.col("on_disk"), "left_anti")
+    fabricated = cited.join(on_disk, relative_path(F.col("pointer")) == F.col("on_disk"), "left_anti")
     return DriftReport(unresolved, missing, fabricated, errors)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kinweave import schema
 from kinweave.functions.paths import file_of, last_segment, parent_fqn
-from kinweave.operators.traverse import MAX_SUPERTYPE_HOPS, reach
+from kinweave.operators.traverse import reach
 
 # Fixed value: the symbol kinds a class name can stand for.
 CLASS_LIKE = ("class", "interface", "enum")
@@ -112,7 +112,7 @@ def resolve_calls(symbols: DataFrame, refs: DataFrame, extends: DataFrame) -> Da
     requests = named.unionByName(owned).filter("class_id IS NOT NULL")
 
     wanted = requests.select("class_id", "method").distinct()
-    ancestors = reach(extends, wanted.select(F.col("class_id").alias("seed")), MAX_SUPERTYPE_HOPS)
+    ancestors = reach(extends, wanted.select(F.col("class_id").alias("seed")), None)
     members = symbols.filter(F.instr("fqn", ".") > 0).select(
         F.concat(F.col("file_path"), F.lit("::"), parent_fqn(F.col("fqn"))).alias("node"),
         last_segment(F.col("fqn")).alias("method"),

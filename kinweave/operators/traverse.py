@@ -7,6 +7,7 @@ for one symbol or for a million.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +58,12 @@ def unresolved_of(graph: CodeGraph, seeds: DataFrame) -> DataFrame:
 def reach(
     edges: DataFrame,
     seeds: DataFrame,
-    max_depth: int,
+    max_depth: int | None,
     *,
     with_path: bool = False,
     include_seed: bool = False,
 ) -> DataFrame:
-    """Every node within ``max_depth`` hops of each seed, at its minimum depth.
+    """Every node within ``max_depth`` hops of each seed, at its minimum depth; None walks until nothing is new.
 
     Returns ``(seed, node, depth[, path])``. One equi-join per level expands all
     seeds at once; candidates are reduced to one row per (seed, node) before the
@@ -86,7 +87,7 @@ def reach(
     keep = ["seed", "node", "path"] if with_path else ["seed", "node"]
 
     levels: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"])
         if with_path:
             found = (

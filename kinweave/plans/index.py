@@ -154,7 +154,7 @@ def analyze(
     either, or with ``full``, everything is read. Records are indexed again in
     every run: the log changes independently of the sources.
     """
-    listing = materialize(list_tree(spark, root), "listing")
+    listing = materialize(list_tree(spark, root, config.exclude), "listing")
     current = walk(listing, config.include, config.languages, config.exclude)
     previous = load_state(spark, f"{state}/manifest", schema.MANIFEST)
     stored = CodeIndex(**{n: load_state(spark, f"{state}/{n}", layout) for n, layout in _STATE.items()})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave import schema
 from kinweave.extract.knowledge import scan_decisions, scan_markers, scan_reverts
+from kinweave.functions.paths import relative_path
 from kinweave.functions.records import canonical_json, provenance_pointer
 from kinweave.functions.text import dedup_key
 from kinweave.operators.records import disk_entries
@@ -52,7 +53,7 @@ def admit_records(log: DataFrame, candidates: DataFrame, listing: DataFrame, now
     )
     on_disk = disk_entries(listing).select(F.col("path").alias("on_disk"))
     cited = numbered.select("line", provenance_pointer(F.col("pv")).alias("pointer")).filter("pointer IS NOT NULL")
-    fabricated = cited.join(on_disk, F.col("pointer") == F.col("on_disk"), "left_anti").select(
+    fabricated = cited.join(on_disk, relative_path(F.col("pointer")) == F.col("on_disk"), "left_anti").select(
         "line", F.concat(F.lit("provenance cites a file that does not exist: "), "pointer").alias("message")
     )
     problems = problems.unionByName(dangling).unionByName(fabricated)

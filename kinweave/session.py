@@ -41,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return _local_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="kinweave-"))
+    if context.applicationId not in _local_scratch:
+        _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="kinweave-")
+    return _local_scratch[context.applicationId]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.extract import php, python, typescript
 from kinweave.extract.knowledge import DECISION_DIRS, RECORD_SEPARATOR
 from kinweave.functions.paths import extension, under_excluded_dir
+from kinweave.session import materialize
 
 # The language of each file extension and the folders that are
 # never walked.
@@ -30,19 +36,43 @@ def language_of(path: Column) -> Column:
     return F.coalesce(*[F.when(ext.isin(*exts), name) for name, exts in LANGUAGE_EXTENSIONS.items()])
 
 
-def _below(path: Column, root: str) -> Column:
-    """``path`` relative to ``root``, whatever scheme either is written with."""
-    plain = F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/)", "")
-    bare_root = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/)", "")
-    return F.url_decode(F.replace(F.substring(plain, F.length(bare_root) + 2, F.lit(1 << 30)), F.lit("+"), F.lit("%2B")))
-
-
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, mtime)`` of every file below ``root``; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(
-        _below(F.col("path"), root).alias("path"), F.unix_millis("modificationTime").alias("mtime")
-    )
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as a full URI, by the file system that the session is configured with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+
+
+def list_tree(spark: SparkSession, root: str, exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``(path, mtime)`` of every file below ``root``, hidden names included; file contents are not read.
+
+    Folders are listed level by level in parallel, and a folder whose name is in
+    ``exclude`` is not entered. Spark's own file listing is not used because it
+    skips names that start with ``_`` or ``.``. A root that does not exist has no files.
+    """
+    uri, skipped = qualified(spark, root), set(exclude)
+    layout = "path string, mtime long, folder boolean"
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                selector = fs.FileSelector(f"{base.rstrip('/')}/{folder}", allow_not_found=True)
+                found = [
+                    (f"{folder}/{x.base_name}".lstrip("/"), int(x.mtime_ns or 0) // 1_000_000, x.type == fs.FileType.Directory)
+                    for x in store.get_file_info(selector)
+                    if x.type != fs.FileType.Directory or x.base_name not in skipped
+                ]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*found)) or [(), (), ()], (pa.string(), pa.int64(), pa.bool_()))], names=["path", "mtime", "folder"])
+
+    level, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        found = materialize(level.mapInArrow(children, layout), "listing")
+        levels.append(found.filter("not folder").select("path", "mtime"))
+        level = found.filter("folder").select("path")
+        n = level.count()
+        if not n:
+            return reduce(DataFrame.unionAll, levels)
+        level = level.repartition(min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def walk(
@@ -62,14 +92,24 @@ def walk(
 
 
 def read_sources(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """``(file_path, text)`` below ``root``, restricted to the paths of ``wanted``."""
-    texts = (
-        spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-        .select(_below(F.col("_metadata.file_path"), root).alias("file_path"), F.col("value").alias("text"))
-    )
-    if wanted is None:
-        return texts
-    return texts.join(wanted.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    """``(file_path, text)`` of the files ``wanted(path)`` below ``root``, all files where none are given.
+
+    Exactly these files are opened, each by the task that holds its path. Bytes
+    that are no UTF-8 become replacement characters.
+    """
+    uri = qualified(spark, root)
+    paths = (list_tree(spark, root) if wanted is None else wanted).select("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{base.rstrip('/')}/{path}") as file:
+                    text = file.read().decode("utf-8", "replace")
+                yield pa.record_batch([pa.array([path]), pa.array([text])], names=["file_path", "text"])
+
+    spread = paths.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return spread.mapInArrow(read, "file_path string, text string")
 
 
 def decision_documents(

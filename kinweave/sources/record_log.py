@@ -19,8 +19,9 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     A split knows its position in its file, and rows keep their order inside a
     split, so a line number is the number of lines in earlier splits plus the
     position within the split. Only one row per split goes through a window.
+    Appends are read in their order (:func:`append_log` numbers their folders).
     """
-    rows = spark.read.text(path).select(
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -155,8 +156,25 @@ def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def append_log(records: DataFrame, path: str) -> None:
-    """Append canonical lines; whole lines only, nothing for an empty input."""
-    records.select(canonical_json().alias("value")).write.mode("append").text(path)
+    """Append canonical lines; whole lines only, nothing for an empty input.
+
+    Every append is a folder of its own with the next number, whose name sorts
+    after all that is there. Of two writers that draw one number the second fails
+    before it writes anything.
+    """
+    lines = materialize(records.select("line", canonical_json().alias("value")) if "line" in records.columns else records.select(
+        F.monotonically_increasing_id().alias("line"), canonical_json().alias("value")
+    ), "append")
+    if lines.isEmpty():
+        return
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(folder)] if store.exists(folder) else []
+    taken = [int(n.partition("=")[2]) for n in names if n.startswith("seq=")]
+    lines.repartitionByRange("line").sortWithinPartitions("line").select("value").write.mode("error").text(
+        f"{path}/seq={max(taken, default=0) + 1:012d}"
+    )
 
 
 def live_records(records: DataFrame) -> DataFrame:

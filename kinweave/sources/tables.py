@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +19,7 @@ from kinweave import schema
 from kinweave.graph import CodeGraph
 from kinweave.operators.lookup import RULE_MARKER
 from kinweave.session import materialize
-from kinweave.sources.files import DEFAULT_EXCLUDES
+from kinweave.sources.files import DEFAULT_EXCLUDES, list_tree, qualified, read_sources
 
 # The key each edge or node table is mostly joined on.
 BUCKET_KEYS = {
@@ -71,17 +77,39 @@ def save_state(df: DataFrame, path: str) -> None:
 
 
 def write_rules(documents: DataFrame, path: str) -> None:
-    """One folder of ordered text parts per rule; rules of earlier runs are replaced.
+    """One file per rule in ``path``; generated rules that are no longer produced are removed, other files stay.
 
-    Range partitioning on the full sort key splits a rule that is larger than a
-    task, where hash partitioning would not.
+    A rule's lines are sorted in its task and streamed to a file that takes its
+    final name at the end, so a reader never sees half a rule.
     """
+    spark = documents.sparkSession
+    uri = qualified(spark, path)
     order = ["rule_file", "file", "priority", "id"]
-    (
-        documents.repartitionByRange(*order).sortWithinPartitions(*order)
-        .select("rule_file", F.col("line").alias("value"))
-        .write.mode("overwrite").partitionBy("rule_file").text(path)
-    )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        store.create_dir(base, recursive=True)
+        rows = ((r["rule_file"], r["line"]) for batch in batches for r in batch.to_pylist())
+        for name, lines in groupby(rows, key=itemgetter(0)):
+            attempt = f"{base}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(attempt) as out:
+                for _, line in lines:
+                    out.write(f"{line}\n".encode())
+            store.move(attempt, f"{base}/{name}")
+            yield pa.record_batch([pa.array([name])], names=["rule_file"])
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store.delete_file(f"{base}/{name}")
+            yield batch
+
+    placed = documents.repartition("rule_file").sortWithinPartitions(*order).select("rule_file", "line")
+    written = materialize(placed.mapInArrow(write, "rule_file string"), "rules")
+    listed = list_tree(spark, path).filter((F.instr("path", "/") == 0) & F.endswith(F.col("path"), F.lit(".mdc")))
+    existing = read_sources(spark, path, listed).select(F.col("file_path").alias("rule_file"), F.col("text").alias("body"))
+    materialize(stale_rules(existing, written).mapInArrow(remove, "rule_file string"), "removed-rules")
 
 
 def stale_rules(existing: DataFrame, current: DataFrame) -> DataFrame:

@@ -5,100 +5,124 @@ import pytest
 from kinweave.extract import php, typescript
 
 TS = {
-    "src/order.ts": """export class OrderService {
-  process() {
-    const p = new Product();
-    Inventory.check(p);
+    "dock/crane.ts": """export interface Lifter { raise(kg: number): void; reach: number; }
+export type BerthNo = number;
+export enum Tide { Ebb, Flood }
+export class Crane {
+  hoist(box: string) {
+    Ledger.note(box);
+    return new Hook();
   }
 }
-export class Product {}
-export function hash(p: string): string { return p; }
-export interface Repo { find(): void; name: string; }
-export type UserId = string;
-export enum Status { Active, Inactive }
-export const SKILLS: Skill[] = [a, b];
-let counter = 0, other = 1
-const { skipped } = load();
+export class Hook {}
+let low = 1, high = 2
+export const LIMITS: number[] = [low, high];
+const { unused } = LIMITS;
+export function tonnes(raw: number): number { return raw / 1000; }
 """,
-    "src/svc.ts": """class Client { send() {} }
-class Base { reset() {} }
-/* class Ghost { } */
-class Service<T> extends Base implements Iface, ns.Other {
-  private client: Client;
-  maybe: Client | null;
-  list: Client[];
-  constructor(private readonly other: Client, plain: Client) {}
-  async run(): Promise<void> {
-    // this.nothing.here();
-    this.client.send();
-    this.other.send(`x ${Tool.trace(1)}
-      y`);
-    this.plain.send();
-    this.maybe.send();
-    this.helper();
-    super.reset();
-    const s = "this.fake()";
+    "dock/pilot.ts": """class Radio { call() {} }
+class Watch { relieve() {} }
+/* class Phantom { } */
+class Pilot<T extends Watch> extends Watch implements Rank, harbour.Officer {
+  private radio: Radio;
+  spare: Radio | undefined;
+  sets: Radio[];
+  constructor(private readonly second: Radio, idle: Radio) {}
+  async board(): Promise<Map<string, Set<Array<number>>>> {
+    // this.radio.sink();
+    this.radio.call();
+    this.second.call(`ship ${Log.line(1)}
+      ${this.name({ a: { b: { c: 1 } } })} out`);
+    this.idle.call();
+    this.spare.call();
+    this.salute();
+    super.relieve();
+    const quote = "this.never()";
   }
-  @Hook('x') helper(): void {}
-  get value(): number { return 1 }
-  #secret() { return /[{]/.test("a") }
-  field = () => { this.helper(); }
+  @Duty('night') salute(): void {}
+  get rank(): number { return 3 }
+  #log() { return /[{]/.test("x") }
+  later = () => { this.salute(); }
 }
-abstract class Shape extends Base {
-  abstract area(): number;
-  draw(): void { this.area(); }
+abstract class Vessel extends Watch {
+  abstract draught(): number;
+  moor(): void { this.draught(); }
 }
-const handler = async (req) => {
-  Service.create(req)
-  return req
+const berth = async (ship) => {
+  Pilot.assign(ship)
+  return ship
 }
-function sig(a: string): void;
-function sig(a: any): void { Tool.use(a) }
+function signal(flag: string): void;
+function signal(flag: any): void { Mast.raise(flag) }
 """,
+    "dock/odd.ts": """class R {
+  a() {
+    match(
+                            /[{]/, text);
+    if (text) /[}]/.test(text)
+    return  /[{]{3}/g
+  }
+  b() { half(a / 2, b / 2) }
+}
+class R2 {
+  c() { Q.go(x => /[{]/.exec(x)) }
+}
+""",
+    "dock/view.tsx": """class A {
+  render() { return <ul>{items.map(x => <li key={x}>{x}</li>)}</ul>; }
+  after() { return <div>{a}</div>; }
+}
+class B {
+  one() { return <p>{t}</p> }
+  two() {}
+}
+""",
+    "dock/broken.ts": "class Open { m() { if (x) { }\n",
 }
 PHP = {
-    "src/L.php": """<html><?php
-namespace App\\Models;
-use Foo\\Bar;
-final class FlushListener extends \\App\\Base implements Other
+    "port/Quay.php": """<header><?php
+namespace Port\\Works;
+use Sea\\Gauge;
+#[Entity(name: 'q', keys: [new Key(columns: ['a', ['b' => [1, [2]]]])])]
+final class Quay extends \\Port\\Structure implements Charted
 {
-    use Loggable, Countable;
-    private DeferredCache $l1, $l3;
-    private Foo|Bar $union;
-    public function __construct(private ?FlyCache $l2, int $n) {}
-    #[Attr(1)]
-    public function onTerminate(): void {
-        $this->l1->flush();
-        $this->l2->clear(); // $this->ghost();
-        $this->l3->flush();
-        $this->union->go();
-        $this->dependency->doWork();
-        $this->localHelper("$this->x()");
-        self::boot(); parent::init(); static::setup();
-        Inventory::check();
-        $x = new \\App\\Models\\User();
-        $y = new class { public function inner() {} };
-        $z = <<<EOT
-        class Heredoc { }
-        EOT;
+    use Numbered, Lit;
+    private Winch $north, $south;
+    private Winch|Buoy $either;
+    public function __construct(private ?Gauge $tide, int $depth) {}
+    #[Route('/a]b[c')]
+    public function close(): void {
+        $this->north->wind();
+        $this->tide->read(); // $this->nobody();
+        $this->south->wind();
+        $this->either->drop();
+        $this->unknown->act();
+        $this->lower("$this->z()");
+        self::lock(); parent::shut(); static::rest();
+        Tariff::charge();
+        $one = new \\Port\\Crew\\Mate();
+        $two = new class { public function within() {} };
+        $text = <<<NOTE
+        class Written { }
+        NOTE;
     }
-    abstract public function localHelper(): void;
+    abstract public function lower(): void;
 }
-interface Gateway { public function charge(int $amount): bool; }
-trait Loggable { public function log() {} }
-enum Suit: string { case A = 'a'; public function label() {} }
-function calculateTax(float $amount): float { return $amount * 0.19; }
+interface Payer { public function pay(int $dues): bool; }
+trait Lit { public function shine() {} }
+enum Flag: string { case Red = 'r'; public function mean() {} }
+function fathoms(float $metres): float { return $metres / 1.83; }
 ?>
-<p>class Html {}</p>
+<p>class Markup {}</p>
 """,
-    "src/ns.php": """<?php
-namespace App\\A {
-    class Order {
-        public function total(): float { return 0.0; }
+    "port/two.php": """<?php
+namespace Port\\North {
+    class Pier {
+        public function length(): float { return 0.0; }
     }
 }
-namespace App\\B {
-    class Other { public function m() {} }
+namespace Port\\South {
+    class Jetty { public function m() {} }
 }
 """,
 }
@@ -130,102 +154,115 @@ def refs(extraction, path):
 
 
 def test_ts_declarations(ts):
-    assert symbols(ts, "src/order.ts") == {
-        ("OrderService", "class", 1, 6),
-        ("OrderService.process", "method", 2, 5),
-        ("Product", "class", 7, 7),
-        ("hash", "function", 8, 8),
-        ("Repo", "interface", 9, 9),
-        ("Repo.find", "method", 9, 9),
-        ("UserId", "type", 10, 10),
-        ("Status", "enum", 11, 11),
-        ("SKILLS", "constant", 12, 12),
-        ("counter", "constant", 13, 13),
-        ("other", "constant", 13, 13),
+    assert symbols(ts, "dock/crane.ts") == {
+        ("Lifter", "interface", 1, 1),
+        ("Lifter.raise", "method", 1, 1),
+        ("BerthNo", "type", 2, 2),
+        ("Tide", "enum", 3, 3),
+        ("Crane", "class", 4, 9),
+        ("Crane.hoist", "method", 5, 8),
+        ("Hook", "class", 10, 10),
+        ("low", "constant", 11, 11),
+        ("high", "constant", 11, 11),
+        ("LIMITS", "constant", 12, 12),
+        ("tonnes", "function", 14, 14),
     }
 
 
 def test_ts_members(ts):
-    assert symbols(ts, "src/svc.ts") == {
-        ("Client", "class", 1, 1),
-        ("Client.send", "method", 1, 1),
-        ("Base", "class", 2, 2),
-        ("Base.reset", "method", 2, 2),
-        ("Service", "class", 4, 24),
-        ("Service.constructor", "method", 8, 8),
-        ("Service.run", "method", 9, 19),
-        ("Service.helper", "method", 20, 20),
-        ("Service.value", "method", 21, 21),
-        ("Service.#secret", "method", 22, 22),
-        ("Shape", "class", 25, 28),
-        ("Shape.draw", "method", 27, 27),
-        ("handler", "constant", 29, 32),
-        ("sig", "function", 34, 34),
+    assert symbols(ts, "dock/pilot.ts") == {
+        ("Radio", "class", 1, 1),
+        ("Radio.call", "method", 1, 1),
+        ("Watch", "class", 2, 2),
+        ("Watch.relieve", "method", 2, 2),
+        ("Pilot", "class", 4, 24),
+        ("Pilot.constructor", "method", 8, 8),
+        ("Pilot.board", "method", 9, 19),
+        ("Pilot.salute", "method", 20, 20),
+        ("Pilot.rank", "method", 21, 21),
+        ("Pilot.#log", "method", 22, 22),
+        ("Vessel", "class", 25, 28),
+        ("Vessel.moor", "method", 27, 27),
+        ("berth", "constant", 29, 32),
+        ("signal", "function", 34, 34),
     }
 
 
 def test_ts_calls(ts):
-    assert refs(ts, "src/order.ts") == [
-        ("OrderService.process", "Inventory.check", "static_call", 4),
-        ("OrderService.process", "Product", "instantiation", 3),
+    assert refs(ts, "dock/crane.ts") == [
+        ("Crane.hoist", "Hook", "instantiation", 7),
+        ("Crane.hoist", "Ledger.note", "static_call", 6),
     ]
-    assert refs(ts, "src/svc.ts") == sorted(
-        [
-            ("Service.run", "Client.send", "static_call", 11),
-            ("Service.run", "Client.send", "static_call", 12),
-            ("Service.run", "Tool.trace", "static_call", 12),
-            ("Service.run", "Service.helper", "static_call", 16),
-            ("Service.run", "parent::reset", "static_call", 17),
-            # a call in an arrow-function field belongs to the class, which has no outer class
-            ("Shape.draw", "Shape.area", "static_call", 27),
-            ("handler", "Service.create", "static_call", 30),
-            ("sig", "Tool.use", "static_call", 34),
-        ]
-    )
+    found = refs(ts, "dock/pilot.ts")
+    # a call in an arrow-function field belongs to the class, which has no outer class
+    assert set(found) >= {
+        ("Pilot.board", "Radio.call", "static_call", 11),
+        ("Pilot.board", "Radio.call", "static_call", 12),
+        ("Pilot.board", "Log.line", "static_call", 12),
+        ("Pilot.board", "Pilot.salute", "static_call", 16),
+        ("Pilot.board", "parent::relieve", "static_call", 17),
+        ("Vessel.moor", "Vessel.draught", "static_call", 27),
+        ("berth", "Pilot.assign", "static_call", 30),
+        ("signal", "Mast.raise", "static_call", 34),
+    }
+    assert not any(name in target for _, target, *_ in found for name in ("sink", "never", "Phantom"))
+
+
+def test_ts_literals_and_tags_keep_the_structure(ts):
+    assert symbols(ts, "dock/odd.ts") == {
+        ("R", "class", 1, 9), ("R.a", "method", 2, 7), ("R.b", "method", 8, 8), ("R2", "class", 10, 12), ("R2.c", "method", 11, 11),
+    }
+    assert refs(ts, "dock/odd.ts") == [("R2.c", "Q.go", "static_call", 11)]
+    assert {s[0] for s in symbols(ts, "dock/view.tsx")} == {"A", "A.render", "A.after", "B", "B.one", "B.two"}
+
+
+def test_files_that_do_not_balance_are_reported(ts, ph):
+    assert [(r.file_path, r.error) for r in ts.errors.collect()] == [("dock/broken.ts", "braces are not balanced")]
+    assert ph.errors.count() == 0
 
 
 def test_ts_inheritance(ts):
-    pairs = {(r.child, r.parent) for r in ts.inheritance.collect()}
-    assert pairs == {("Service", "Base"), ("Service", "Iface"), ("Service", "Other")}
+    pairs = {(r.child, r.parent) for r in ts.inheritance.filter("file_path = 'dock/pilot.ts'").collect()}
+    assert pairs == {("Pilot", "Watch"), ("Pilot", "Rank"), ("Pilot", "Officer")}
 
 
 def test_php_declarations(ph):
-    assert symbols(ph, "src/L.php") == {
-        ("FlushListener", "class", 4, 27),
-        ("FlushListener.__construct", "method", 9, 9),
-        ("FlushListener.onTerminate", "method", 10, 25),
-        ("FlushListener.localHelper", "method", 26, 26),
-        ("Gateway", "interface", 28, 28),
-        ("Gateway.charge", "method", 28, 28),
-        ("Loggable", "class", 29, 29),
-        ("Loggable.log", "method", 29, 29),
-        ("Suit", "enum", 30, 30),
-        ("calculateTax", "function", 31, 31),
+    assert symbols(ph, "port/Quay.php") == {
+        ("Quay", "class", 4, 28),
+        ("Quay.__construct", "method", 10, 10),
+        ("Quay.close", "method", 11, 26),
+        ("Quay.lower", "method", 27, 27),
+        ("Payer", "interface", 29, 29),
+        ("Payer.pay", "method", 29, 29),
+        ("Lit", "class", 30, 30),
+        ("Lit.shine", "method", 30, 30),
+        ("Flag", "enum", 31, 31),
+        ("fathoms", "function", 32, 32),
     }
-    assert symbols(ph, "src/ns.php") == {
-        ("Order", "class", 3, 5),
-        ("Order.total", "method", 4, 4),
-        ("Other", "class", 8, 8),
-        ("Other.m", "method", 8, 8),
+    assert symbols(ph, "port/two.php") == {
+        ("Pier", "class", 3, 5),
+        ("Pier.length", "method", 4, 4),
+        ("Jetty", "class", 8, 8),
+        ("Jetty.m", "method", 8, 8),
     }
 
 
 def test_php_calls(ph):
-    who = "FlushListener.onTerminate"
-    assert refs(ph, "src/L.php") == sorted(
+    who = "Quay.close"
+    assert refs(ph, "port/Quay.php") == sorted(
         [
-            (who, "DeferredCache.flush", "static_call", 12),
-            (who, "FlyCache.clear", "static_call", 13),
-            (who, "DeferredCache.flush", "static_call", 14),
-            (who, "FlushListener.localHelper", "static_call", 17),
-            (who, "FlushListener.boot", "static_call", 18),
-            (who, "parent::init", "static_call", 18),
-            (who, "Inventory.check", "static_call", 19),
-            (who, "User", "instantiation", 20),
+            (who, "Winch.wind", "static_call", 13),
+            (who, "Gauge.read", "static_call", 14),
+            (who, "Winch.wind", "static_call", 15),
+            (who, "Quay.lower", "static_call", 18),
+            (who, "Quay.lock", "static_call", 19),
+            (who, "parent::shut", "static_call", 19),
+            (who, "Tariff.charge", "static_call", 20),
+            (who, "Mate", "instantiation", 21),
         ]
     )
 
 
 def test_php_inheritance(ph):
     pairs = {(r.child, r.parent) for r in ph.inheritance.collect()}
-    assert pairs == {("FlushListener", "Base"), ("FlushListener", "Loggable"), ("FlushListener", "Countable")}
+    assert pairs == {("Quay", "Structure"), ("Quay", "Numbered"), ("Quay", "Lit")}
