@@ -7,13 +7,14 @@ document's component of links.
 1. Sets are hashed in one pass. Documents with equal sets are one *class* from
    here on, so exact copies never meet each other.
 2. Classes that could link are brought together without a frequency order and
-   without loss: sets of sizes that can link differ in at most ``d`` shingles;
-   cut by hash into ``d + 2`` parts, two of the parts are equal in both sets,
-   and at most one equal part is empty (a set with more empty parts emits those
-   too). A class emits the hash of each part for the two size windows it lies
-   in. Only nearly equal sets share a part, so a passage that a third of all
-   documents hold brings nothing together. Classes joined by shared parts are a
-   *block*; every link lies within a block.
+   without loss: sets of sizes that can link differ in at most ``d`` shingles,
+   so of their shingles cut by hash into more than ``d`` parts all but ``d``
+   parts are equal. A class emits the hash of each part that is not empty, for
+   the two size windows it lies in; a class with ``d`` such parts or fewer emits
+   its empty parts too, as only those might be equal (the number of parts is
+   chosen so that this is rare). Classes joined by shared parts are a *block*;
+   every link lies within a block. Parts hold several shingles, so a passage
+   that many documents share hardly ever fills one.
 3. Within a block a signature tree is built over its members, ordered by size:
    nodes hold the OR of their members' bitmaps, the least number of bits and the
    size range. A dual traversal starts from the root pair and drops node pairs
@@ -98,6 +99,7 @@ class Windows:
         self.t = threshold
         self.starts = [1]
         self._parts: list[int] = []
+        self._apart: list[int] = []
 
     def upper(self, size: int) -> int:
         """The largest set that can link with one of ``size``."""
@@ -109,10 +111,22 @@ class Windows:
             self.starts.append(max(last + 1, self.upper(last - 1) + 1))
             x = self.starts[-1] - 1
             apart = (100 - self.t) * (x + self.upper(x)) // (100 + self.t)
-            self._parts.append(apart + 2 if apart else 0)
+            self._apart.append(apart)
+            self._parts.append(self._enough(apart, last) if apart else 0)
             if self.starts[-1] > size:
                 break
 
+    @staticmethod
+    def _enough(apart: int, least: int) -> int:
+        """So many parts that a set of ``least`` shingles fills more than ``apart`` of them almost surely."""
+        parts = apart + 1
+        while True:
+            filled = parts * (1 - np.exp(-least / parts))
+            spread = np.sqrt(parts * np.exp(-least / parts) * (1 - (1 + least / parts) * np.exp(-least / parts)))
+            if filled - 3.5 * spread > apart or parts > 4 * least:
+                return parts
+            parts += max(1, parts // 50)
+
     def of(self, sizes: np.ndarray) -> np.ndarray:
         self.reach(int(sizes.max(initial=1)))
         return np.searchsorted(np.array(self.starts), sizes, side="right") - 1
@@ -120,6 +134,10 @@ class Windows:
     def parts(self, window: np.ndarray) -> np.ndarray:
         return np.where(window >= 0, np.array(self._parts, np.int64)[np.maximum(window, 0)], 0)
 
+    def apart(self, window: np.ndarray) -> np.ndarray:
+        """In how many shingles two sets of a window may differ that link."""
+        return np.where(window >= 0, np.array(self._apart, np.int64)[np.maximum(window, 0)], 0)
+
 
 def part_keys(sets: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """``(keys, offsets)``: the part hashes of each set for its two windows."""
@@ -140,7 +158,7 @@ def part_keys(sets: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.
             np.add.at(fold, slot, mixed[live])
             of = np.repeat(np.arange(len(sets)), parts)
             empty = count == 0
-            sparse = np.bincount(of[empty], minlength=len(sets)) >= 2
+            sparse = np.bincount(of[~empty], minlength=len(sets)) <= windows.apart(window)
             kept = ~empty | sparse[of]
             number = (np.arange(total) - base[of]).astype(np.uint64)
             where = _mix(window[of].astype(np.uint64) * np.uint64(1 << 32) + number)
