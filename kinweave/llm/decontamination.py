@@ -7,18 +7,19 @@ item with fewer words is one window) are phrase queries against the corpus:
 1. A pass over all texts counts the corpus occurrences of every item term.
    Each window orders its words from the rarest on.
 2. A second pass over all texts stores the postings: per document row and item
-   term the ordered positions. A document that lacks the rarest term of every
-   window can hold no window, so its postings are left out; its row and its
-   number of words are stored all the same.
+   term the ordered positions. A document that lacks, of every window, one of
+   its three rarest terms can hold no window, so its postings are left out; its
+   row and its number of words are stored all the same.
 3. The posting lists of the rarest terms meet the windows on the term, which
    gives offset-adjusted starts; each is intersected with the second rarest
    term's list, and what is left with those of all other words. A join key is
    (document row, term) there, so neither a frequent passage nor a long
    document gathers in one task.
 
-Terms and windows of the benchmark are broadcast only while they are at most
-``MAX_TERMS``/below Spark's own threshold; beyond that the build stops with an
-error that says so.
+Terms of the benchmark are broadcast; more than ``MAX_TERMS`` of them, or of
+windows, stop the build with an error that says so, as such a benchmark has to
+be checked in parts. Postings meet the windows with a broadcast up to
+``BROADCAST_WINDOWS`` windows and with a shuffle beyond.
 
 Defined results: null and empty texts have no words and no hits; items without
 words have no window; repeated documents are separate rows, each with its own
@@ -40,6 +41,7 @@ from kinweave.llm.common import lower_ascii, quoted, whole_row, with_results
 from kinweave.session import materialize
 
 MAX_TERMS = 4_000_000
+BROADCAST_WINDOWS = 200_000
 # Upper-case letters to lower case, other ASCII but letters and digits to a space.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
@@ -104,24 +106,28 @@ def corpus_counts(docs: DataFrame, terms: list[str], text_col: str = "text") ->
     return total
 
 
-def build_index(docs: DataFrame, terms: list[str], needed: list[int], text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, terms: list[str], needed: list[list[int]], text_col: str = "text") -> DataFrame:
     """The stored table ``(doc_row, row, n_words, postings)``; ``postings`` is ``array<struct<term, positions>>``.
 
-    ``needed`` lists the terms of which a document must hold one to have postings.
+    ``needed`` lists groups of terms, of which a document must hold one whole group to have postings.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((terms, np.array(sorted(set(needed)), np.int32)))
+    width = max(map(len, needed), default=1)
+    groups = np.array([g + g[:1] * (width - len(g)) for g in needed], np.int32).reshape(-1, width)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, groups))
 
     @F.arrow_udf("struct<n_words:long,postings:array<struct<term:int,positions:array<int>>>>")
     def positions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        terms, required = shared.value
-        postings, is_needed = Postings(terms), np.zeros(len(terms) + 1, bool)
-        is_needed[required] = True
+        terms, groups = shared.value
+        postings, present = Postings(terms), np.zeros(len(terms) + 1, bool)
         for texts in batches:
             n_words, per_doc, kept_terms, per_list, kept_at = [], [0], [], [0], []
             for text in _texts(texts):
                 n, term, at = postings.read(text)
                 n_words.append(n)
-                if is_needed[term].any():
+                present[term] = True
+                holds = present[groups].all(axis=1).any()
+                present[term] = False
+                if holds:
                     order = np.argsort(term, kind="stable")
                     term, at = term[order], at[order]
                     first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
@@ -152,7 +158,9 @@ def find_phrases(index: DataFrame, windows: DataFrame) -> DataFrame:
     """
     lists = index.filter(F.size("postings") > 0).select("doc_row", F.explode("postings").alias("p")).select("doc_row", "p.term", "p.positions")
     rarest = windows.select("window", "item_id", "size", F.col("words")[0].alias("a"), F.get("words", F.lit(1)).alias("b"), F.slice("words", 3, 1 << 20).alias("rest"))
-    started = lists.join(F.broadcast(rarest.withColumn("term", F.col("a.term"))), "term").select(
+    rarest = rarest.withColumn("term", F.col("a.term"))
+    small = windows.count() <= BROADCAST_WINDOWS
+    started = lists.join(F.broadcast(rarest) if small else rarest, "term").select(
         "doc_row", "window", "item_id", "size", "b", "rest",
         F.filter(F.transform("positions", lambda p: p - F.col("a.offset")), lambda s: s >= 0).alias("starts"),
     )
@@ -183,7 +191,7 @@ def find_proximity(index: DataFrame, windows: DataFrame, distance: int) -> DataF
         "window", "item_id", F.col("words")[0]["term"].alias("term"),
         F.array_distinct(F.transform("words", lambda w: w["term"])).alias("terms"),
     ).withColumn("terms", F.array_except("terms", F.array("term")))
-    at = lists.join(F.broadcast(seeds), "term").select("doc_row", "window", "item_id", "terms", F.explode("positions").alias("center"))
+    at = lists.join(seeds, "term").select("doc_row", "window", "item_id", "terms", F.explode("positions").alias("center"))
     lone = at.filter(F.size("terms") == 0).select("doc_row", "item_id", "window", "center")
     near = (
         at.filter(F.size("terms") > 0)
@@ -195,13 +203,15 @@ def find_proximity(index: DataFrame, windows: DataFrame, distance: int) -> DataF
     return lone.unionByName(near.select("doc_row", "item_id", "window", "center"))
 
 
-def ranked_windows(items: DataFrame, docs: DataFrame, width: int, text_col: str, item_id: str, item_text: str) -> tuple[DataFrame, list[str], list[int]]:
-    """The items' windows with their words from the rarest on, all item terms, and the windows' rarest terms."""
+def ranked_windows(items: DataFrame, docs: DataFrame, width: int, text_col: str, item_id: str, item_text: str) -> tuple[DataFrame, list[str], list[list[int]]]:
+    """The items' windows with their words from the rarest on, all item terms, and the three rarest terms of each window."""
     spark = docs.sparkSession
     windows = materialize(item_windows(items, width, item_id, item_text), "windows")
     rows = windows.select(F.explode("words").alias("w")).distinct().limit(MAX_TERMS + 1).collect()
     if len(rows) > MAX_TERMS:
         raise ValueError(f"the benchmark has over {MAX_TERMS} different words; check it in parts")
+    if windows.count() > MAX_TERMS:
+        raise ValueError(f"the benchmark has over {MAX_TERMS} windows; check it in parts")
     terms = sorted(r[0] for r in rows)
     counts = corpus_counts(docs, terms, text_col) if terms else np.zeros(0, np.int64)
     known = spark.createDataFrame(
@@ -213,7 +223,8 @@ def ranked_windows(items: DataFrame, docs: DataFrame, width: int, text_col: str,
         .select("window", "item_id", "size", F.transform("w", lambda x: F.struct(x["term"].alias("term"), x["offset"].alias("offset"))).alias("words"))
     )
     ranked = materialize(ranked, "windows")
-    needed = [r[0] for r in ranked.select(F.col("words")[0]["term"]).distinct().collect()]
+    rarest = F.transform(F.slice("words", 1, 3), lambda w: w["term"])
+    needed = [list(r[0]) for r in ranked.select(rarest).distinct().collect()]
     return ranked, terms, needed
 
 
