@@ -8,8 +8,9 @@ again as the next stage's input.
   under ``MIN_LANGUAGE``, go. The model learns from the stage's own rows.
 * toxicity: documents with a score of at least 0.3 go. The model learns from
   the labels of the stage's own rows; documents without labels are scored alike.
-* near duplicates: of each component of documents whose five-word shingle sets
-  have a Jaccard similarity of at least 0.8 the one with the smallest id stays;
+* near duplicates: of each component of documents whose three-word shingle sets
+  have a Jaccard similarity of at least 0.9 (the contract of the join) the one with
+  the smallest id stays;
   of repeated rows with one id one stays; documents without words stay, as do
   those with a null id.
 * decontamination: documents that hold ten consecutive words of a benchmark
@@ -57,7 +58,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = signature_join.jaccard_components(docs, n=5, threshold=80)
+    found = signature_join.jaccard_components(docs, n=3, threshold=90)
     dropped = materialize(found.filter("component_id <> id").select("id").distinct(), "duplicates")
     kept = _rows(docs).join(dropped, "id", "left_anti")
     # rows that repeat an id hold one document; they are few, so only they are gathered
