@@ -148,7 +148,9 @@ _STATE = {
 def analyze(
     spark: SparkSession, root: str, state: str, config: Config, log_path: str | None = None, full: bool = False
 ) -> Analysis:
-    """Bring the graph of ``root`` up to date, reading only the files that changed.
+    """Bring the graph of ``root`` up to date, opening only the files that changed.
+
+    Extracted rows of all files are rewritten and all references linked again.
 
     ``state`` is a shared folder for the manifest and the extracted rows. Without
     either, or with ``full``, everything is read. Records are indexed again in

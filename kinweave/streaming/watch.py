@@ -26,8 +26,8 @@ def watched(events: DataFrame, exclude: list[str] | tuple[str, ...]) -> DataFram
 def flush_windows(events: DataFrame, key: str = "root", gap: str = QUIET_PERIOD) -> DataFrame:
     """``(key, start, end, n_events)`` per burst of events, batch or streaming.
 
-    Sessions are merged within each input partition before the shuffle, so a busy
-    project sends its bursts, not its events.
+    Events of one time are counted before the shuffle; sessions are merged after
+    it, in one task per project.
     """
     return (
         events.groupBy(key, F.session_window("ts", gap).alias("w"))
@@ -65,7 +65,11 @@ def flush_batches(events: DataFrame, key: str = "root", item: str = "path", gap_
 
 
 def stream_flush_windows(events: DataFrame, key: str = "root", gap: str = QUIET_PERIOD, late: str = "10 seconds") -> DataFrame:
-    """:func:`flush_windows` on a stream; a burst is emitted once the watermark has passed it."""
+    """:func:`flush_windows` on a stream; a burst is emitted once the watermark has passed it.
+
+    Events later than ``late`` are dropped by the watermark. The manifest diff of
+    the next analysis finds their files, as it compares the tree and not events.
+    """
     return flush_windows(events.withWatermark("ts", late), key, gap)
 
 
