@@ -104,16 +104,16 @@ def values_of(ids: np.ndarray, n_words: int) -> np.ndarray:
     return np.where(ids & 1, 1.0, 1 / (1 + n_words / 50))
 
 
-def mine_voters(features: list[np.ndarray], toxic: np.ndarray, weights: np.ndarray, count: int = MINED, cover: int = 3) -> list[int]:
-    """Features that hold for toxic texts and hardly for others, each toxic text covered up to ``cover`` times."""
+def mine_voters(features: list[np.ndarray], toxic: np.ndarray, weights: np.ndarray, size: int, count: int = MINED, cover: int = 3) -> list[int]:
+    """Of ``size`` features those that hold for toxic texts and hardly for others, each toxic text covered up to ``cover`` times."""
     flat = np.concatenate(features) if features else np.zeros(0, np.int64)
     label = np.repeat(toxic, [len(f) for f in features])
     weight = np.repeat(weights, [len(f) for f in features])
-    positive = np.bincount(flat[label], minlength=FEATURES)
-    clean_mass = np.bincount(flat[~label], weight[~label], minlength=FEATURES)
-    toxic_mass = np.bincount(flat[label], weight[label], minlength=FEATURES)
+    positive = np.bincount(flat[label], minlength=size)
+    clean_mass = np.bincount(flat[~label], weight[~label], minlength=size)
+    toxic_mass = np.bincount(flat[label], weight[label], minlength=size)
     fit = np.flatnonzero((positive >= 4) & (toxic_mass >= 0.8 * (toxic_mass + clean_mass + 1)))
-    at = np.full(FEATURES, -1, np.int32)
+    at = np.full(size, -1, np.int32)
     at[fit] = np.arange(len(fit))
     holders: list[list[int]] = [[] for _ in fit]
     for i in np.flatnonzero(toxic):
@@ -276,7 +276,11 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     weights = np.where(toxic, n_toxic / toxic.sum(), n_clean / (~toxic).sum())
     weights = weights / weights.mean()
 
-    voters = mine_voters(features, toxic, weights)
+    # From here on features are numbered by their place among those that occur in the sample.
+    known_ids, places = np.unique(np.concatenate([*features, np.array([FEATURES], np.int64)]), return_inverse=True)
+    values = [values_of(f, n) for f, n in zip(features, n_words)]
+    features = np.split(places[:-1], np.cumsum([len(f) for f in features])[:-1])
+    voters = mine_voters(features, toxic, weights, len(known_ids))
     votes = np.zeros((len(features), STATIC + len(voters) + 3), bool)
     votes[:, :STATIC] = hits[:, None] >> np.arange(STATIC) & 1
     for i, f in enumerate(features):
@@ -285,10 +289,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     target = fit_label_model(votes, weights).posterior(votes)
 
     kept_apart = len(features) // 5
-    model = Ftrl(FEATURES, 2, alpha, beta, l1, l2)
-    bias = FEATURES - 1  # an odd id that no word has as its even one is shared with one dense feature at most
-    used = [np.append(f[f != bias], bias) for f in features]
-    values = [np.append(values_of(f[:-1], n), BIAS) for f, n in zip(used, n_words)]
+    bias = len(known_ids) - 1
+    model = Ftrl(bias + 1, 2, alpha, beta, l1, l2)
+    used = [np.append(f, bias) for f in features]
+    values = [np.append(v, BIAS) for v in values]
     for _ in range(epochs):
         for i in range(kept_apart, len(features)):
             model.learn(used[i], values[i], np.array([1 - target[i], target[i]]), weights[i])
@@ -301,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     )
     at = np.flatnonzero(every)
     at = at[at != bias]
-    return ToxicityModel(at, every[at], float(BIAS * every[bias]), heat)
+    return ToxicityModel(known_ids[at], every[at], float(BIAS * every[bias]), heat)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
