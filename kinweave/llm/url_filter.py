@@ -137,7 +137,7 @@ def build_cascade(listed: list[str], universe: DataFrame) -> Cascade:
     size = universe.agg(F.approx_count_distinct("key", 0.05)).first()[0] or 0
     levels = [_level(wanted.select("h1", "h2"), n, min(0.5, n / max(size, 1)), 1)]
     hashed = universe.select("key", *_hashed(F.col("key")))
-    wrong = Cascade(tuple(levels)).filter(hashed).join(wanted.select("key"), "key", "left_anti").distinct()
+    wrong = Cascade(tuple(levels)).filter(hashed).distinct().join(wanted.select("key"), "key", "left_anti")
     wrong = materialize(wrong, "cascade")
     sides, counts = [wanted, wrong], [n, wrong.count()]
     while counts[1]:
