@@ -1,6 +1,7 @@
 """Run catalog queries next to their SQL counterparts: ``python tools/compare.py SF_DIR [name ...]``."""
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -25,7 +26,7 @@ def normal(columns, rows):
 def main(sf_dir, names):
     spark = get_session(
         "compare", master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="kinweave-compare-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
