@@ -106,15 +106,13 @@ class Windows:
         return size * 100 // self.t
 
     def reach(self, size: int) -> None:
-        while self.starts[-1] <= size or len(self._parts) + 2 > len(self.starts):
+        while self.starts[-1] <= size:
             last = self.starts[-1]
             self.starts.append(max(last + 1, self.upper(last - 1) + 1))
             x = self.starts[-1] - 1
             apart = (100 - self.t) * (x + self.upper(x)) // (100 + self.t)
             self._apart.append(apart)
             self._parts.append(self._enough(apart, last) if apart else 0)
-            if self.starts[-1] > size:
-                break
 
     @staticmethod
     def _enough(apart: int, least: int) -> int:
