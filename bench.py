@@ -11,7 +11,7 @@ import time
 
 from kinweave import adapters
 from kinweave.plans.catalog import QUERIES
-from kinweave.session import get_session
+from kinweave.session import get_session, release
 
 HEADLINE = (
     "get_callers", "get_callees", "get_impact", "impact_path", "get_callers_transitive", "get_supertypes",
@@ -56,6 +56,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

@@ -46,6 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_scratch[context.applicationId]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared folder."""
+    return f"{shared_dir(spark)}/kinweave/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once nothing reads them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
@@ -54,6 +65,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     small table and shuffles a large one without a hint.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinweave/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

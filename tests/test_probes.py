@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave import schema
+from kinweave import schema, session
 from kinweave.extract import python, sql
 from kinweave.extract.knowledge import decision_reason, decision_title
 from kinweave.functions.paths import relative_path
@@ -118,3 +118,13 @@ def test_dumps_are_read_by_record_and_line(spark, tmp_path):
     (tmp_path / "staged").write_text("D\ta.ts\nR100\tb.ts\tc.ts\n")
     assert [v for v in (r.value.strip() for r in read_git_log(spark, str(tmp_path / "log")).collect()) if v] == ['abc\x1fRevert "x"\x1fbody\nline', "def\x1fs\x1fb"]
     assert [r.value for r in read_staged_changes(spark, str(tmp_path / "staged")).collect()] == ["D\ta.ts", "R100\tb.ts\tc.ts"]
+
+
+def test_release_deletes_what_this_application_stored(spark, tmp_path, monkeypatch):
+    kept = tmp_path / "kinweave" / "another" / "t"
+    kept.mkdir(parents=True)
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    assert session.materialize(spark.range(3), "x").count() == 3
+    assert len(list((tmp_path / "kinweave").iterdir())) == 2
+    session.release(spark)
+    assert [p.name for p in (tmp_path / "kinweave").iterdir()] == ["another"]
