@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import quoted
-from kinweave.session import materialize, shared_dir
+from kinweave.session import materialize, scratch_dir
 
 # Fixed values of the formats: the magic number of the dictionary's skippable
 # frame and the revisit profile.
@@ -221,7 +221,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
 def archive_pages(pages: DataFrame, min_payload: int = 0, folder: str | None = None) -> DataFrame:
     """Write ``pages`` as archives (below the shared folder where none is given) and return their index,
     which is a table by then."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/kinweave/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
     index = materialize(write_archives(payload_roles(pages, min_payload), folder), "warc-index")
