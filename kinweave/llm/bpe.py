@@ -39,10 +39,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import quoted, whole_row, with_results
+from kinweave.llm.common import bounded_batches, quoted, whole_row, with_results
 
 MAX_MODEL_BYTES = 64 << 20
-MEMO = 150_000
+MEMO = 80_000
 NONE = np.int64(1 << 62)
 # The contractions that the tokenizer's pattern keeps whole.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -260,6 +260,7 @@ def _model(text: str) -> BpeModel:
 
 
 def _shared(df: DataFrame, path: str):
+    bounded_batches(df.sparkSession)
     with open(path, encoding="utf-8") as file:
         text = file.read()
     if len(text) > MAX_MODEL_BYTES:
@@ -280,6 +281,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 ids, offsets = model.encode_batch(texts.slice(i, 512).to_pylist())
                 out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
             yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        model._forget()  # the worker lives on, for other work
 
     rows = docs.select(whole_row(docs).alias("row"), ids_of(F.col(quoted(text_col))).alias("ids"))
     return rows.select(*with_results("row", docs.columns, **{ids_col: F.col("ids")}))

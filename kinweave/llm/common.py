@@ -10,6 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts be 4 MB at most, unless the session was given another bound than Spark's own.
+
+    A batch is held by the executor and by its Python worker at once, in and out.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, "4m")
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import lower_ascii, quoted, whole_row, with_results
+from kinweave.llm.common import bounded_batches, lower_ascii, quoted, whole_row, with_results
 from kinweave.session import materialize
 
 MAX_TERMS = 4_000_000
@@ -89,6 +89,7 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 
 def corpus_counts(docs: DataFrame, terms: list[str], text_col: str = "text") -> np.ndarray:
     """Occurrences of each term in all texts."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +112,7 @@ def build_index(docs: DataFrame, terms: list[str], needed: list[list[int]], text
 
     ``needed`` lists groups of terms, of which a document must hold one whole group to have postings.
     """
+    bounded_batches(docs.sparkSession)
     width = max(map(len, needed), default=1)
     groups = np.array([g + g[:1] * (width - len(g)) for g in needed], np.int32).reshape(-1, width)
     shared = docs.sparkSession.sparkContext.broadcast((terms, groups))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import held_out, quoted, whole_row, with_results
+from kinweave.llm.common import bounded_batches, held_out, quoted, whole_row, with_results
 from kinweave.llm.linear import Ftrl, WordMemo, sliced, softmax, temperature
 
 PER_LANGUAGE = 1500
@@ -177,6 +177,7 @@ def train(
     alpha: float = 0.3, beta: float = 0.1, l1: float = 0.02, l2: float = 0.01,
 ) -> LanguageModel:
     """A model from the rows of ``docs`` with a language; rows to learn from are the caller's choice."""
+    bounded_batches(docs.sparkSession)
     training = docs.select(F.col(quoted(lang_col)).cast("string").alias("lang"), F.col(quoted(text_col)).alias("text")).filter("lang is not null and text is not null")
     languages, langs, grams = _sample(training, per_language)
     if not languages:
@@ -201,6 +202,7 @@ def train(
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

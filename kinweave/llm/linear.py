@@ -30,7 +30,7 @@ class WordMemo:
     bounded and its results are not.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], Sequence[object]], limit: int = 300_000) -> None:
+    def __init__(self, make: Callable[[list[bytes]], Sequence[object]], limit: int = 100_000) -> None:
         self.make, self.limit = make, limit
         self.index: dict[bytes, int] = {}
         self.held: list[object] = [None]

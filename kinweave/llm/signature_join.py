@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import quoted
+from kinweave.llm.common import bounded_batches, quoted
 from kinweave.llm.components import connected_components
 from kinweave.llm.url_filter import Level
 from kinweave.session import materialize
@@ -77,7 +77,7 @@ def shingle_set(text: bytes | None, n: int, memo: _WordHashes) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 400_000:
+    if len(memo) > 150_000:
         memo.clear()
     h = np.array(list(map(memo.__getitem__, words)), np.uint64)
     size = min(n, len(h))
@@ -368,6 +368,7 @@ def document_sets(docs: DataFrame, n: int, threshold: int, id_col: str, text_col
                     names=["id", "n_shingles", "fp", "keys"],
                 )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("binary").alias("text"))
     return materialize(rows.mapInArrow(read, "id long, n_shingles long, fp long, keys array<long>"), "sets")
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import held_out, quoted, whole_row, with_results
+from kinweave.llm.common import bounded_batches, held_out, quoted, whole_row, with_results
 from kinweave.llm.linear import Ftrl, WordMemo, lower_words, sliced, softmax, temperature
 
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
@@ -239,6 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
           max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, epochs: int = 4, seed: int = 3,
           alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 0.02) -> ToxicityModel:
     """A model from the labelled rows; which rows to learn from is the caller's choice (filter ``labels``)."""
+    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col(quoted(label_col)).isin(0, 1)).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
@@ -310,6 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
