@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import bounded_batches, quoted, whole_row, with_results
 
 MAX_MODEL_BYTES = 64 << 20
-MEMO = 80_000
+MEMO = 60_000
 NONE = np.int64(1 << 62)
 # The contractions that the tokenizer's pattern keeps whole.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -277,8 +277,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         model = _model(shared.value)
         for texts in batches:
             out = []
-            for i in range(0, len(texts), 512):
-                ids, offsets = model.encode_batch(texts.slice(i, 512).to_pylist())
+            for i in range(0, len(texts), 128):
+                ids, offsets = model.encode_batch(texts.slice(i, 128).to_pylist())
                 out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
             yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
         model._forget()  # the worker lives on, for other work

@@ -16,7 +16,7 @@ def lower_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SPLIT).split()
 
 
-def sliced(texts: pa.Array, size: int = 256) -> Iterator[list[list[bytes]]]:
+def sliced(texts: pa.Array, size: int = 64) -> Iterator[list[list[bytes]]]:
     """The words of texts (an Arrow array of strings), some texts at a time."""
     for i in range(0, len(texts), size):
         yield [lower_words(t) if t else [] for t in texts.slice(i, size).to_pylist()]
@@ -30,7 +30,7 @@ class WordMemo:
     bounded and its results are not.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], Sequence[object]], limit: int = 100_000) -> None:
+    def __init__(self, make: Callable[[list[bytes]], Sequence[object]], limit: int = 60_000) -> None:
         self.make, self.limit = make, limit
         self.index: dict[bytes, int] = {}
         self.held: list[object] = [None]

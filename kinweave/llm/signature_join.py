@@ -77,7 +77,7 @@ def shingle_set(text: bytes | None, n: int, memo: _WordHashes) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 150_000:
+    if len(memo) > 80_000:
         memo.clear()
     h = np.array(list(map(memo.__getitem__, words)), np.uint64)
     size = min(n, len(h))
