@@ -21,7 +21,13 @@ document's component of links.
    that cannot reach the threshold (by size range, or by the bits that one side
    must have outside the other's bitmap), and pairs that links found so far have
    already put into one component. What is left is compared exactly.
-4. A block of more than ``leaf`` members is cut into leaves of about that size:
+4. A block of more than ``leaf`` members, chained by passages that fill parts, is
+   blocked once more: its members' shingles are put into one order, rare ones
+   first (counted in ``ORDER_SLOTS`` slots; any common order is right), and of
+   two sets that link the first ``size - ceil(threshold * size) + 1`` shingles
+   have one in common. A passage of many documents comes last in that order.
+   Members that share none of these shingles link with nothing and go.
+5. A block that still has more than ``leaf`` members is cut into leaves of about that size:
    leaves are joined in themselves, then their components' heads among each
    other, and at last the members outside the block's largest component meet
    every leaf. No task holds more than about two leaves; nothing is left out.
@@ -57,6 +63,7 @@ BITS = 4096
 FANOUT = 8
 MAX_FILTER_WORDS = 1 << 21  # 16 MB of Bloom filter bits
 BROADCAST_ROWS = 2_000_000
+ORDER_SLOTS = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -392,14 +399,64 @@ def _members(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
     return materialize(found, "members")
 
 
+def _large(members: DataFrame, leaf: int) -> DataFrame:
+    return materialize(members.groupBy("block").agg(F.count_distinct("fp").alias("m")).filter(F.col("m") > leaf), "large")
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(ORDER_SLOTS)).astype(np.int64)
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
+    """The first shingles of a set in the order of ``counts``, so many that two sets that link share one."""
+    size = len(shingles)
+    order = np.lexsort((shingles, counts[_slots(shingles)]))
+    return shingles[order[: size - -(-t * size // 100) + 1]]
+
+
+def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
+    """``members`` with blocks of more than ``leaf`` members replaced by the blocks of their rare shingles."""
+    large = _large(members, leaf)
+    if not large.limit(1).count():
+        return members
+    chained = members.join(large.select("block"), "block", "left_semi").select("block", "fp", "shingles")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(ORDER_SLOTS, np.int64)
+        for batch in batches:
+            for shingles in _sets(batch.column(2)):
+                np.add.at(held, _slots(shingles), 1)
+        used = np.flatnonzero(held)
+        for i in range(0, len(used), 50_000):
+            at = used[i: i + 50_000]
+            yield pa.record_batch([pa.array(at), pa.array(held[at])], names=["slot", "n"])
+
+    found = chained.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(ORDER_SLOTS, np.int64)
+    counts[np.asarray(found.column("slot"))] = np.asarray(found.column("n"))
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            blocks = np.asarray(batch.column(0)).view(np.uint64)
+            keys = [_mix(prefix(s, order, t) ^ _mix(blocks[i: i + 1])).view(np.int64) for i, s in enumerate(_sets(batch.column(2)))]
+            yield pa.record_batch([batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
+
+    rare = materialize(chained.mapInArrow(first, "fp long, keys array<long>"), "rare")
+    finer = connected_components(_candidate_edges(rare)).select(F.col("node").alias("fp"), F.col("component").alias("block"))
+    kept = members.join(large.select("block"), "block", "left_anti").select("block", "fp", "shingles")
+    return materialize(kept.unionByName(chained.drop("block").join(finer, "fp").select("block", "fp", "shingles")), "members")
+
+
 def _bucket(key: str, count: str, leaf: int, salt: int) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.ceil(F.col(count) / leaf)).cast("int")
 
 
 def _block_links(members: DataFrame, t: int, leaf: int) -> DataFrame:
     """``(fp, root)`` for all members; ``root`` is the same for the members of a component."""
-    sizes = members.groupBy("block").agg(F.count_distinct("fp").alias("m"))
-    large_blocks = materialize(sizes.filter(F.col("m") > leaf), "large")
+    members = _split(members, t, leaf)
+    large_blocks = _large(members, leaf)
     n_large = large_blocks.count()
     if not n_large:
         return materialize(_within(members, ["block"], t), "links")

@@ -157,6 +157,23 @@ def test_large_blocks_are_cut_and_lose_no_link(spark, docs):
     assert S.jaccard_components(docs([])).count() == 0
 
 
+def test_blocks_chained_by_a_passage_are_split_and_keep_every_link(spark, docs):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}w{i}" for i in range(rng.choice([40, 60, 90]))]
+        rows += [(2 * g, " ".join(own + passage)), (2 * g + 1, " ".join(_edited(rng, own, 2) + passage))]
+    sets = [S.shingle_set(t.encode(), 5, S._WordHashes()) for _, t in rows]
+    members = spark.createDataFrame([(7, i, bytearray(s.tobytes())) for (i, _), s in zip(rows, sets)], "block long, fp long, shingles binary")
+    block = {r.fp: r.block for r in S._split(members, 80, 8).collect()}
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if S._linked(sets[i], sets[j], 80)]
+    assert len(linked) >= 40 and all(block[i] == block[j] for i, j in linked)
+    assert max(sum(b == x for b in block.values()) for x in set(block.values())) <= 8
+    got = sorted(((r.id, r.n_shingles, r.component_id) for r in S.jaccard_components(docs(rows), 5, 80, leaf=8).collect()), key=str)
+    assert got == _components(rows, 5, 80)
+
+
 def test_part_keys_meet_for_every_pair_that_may_link():
     rng = np.random.default_rng(7)
     for t in (60, 80, 90):

@@ -49,3 +49,18 @@ def test_run_equals_the_stages_in_turn(spark):
         docs = stage(spark, docs, SF)
     expected = {(r.doc_id, r.n_tokens, r.decoded) for r in docs.collect()}
     assert {(r.doc_id, r.n_tokens, r.decoded) for r in corpus_pipeline.run(spark, SF).collect()} == expected
+
+
+def test_near_copies_by_five_words_and_eighty_per_cent_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    rows = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(100)]
+        rows.append((10 * g, words, "en", "x", 0))
+        # two words apart: 86 of 106 five-word shingles are shared (0.81), and 92 of 104 three-word ones (0.88)
+        rows.append((10 * g + 1, words[:30] + ["other"] + words[31:70] + ["another"] + words[71:], "en", "x", 0))
+        # another start and end: 91 of 127 (0.72)
+        rows.append((10 * g + 2, ["a"] + words[5:] + [f"h{g}w{i}" for i in range(30)], "en", "x", 0))
+    table = spark.createDataFrame([(i, " ".join(w), *rest) for i, w, *rest in rows], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, SF).collect()}
+    assert kept == {0, 2, 10, 12, 20, 22}
