@@ -109,5 +109,5 @@ def assemble(facts: DataFrame, language: str) -> Extraction:
         "line",
         "file_path",
     ).filter("target_name IS NOT NULL")
-    errors = facts.filter("fact = 'error'").select("file_path", F.col("name").alias("error"))
+    errors = facts.filter("fact = 'error'").select("file_path", F.col("name").alias("error")).distinct()
     return Extraction(schema.conform(symbols, schema.EXTRACTED_SYMBOL), refs, inheritance, errors)

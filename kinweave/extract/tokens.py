@@ -20,6 +20,7 @@ def nested(opening: str, closing: str, other: str, levels: int = 12) -> str:
     return inner
 
 
+UNREAD = "\ue000"
 IDENT = r"\A[\p{L}_$#\\][\p{L}\p{N}_$\\]*\z"
 
 
@@ -51,14 +52,17 @@ def _newlines(text: Column) -> Column:
 
 
 def tokenize(
-    files: DataFrame, token: str, comment: str, unfold: str | None = None, separator: str | None = None, glued: str | None = None
+    files: DataFrame, token: str, comment: str, unfold: str | None = None, separator: str | None = None, glued: str | None = None,
+    code: str | None = None,
 ) -> DataFrame:
     """Tokens of ``(file_path, text[, ...])`` without comments.
 
     ``token`` is an alternation of token shapes; white space in front of a token
     belongs to it, so lines are counted without separate newline rows.
     ``unfold`` matches tokens that hold code of their own (template strings): the
-    code inside ``${...}`` is tokenized in place. ``separator`` matches tokens that
+    code inside ``${...}``, of which ``code`` matches the braces, is tokenized in
+    place, and so are templates in it, twelve deep. A token that ends with
+    ``UNREAD`` stands where code could not be read. ``separator`` matches tokens that
     only end a statement; they become ``;``. ``glued`` matches, with one group each,
     two tokens that are only known together (a regular expression literal and what
     stands before it); they become two.
@@ -68,9 +72,12 @@ def tokenize(
     token, ``newline`` tells whether it starts a line.
     """
     pattern = F.lit(rf"\s*(?:{token})")
-    tokens = F.regexp_extract_all("text", pattern, F.lit(0))
-    if glued is not None:
-        tokens = F.flatten(
+
+    def split(text: Column | str) -> Column:
+        tokens = F.regexp_extract_all(text, pattern, F.lit(0))
+        if glued is None:
+            return tokens
+        return F.flatten(
             F.transform(
                 tokens,
                 lambda t: F.when(
@@ -79,26 +86,28 @@ def tokenize(
                 ).otherwise(F.array(t)),
             )
         )
-    if unfold is not None:
-        inner = r"\$\{([^{}`]*)\}|\n"
-        tokens = F.flatten(
+
+    def inside(t: Column) -> Column:
+        """The code inside a template and its line ends; escaped signs hold no code."""
+        pieces = F.regexp_extract_all(t, F.lit(rf"\\(?s:.)|\${code}|\$\{{|\n"), F.lit(0))
+        read = F.transform(
+            pieces,
+            lambda p: F.when(p == "${", UNREAD)
+            .when(F.startswith(p, F.lit("${")), F.substring(p, F.lit(3), F.length(p) - 3))
+            .otherwise(F.regexp_replace(p, r"\A\\[^\n]?", "")),
+        )
+        return F.concat(F.regexp_extract(t, r"\A\s*", 0), F.lit('("";'), F.array_join(read, ";"), F.lit(";)"))
+
+    def unfolded(tokens: Column, levels: int = 12) -> Column:
+        return F.flatten(
             F.transform(
                 tokens,
-                lambda t: F.when(
-                    t.rlike(unfold),
-                    F.regexp_extract_all(
-                        F.concat(
-                            F.lit('("";'),
-                            F.regexp_replace(
-                                F.array_join(F.regexp_extract_all(t, F.lit(inner), F.lit(0)), ";"), r"\$\{|\}", ""
-                            ),
-                            F.lit(";)"),
-                        ),
-                        pattern, F.lit(0),
-                    ),
-                ).otherwise(F.array(t)),
+                lambda t: F.when(t.rlike(unfold), unfolded(split(inside(t)), levels - 1) if levels else F.array(F.concat(t, F.lit(UNREAD))))
+                .otherwise(F.array(t)),
             )
         )
+
+    tokens = split("text") if unfold is None else unfolded(split("text"))
     others = [c for c in files.columns if c not in ("file_path", "text")]
     rows = (
         place_by_file(files)

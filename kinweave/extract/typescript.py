@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.extract.facts import Extraction, assemble, collect_facts, fact, unbalanced
-from kinweave.extract.tokens import carry, in_file, is_ident, neighbours, nested, since, tokenize, up_to
+from kinweave.extract.tokens import UNREAD, carry, in_file, is_ident, neighbours, nested, since, tokenize, up_to
 
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts")
 
-_CODE = nested(r"\{", r"\}", r"[^{}`]++|`[^`]*`")
+_CODE = nested(r"\{", r"\}", r"[^{}`]++|`(?:[^`\\]++|\\(?s:.))*+`")
 _BACKTICK = rf"`(?:[^`\\$]++|\\(?s:.)|\$(?!\{{)|\${_CODE}|\$\{{)*+`"
 _LITERAL = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*"
 # Where an operand may start: after these operators and words, and after the
@@ -89,7 +89,7 @@ def _simple_type(first: int) -> Column:
 
 
 def _scan(files: DataFrame) -> DataFrame:
-    rows = tokenize(files, TOKEN, r"\A(?://|/\*)", unfold=r"\A`(?s:.)*\$\{", glued=GLUED)
+    rows = tokenize(files, TOKEN, r"\A(?://|/\*)", unfold=r"\A\s*`(?s:.)*\$\{", glued=GLUED, code=_CODE)
     rows = neighbours(rows, back=range(1, 5), ahead=range(1, 3))
     tok, p1, n1, n2 = _col("tok"), _col("p1"), _col("n1"), _col("n2")
     word = _col("word")
@@ -221,6 +221,7 @@ def _scan(files: DataFrame) -> DataFrame:
     return collect_facts(
         rows,
         unbalanced(),
+        fact("error", F.endswith(tok, F.lit(UNREAD)), F.lit("a template is nested too deep"), F.lit("")),
         fact("symbol", _col("declares"), n1, kind, line=_col("decl.line"), end_line=_col("stmt_end")),
         fact("symbol", _col("another"), tok, F.lit("constant"), line=_col("decl.line"), end_line=_col("stmt_end")),
         fact(

@@ -208,6 +208,38 @@ def test_ts_calls(ts):
     assert not any(name in target for _, target, *_ in found for name in ("sink", "never", "Phantom"))
 
 
+def test_ts_calls_in_templates(spark, ts):
+    assert ("Pilot.board", "Pilot.name", "static_call", 13) in refs(ts, "dock/pilot.ts")
+    deep = "x"
+    for i in range(14):
+        deep = f"`${{D.f{i}({deep})}}`"
+    sources = {
+        "dock/text.ts": """class T {
+  a() {
+    const one = `x ${this.name({a: 1})} ${xs.map(x => { return F.f(x) })}
+      ${G.g(`a ${H.h({ b: `${new K()}` })}
+      ` + `c`)} \\${no.no()}`;
+    return `${s.replace(/a/g, B.b({}))}`
+  }
+  c() { U.u() }
+}
+""",
+        "dock/deep.ts": "class D { m() { return " + "`${" + "{" * 20 + "M.m()" + "}" * 20 + "}` } }\n",
+        "dock/inner.ts": "class D { m() { return " + deep + " } }\n",
+    }
+    got = run(spark, typescript, sources)
+    assert refs(got, "dock/text.ts") == sorted(
+        [
+            ("T.a", "T.name", "static_call", 3), ("T.a", "F.f", "static_call", 3), ("T.a", "G.g", "static_call", 4), ("T.a", "xs.map", "static_call", 3),
+            ("T.a", "H.h", "static_call", 4), ("T.a", "K", "instantiation", 4), ("T.a", "s.replace", "static_call", 6), ("T.a", "B.b", "static_call", 6),
+            ("T.c", "U.u", "static_call", 8),
+        ]
+    )
+    errors = [(r.file_path, r.error) for r in got.errors.collect()]
+    assert ("dock/deep.ts", "a template is nested too deep") in errors and "dock/text.ts" not in dict(errors)
+    assert len(refs(got, "dock/inner.ts")) >= 12 or "dock/inner.ts" in dict(errors)
+
+
 def test_ts_literals_and_tags_keep_the_structure(ts):
     assert symbols(ts, "dock/odd.ts") == {
         ("R", "class", 1, 9), ("R.a", "method", 2, 7), ("R.b", "method", 8, 8), ("R2", "class", 10, 12), ("R2.c", "method", 11, 11),
