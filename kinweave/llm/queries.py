@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, chat, decontamination, infill, language, pivot_join, sharding, signature_join, topk, toxicity, url_filter, warc
+from kinweave.llm import bpe, chat, decontamination, infill, language, pivot_join, ranked_search, sharding, signature_join, topk, toxicity, url_filter, warc
 from kinweave.llm.common import held_out, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -105,6 +105,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_impact_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_join.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
@@ -114,7 +119,7 @@ QUERIES = {
     for f in (
         op1_warc_dictionary, op2_bloom_cascade, op3_ftrl_language, op4_positional_index, op5_segment_topk,
         op6_weak_supervision, op7_external_shuffle, op8_content_parts, op9_segment_tree_bpe, op10_signature_tree,
-        op11_fill_in_middle, op13_pivot_tables,
+        op11_fill_in_middle, op12_impact_maxima, op13_pivot_tables,
     )
 }
 
@@ -179,4 +184,15 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
               ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
 FROM p""",
+    "op12_impact_maxima": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(w)::BIGINT * docs) // total AS m FROM d, s WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term, docs),
+q AS (SELECT q, item_id, term, count(*) AS n FROM (SELECT row_number() OVER () AS q, item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS term FROM benchmark) GROUP BY ALL),
+c AS (SELECT q, item_id, r, sum(n * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY q, item_id, r),
+k AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
 }

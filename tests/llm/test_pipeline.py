@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_one_registered_query():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
