@@ -346,6 +346,19 @@ def ddl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(spark, sf_dir, line, ".sql")
 
 
+def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines as TSX: each is the text of an element, among signs that would open strings or braces in code."""
+
+    def line(x: Column, i: Column) -> Column:
+        n = i.cast("string")
+        return F.concat(
+            lit("class C"), n, lit(" {\n  m() { return <p id=\"it's {\" on={() => this.n({ a: "), n, lit(" })}>don't ` "),
+            F.regexp_replace(x, r"[<{\r]", " "), lit(" {this.n(<b>'&`{`}`}</b>)} \" <br/></p>; }\n  n() { T"), n, lit(".u() }\n}"),
+        )
+
+    return _rewritten(spark, sf_dir, line, ".tsx")
+
+
 # Source text per class: header lines, then one block per method part, then a
 # footer. ``{c}`` is the class, ``{p}`` its parent, ``{n}`` the next class,
 # ``{m}`` the method. Every block has the same number of lines.

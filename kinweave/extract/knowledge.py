@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.extract.sql import source_lines
-from kinweave.functions.text import _CHARACTERS, WHITESPACE, clip, collapse, strip
+from kinweave.functions.binding import let
+from kinweave.functions.text import _CHARACTERS, clip, collapse, strip
 
 # The comment tags that signal a trap, the folders that
 # conventionally hold decision records, and the separators of the log dump.
@@ -18,28 +19,63 @@ DECISION_DIRS = (
 )
 RECORD_SEPARATOR, FIELD_SEPARATOR = "\x1e", "\x1f"
 SHORT_SHA = 9
+# The signs that begin a comment or a line of one, and what may stand
+# between a marker and its text.
+COMMENT_SIGN = r"//+|#+|\*+"
+SEPARATORS = _CHARACTERS + ":-"
 
 
 def merge_markers(extra: list[str] | tuple[str, ...] = ()) -> list[str]:
     return list(dict.fromkeys([*DEFAULT_MARKERS, *[m.upper() for m in extra]]))
 
 
-def marker_pattern(markers: list[str] | tuple[str, ...]) -> str:
-    """Groups: the marker as first token of a comment, the separators after it, the rest of the line."""
-    names = "|".join(re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", m) for m in markers)
-    return rf"(?is)(?://+|#+|/\*+|\*+)[{WHITESPACE}]*({names})([:\-{WHITESPACE}]+)(.*)\z"
+def _claim(rest: Column) -> Column:
+    """The text of a marker comment without a closing ``*/``; ``rest`` starts behind the marker.
 
+    Separators come first. There has to be some text: failing anything else it is
+    a lone ``*/`` or the last of several separators.
+    """
+
+    def read(tail: Column) -> Column:
+        cut = F.length(rest) - F.length(tail)
+        last = F.when(cut > 1, strip(F.substring(rest, cut, F.lit(1)))).otherwise("")
+        return let(
+            strip(tail),
+            lambda text: let(
+                strip(F.regexp_replace(text, r"\*/\z", "")), lambda inner: F.when(inner != "", inner).when(text != "", text).otherwise(last)
+            ),
+        )
+
+    return let(F.ltrim(rest, F.lit(SEPARATORS)), read)
 
-def _claim(separators: Column, rest: Column) -> Column:
-    """The text of a marker comment without a closing ``*/``.
 
-    There has to be some text: failing anything else it is a lone ``*/`` or the
-    last of several separators.
+def marker_comment(line: Column, markers: list[str] | tuple[str, ...]) -> Column:
+    """``struct<marker, text>`` where the first word of a comment is a marker with a separator behind it, else null.
+
+    The line is cut at its comment signs. Only parts that begin with a marker are
+    looked at closer, in their order, with the rest of the line behind them.
     """
-    text = strip(rest)
-    open_text = strip(F.regexp_replace(text, r"\*/\z", ""))
-    last = F.when(F.length(separators) > 1, strip(F.right(separators, F.lit(1)))).otherwise("")
-    return F.when(open_text != "", open_text).when(text != "", text).otherwise(last)
+    signs = re.compile("//|[#*]")
+    begins = lambda part: F.exists(
+        F.array(*[F.lit(signs.split(m)[0].lower()) for m in markers]), lambda name: F.startswith(F.lower(F.left(part, F.length(name))), name)
+    )
+
+    def marked(inside: Column) -> Column:
+        found = None
+        for marker in markers:
+            after = F.substring(inside, len(marker) + 1, 1)
+            held = (F.lower(F.left(inside, F.lit(len(marker)))) == marker.lower()) & (after != "") & F.contains(F.lit(SEPARATORS), after)
+            value = F.struct(F.lit(marker.upper()).alias("marker"), F.substring(inside, len(marker) + 1, 1 << 30).alias("rest"))
+            found = F.when(held, value) if found is None else found.when(held, value)
+        return found
+
+    def of_parts(parts: Column) -> Column:
+        candidates = F.array_compact(F.transform(parts, lambda p, i: F.when((i > 0) & begins(F.ltrim(p, F.lit(_CHARACTERS))), i)))
+        tails = F.transform(candidates, lambda i: F.ltrim(F.get(F.split(line, COMMENT_SIGN, i + 1), i), F.lit(_CHARACTERS)))
+        return F.get(F.array_compact(F.transform(tails, marked)), F.lit(0))
+
+    first = let(F.split(line, COMMENT_SIGN), of_parts)
+    return let(first, lambda m: F.when(m.isNotNull(), F.struct(m["marker"].alias("marker"), _claim(m["rest"]).alias("text"))))
 
 
 def scan_markers(files: DataFrame, markers: list[str] | tuple[str, ...] = DEFAULT_MARKERS) -> DataFrame:
@@ -47,18 +83,17 @@ def scan_markers(files: DataFrame, markers: list[str] | tuple[str, ...] = DEFAUL
     lines = source_lines(files)
     if not markers:
         return lines.select("file_path", "line", F.lit("").alias("marker"), F.lit("").alias("claim")).limit(0)
-    pattern = marker_pattern(markers)
+    named = "|".join(re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", m) for m in markers)
     # Exploding one-element arrays keeps the filters behind the computation: a
     # plain filter would be pushed below it and repeat every expression.
-    comment = F.explode(F.filter(F.array(F.regexp_extract("value", pattern, 0)), lambda c: c != ""))
-    parts = [F.regexp_extract("comment", r"\A" + pattern, i) for i in (1, 2, 3)]
-    marker = F.struct(F.upper(parts[0]).alias("marker"), _claim(parts[1], parts[2]).alias("text"))
-    one_line = F.explode(
-        F.filter(F.array(marker), lambda m: (m["text"] != "") & ~m["text"].rlike(r"[\n\r\u2028\u2029]"))
+    comment = F.explode(
+        F.filter(
+            F.array(marker_comment(F.col("value"), markers)), lambda m: m.isNotNull() & (m["text"] != "") & ~m["text"].rlike(r"[\n\r\u2028\u2029]")
+        )
     )
     return (
-        lines.select("file_path", "line", comment.alias("comment"))
-        .select("file_path", "line", one_line.alias("m"))
+        lines.filter(F.col("value").rlike(f"(?is)(?:{COMMENT_SIGN}).*(?:{named})"))
+        .select("file_path", "line", comment.alias("m"))
         .select("file_path", "line", "m.marker", clip(F.col("m.text")).alias("claim"))
     )
 
@@ -81,13 +116,20 @@ def scan_reverts(log: DataFrame) -> DataFrame:
 def _without_number(title: Column) -> Column:
     """Drop a leading number, with or without ADR before it, if a separator follows."""
     separators = _CHARACTERS + ".:)-"
-    adr = F.lower(F.left(title, F.lit(3))) == "adr"
-    named = F.substring(title, 4, 1 << 30)
-    joined = F.when(F.left(named, F.lit(1)).rlike(r"[-\s]"), F.substring(named, 2, 1 << 30)).otherwise(named)
-    start = F.when(adr & F.left(joined, F.lit(1)).rlike("[0-9]"), joined).otherwise(title)
-    after = F.ltrim(start, F.lit("0123456789"))
-    text = F.ltrim(after, F.lit(separators))
-    return strip(F.when((F.length(after) < F.length(start)) & (F.length(text) < F.length(after)), text).otherwise(title))
+    named = F.when(F.lower(F.left(title, F.lit(3))) == "adr", F.substring(title, 4, 1 << 30))
+    joined = let(named, lambda n: F.when(F.left(n, F.lit(1)).rlike(r"[-\s]"), F.substring(n, 2, 1 << 30)).otherwise(n))
+    start = let(joined, lambda j: F.when(F.left(j, F.lit(1)).rlike("[0-9]"), j).otherwise(title))
+
+    def cut(start: Column, after: Column, text: Column) -> Column:
+        numbered = (F.length(after) < F.length(start)) & (F.length(text) < F.length(after))
+        return strip(F.when(numbered & (text != ""), text).otherwise(title))
+
+    return let(start, lambda s: let(F.ltrim(s, F.lit("0123456789")), lambda a: let(F.ltrim(a, F.lit(separators)), lambda t: cut(s, a, t))))
+
+
+def _after(found: Column, lines: Column) -> Column:
+    """The lines behind place ``found``, none if it is 0."""
+    return F.slice(lines, F.when(found > 0, found + 1).otherwise(F.size(lines) + 1).cast("int"), F.size(lines))
 
 
 def decision_title(text: Column) -> Column:
@@ -95,33 +137,46 @@ def decision_title(text: Column) -> Column:
 
     A ``#`` that stands alone is a heading whose text is the next line with any.
     """
-    lines = F.split(text, "\n")
-    place = F.array_position(F.transform(lines, lambda l: F.left(F.concat(F.rtrim(l, F.lit(_CHARACTERS)), F.lit(" ")), F.lit(2)).rlike(r"#\s")), F.lit(True))
-    rest = F.slice(lines, F.greatest(place, F.lit(1)).cast("int"), F.size(lines))
-    texts = F.transform(rest, lambda l, i: strip(F.when(i == 0, F.substring(l, 2, 1 << 30)).otherwise(l)))
-    return F.when(place > 0, _without_number(F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit("")))).otherwise("")
+
+    def of(lines: Column, place: Column) -> Column:
+        rest = F.slice(lines, place.cast("int"), F.size(lines))
+        texts = F.transform(rest, lambda l, i: strip(F.when(i == 0, F.substring(l, 2, 1 << 30)).otherwise(l)))
+        return let(F.coalesce(F.get(F.filter(texts, lambda t: t != ""), F.lit(0)), F.lit("")), _without_number)
+
+    def of_lines(lines: Column) -> Column:
+        heads = F.transform(lines, lambda l: F.left(F.concat(F.rtrim(l, F.lit(_CHARACTERS)), F.lit(" ")), F.lit(2)).rlike(r"#\s"))
+        return let(F.array_position(heads, F.lit(True)), lambda place: F.when(place > 0, of(lines, place)).otherwise(""))
+
+    return let(F.split(text, "\n"), of_lines)
 
 
 def decision_reason(text: Column) -> Column:
     """The first paragraph under a Decision heading on one line; null when there is none."""
-    lines = F.split(text, "\n")
     blank = lambda l: strip(l) == ""
     is_heading = lambda l: (F.lower(strip(F.ltrim(l, F.lit("#")))) == "decision") & F.startswith(l, F.lit("##"))
-    after = lambda found, all_: F.slice(all_, F.when(found > 0, found + 1).otherwise(F.size(all_) + 1).cast("int"), F.size(all_))
-    body = after(F.array_position(F.transform(lines, is_heading), F.lit(True)), lines)
-    first = F.array_position(F.transform(body, lambda l: ~blank(l)), F.lit(True))
-    body = F.when(first > 0, F.slice(body, F.greatest(first, F.lit(1)).cast("int"), F.size(body))).otherwise(F.array().cast("array<string>"))
     level = lambda l: F.length(l) - F.length(F.ltrim(l, F.lit("#")))
     ends = lambda l, i: (i > 0) & (blank(l) | (level(l).between(1, 6) & F.substring(F.ltrim(l, F.lit("#")), 1, 1).rlike(r"\s")))
-    end = F.array_position(F.transform(body, ends), F.lit(True))
-    reason = collapse(F.array_join(F.when(end > 0, F.slice(body, 1, (end - 1).cast("int"))).otherwise(body), " "))
-    return F.when(reason != "", clip(reason))
+
+    def paragraph(body: Column) -> Column:
+        """``body`` starts with the paragraph's first line."""
+        end = F.array_position(F.transform(body, ends), F.lit(True))
+        kept = let(end, lambda e: F.when(e > 0, F.slice(body, 1, (e - 1).cast("int"))).otherwise(body))
+        return let(collapse(F.array_join(kept, " ")), lambda reason: F.when(reason != "", clip(reason)))
+
+    def under(body: Column) -> Column:
+        first = F.array_position(F.transform(body, lambda l: ~blank(l)), F.lit(True))
+        return let(first, lambda f: F.when(f > 0, let(F.slice(body, f.cast("int"), F.size(body)), paragraph)))
+
+    return let(
+        F.split(text, "\n"),
+        lambda lines: let(F.array_position(F.transform(lines, is_heading), F.lit(True)), lambda found: F.when(found > 0, let(_after(found, lines), under))),
+    )
 
 
 def scan_decisions(files: DataFrame) -> DataFrame:
     """``(file_path, claim, because)`` per document of ``(file_path, text)`` that has a title."""
-    return (
-        files.select("file_path", decision_title(F.col("text")).alias("title"), decision_reason(F.col("text")).alias("because"))
-        .filter("title <> ''")
-        .select("file_path", clip(F.col("title")).alias("claim"), "because")
+    # the exploded array keeps the filter on titles behind their computation
+    title = F.explode(F.filter(F.array(decision_title(F.col("text"))), lambda t: t != ""))
+    return files.select("file_path", "text", title.alias("title")).select(
+        "file_path", clip(F.col("title")).alias("claim"), decision_reason(F.col("text")).alias("because")
     )

@@ -10,31 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.extract.facts import Extraction, assemble, collect_facts, fact, unbalanced
-from kinweave.extract.tokens import carry, is_ident, neighbours, nested, since, tokenize, up_to
+from kinweave.extract.lexer import php_tokens
+from kinweave.extract.tokens import carry, is_ident, neighbours, since, tokenize, up_to
 
 EXTENSIONS = (".php",)
 
-_NAME = r"[\p{L}_][\p{L}\p{N}_]*+"
-TOKEN = "|".join(
-    [
-        r"\A(?s:.*?)(?:<\?(?:php\b|=)|\z)",  # text before the first tag
-        r"\?>(?s:.*?)(?:<\?(?:php\b|=)|\z)",  # text between tags
-        r"/\*(?s:.*?)(?:\*/|\z)",
-        r"//(?:(?!\?>)[^\n])*+",
-        r"#(?!\[)(?:(?!\?>)[^\n])*+",
-        "#" + nested(r"\[", r"\]", r"""[^\[\]'"]++|"(?:[^"\\]++|\\(?s:.))*+"|'(?:[^'\\]++|\\(?s:.))*+'"""),  # attribute
-        r"""<<<[ \t]*(['"]?)(\w+)\1\n(?s:.*?)\n?[ \t]*\2\b""",  # heredoc, nowdoc
-        r'"(?:[^"\\]++|\\(?s:.))*+"',
-        r"'(?:[^'\\]++|\\(?s:.))*+'",
-        r"`(?:[^`\\]++|\\(?s:.))*+`",
-        r"\$" + _NAME,
-        rf"\\?{_NAME}(?:\\{_NAME})*+",
-        r"[0-9][\w.]*+",
-        r"\?->|->|::|=>|\S",
-    ]
-)
-_COMMENT = r"\A(?://|/\*|#(?!\[))"
-_TAG = r"(?s)\A\?>|<\?(?:php|=)\z"
 _BRACED_NAMESPACE = r"(?im)^\s*(?:<\?php\s+)?namespace(?:\s+[\w\\]+)?\s*\{"
 
 _KINDS = {"class": "class", "interface": "interface", "trait": "class", "enum": "enum", "function": "function"}
@@ -57,7 +37,7 @@ def _scan(files: DataFrame) -> DataFrame:
     files = files.select(
         "file_path", "text", F.col("text").rlike(_BRACED_NAMESPACE).cast("int").alias("base")
     )
-    rows = neighbours(tokenize(files, TOKEN, _COMMENT, separator=_TAG), back=range(1, 2), ahead=range(1, 3))
+    rows = neighbours(tokenize(files, php_tokens), back=range(1, 2), ahead=range(1, 3))
     rows = rows.withColumns({"depth": _col("depth") - _col("base"), "word": F.lower("tok"), "outside": -_col("base")}).drop("base", "newline")
     tok, word, p1, n1, n2 = _col("tok"), _col("word"), _col("p1"), _col("n1"), _col("n2")
     attribute = F.startswith(tok, F.lit("#["))

@@ -6,45 +6,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave import schema
+from kinweave.functions.binding import let
 from kinweave.functions.text import sql_object_name
 
-# The words that may stand between CREATE and each kind of object,
-# and those that take a value (``DEFINER = x``, ``SQL SECURITY x``).
-_REPLACE, _OWNER = ("or", "replace"), ("definer=",)
+# What may stand between CREATE and each kind of object, in this
+# order; ``<>`` is a word of the writer's. Of several objects on one line the kind
+# that is listed first counts.
 MODIFIERS = {
-    "table": (("temporary",), ()),
-    "view": ((*_REPLACE, "sql", "security", "definer", "invoker", "materialized"), ("algorithm=", *_OWNER)),
-    "function": (_REPLACE, _OWNER),
-    "procedure": (_REPLACE, _OWNER),
-    "trigger": (_REPLACE, _OWNER),
+    "table": ("temporary",),
+    "view": ("or replace", "algorithm=<>", "definer=<>", "sql security <>", "materialized"),
+    "function": ("or replace", "definer=<>"),
+    "procedure": ("or replace", "definer=<>"),
+    "trigger": ("or replace", "definer=<>"),
 }
+# The longest statement head: five modifiers of nine words, six more where signs
+# stand apart, the kind, a guard of three words and the name.
+_HEAD_WORDS = 20
+_CREATE = rf"(?i)\bCREATE(?=((?:\s+\S+){{1,{_HEAD_WORDS}}}+))"
+_NAME = r"""^[\w`"\[\]]+(?:\.[\w`"\[\]]+)*"""
+
+
+def _object_in(head: Column) -> Column:
+    """``struct<rank, kind, name>`` of the words after CREATE, null where they create nothing that is known."""
+    words = F.filter(F.split(F.regexp_replace(head, r"\s*=\s*", "="), r"\s+"), lambda w: w != "")
+
+    def read(words: Column, place: Column, kind: Column) -> Column:
+        before = F.array_join(F.transform(F.slice(words, 1, place - 1), lambda w: F.lower(w)), " ")
+        fits = F.lit(False)
+        for name, phrases in MODIFIERS.items():
+            shape = "".join(f"({p.replace('<>', '[^ ]+')} )?" for p in phrases)
+            fits = F.when(kind == name, F.concat(before, F.when(place > 1, " ").otherwise("")).rlike(f"^{shape}$")).otherwise(fits)
+        guarded = (kind == "table") & (F.lower(F.array_join(F.slice(words, place + 1, 3), " ")) == "if not exists")
+        named = lambda i: sql_object_name(F.regexp_extract(F.coalesce(F.get(words, i), F.lit("")), _NAME, 0))
+        name = let(F.when(guarded, named(place + 3)).otherwise(""), lambda n: F.when(n != "", n).otherwise(named(place)))
+        rank = F.array_position(F.array(*[F.lit(k) for k in MODIFIERS]), kind)
+        return F.when(fits, let(name, lambda n: F.when(n != "", F.struct(rank.alias("rank"), kind.alias("kind"), n.alias("name")))))
+
+    def at_kind(words: Column) -> Column:
+        place = F.array_position(F.transform(words, lambda w: F.lower(w).isin(*MODIFIERS)), F.lit(True)).cast("int")
+        return let(place, lambda p: F.when(p > 0, let(F.lower(F.get(words, p - 1)), lambda kind: read(words, p, kind))))
+
+    return let(words, at_kind)
 
 
 def created_object(line: Column) -> Column:
-    """``struct<kind, name>`` of the object that a line creates, null for none: the words after CREATE are modifiers,
-    the kind, then the name."""
-    start = F.regexp_instr(line, F.lit(r"(?i)\bCREATE\s"))
-    rest = F.regexp_replace(F.substring(line, start + 6, F.lit(1 << 30)), r"\s*=\s*", "=")
-    words = F.filter(F.split(rest, r"\s+"), lambda w: w != "")
-    lower = F.transform(words, lambda w: F.lower(w))
-    place = F.array_position(F.transform(lower, lambda w: w.isin(*MODIFIERS)), F.lit(True)).cast("int")
-    kind = F.get(lower, place - 1)
-    before = F.slice(lower, 1, F.greatest(place - 1, F.lit(0)))
-
-    def allowed(plain: tuple[str, ...], valued: tuple[str, ...]) -> Column:
-        def test(w: Column) -> Column:
-            ok = w.isin(*plain)
-            for v in valued:
-                ok |= F.startswith(w, F.lit(v))
-            return ok
-
-        return F.forall(before, test)
-
-    fits = F.coalesce(*[F.when(kind == k, allowed(*m)) for k, m in MODIFIERS.items()], F.lit(False))
-    guarded = (kind == "table") & (F.array_join(F.slice(lower, place + 1, 3), " ") == "if not exists")
-    written = F.get(words, place + F.when(guarded, 3).otherwise(0))
-    name = sql_object_name(F.regexp_extract(F.coalesce(written, F.lit("")), r"""^[\w`"\[\].]+""", 0))
-    return F.when((start > 0) & (place > 0) & fits & (name != ""), F.struct(kind.alias("kind"), name.alias("name")))
+    """``struct<kind, name>`` of the object that a line creates, null for none.
+
+    Every CREATE of the line is looked at; the words after it are modifiers, the
+    kind, then the name.
+    """
+    found = F.transform(F.regexp_extract_all(line, F.lit(_CREATE), F.lit(1)), _object_in)
+    first = let(F.array_compact(found), lambda o: F.get(F.array_sort(F.transform(o, lambda x, i: F.struct(x["rank"].alias("rank"), i.alias("place"), x["kind"].alias("kind"), x["name"].alias("name")))), F.lit(0)))
+    return let(first, lambda o: F.when(o.isNotNull(), F.struct(o["kind"].alias("kind"), o["name"].alias("name"))))
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -61,7 +74,9 @@ def sql_symbols(files: DataFrame) -> DataFrame:
     Only the hits are moved to their file's task.
     """
     value = F.col("value")
-    hits = source_lines(files).filter(value.rlike(r"(?i)\bCREATE\s") & ~value.rlike(r"^\s*--")).withColumn("hit", created_object(value)).filter("hit IS NOT NULL")
+    # the exploded array keeps later filters behind the reading of the line
+    hit = F.explode(F.array_compact(F.array(created_object(value))))
+    hits = source_lines(files).filter(value.rlike(r"(?i)\bCREATE\s") & ~value.rlike(r"^\s*--")).select("file_path", "line", "n_lines", hit.alias("hit"))
     in_file = Window.partitionBy("file_path").orderBy("line")
     end = F.greatest("line", F.coalesce(F.lead("line").over(in_file) - 1, F.col("n_lines")))
     return hits.select(

@@ -1,26 +1,25 @@
 """Source text as rows of tokens.
 
-A language is cut into tokens by one regular expression inside the JVM. Every
-token row then learns its line, its nesting depth and its neighbours from window
-functions over the file, which is all the structure declarations and calls need.
-Files are placed by path before they are exploded: the explode and every window
-below keep that placement, so only raw text is shuffled, and only once.
+A scanner (:mod:`kinweave.extract.lexer`) reads each text once and gives every
+token its line and its nesting depth. What declarations and calls need besides
+comes from window functions over the file. Files are placed by path before they
+are exploded: the explode and every window below keep that placement, so only
+raw text is shuffled, and only once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def nested(opening: str, closing: str, other: str, levels: int = 12) -> str:
-    """A pattern of brackets within brackets, ``levels`` deep; ``other`` matches what is neither."""
-    inner = rf"{opening}(?:{other})*+{closing}"
-    for _ in range(levels):
-        inner = rf"{opening}(?:{other}|{inner})*+{closing}"
-    return inner
-
+from kinweave.extract.lexer import Token, with_depths
 
-UNREAD = "\ue000"
+_TOKEN = pa.struct(
+    [("tok", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("depth", pa.int32()), ("parens", pa.int32()), ("newline", pa.bool_())]
+)
 IDENT = r"\A[\p{L}_$#\\][\p{L}\p{N}_$\\]*\z"
 
 
@@ -47,88 +46,30 @@ def place_by_file(files: DataFrame) -> DataFrame:
     return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_path")
 
 
-def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def tokenize(
-    files: DataFrame, token: str, comment: str, unfold: str | None = None, separator: str | None = None, glued: str | None = None,
-    code: str | None = None,
-) -> DataFrame:
-    """Tokens of ``(file_path, text[, ...])`` without comments.
-
-    ``token`` is an alternation of token shapes; white space in front of a token
-    belongs to it, so lines are counted without separate newline rows.
-    ``unfold`` matches tokens that hold code of their own (template strings): the
-    code inside ``${...}``, of which ``code`` matches the braces, is tokenized in
-    place, and so are templates in it, twelve deep. A token that ends with
-    ``UNREAD`` stands where code could not be read. ``separator`` matches tokens that
-    only end a statement; they become ``;``. ``glued`` matches, with one group each,
-    two tokens that are only known together (a regular expression literal and what
-    stands before it); they become two.
+def tokenize(files: DataFrame, scan: Callable[..., list[Token]], flag: Column | None = None) -> DataFrame:
+    """Tokens of ``(file_path, text[, ...])`` without comments; ``scan`` takes a text and, if given, its flag.
 
     Adds ``pos, tok, line, end_line, depth, parens, newline``: ``depth`` and
     ``parens`` count the braces and the parentheses or brackets open *before* the
     token, ``newline`` tells whether it starts a line.
     """
-    pattern = F.lit(rf"\s*(?:{token})")
-
-    def split(text: Column | str) -> Column:
-        tokens = F.regexp_extract_all(text, pattern, F.lit(0))
-        if glued is None:
-            return tokens
-        return F.flatten(
-            F.transform(
-                tokens,
-                lambda t: F.when(
-                    F.endswith(t, F.lit("/")) & t.rlike(glued) | t.rlike(r"/[a-z]+\z") & t.rlike(glued),
-                    F.array(F.regexp_extract(t, glued, 1), F.regexp_extract(t, glued, 2)),
-                ).otherwise(F.array(t)),
-            )
-        )
-
-    def inside(t: Column) -> Column:
-        """The code inside a template and its line ends; escaped signs hold no code."""
-        pieces = F.regexp_extract_all(t, F.lit(rf"\\(?s:.)|\${code}|\$\{{|\n"), F.lit(0))
-        read = F.transform(
-            pieces,
-            lambda p: F.when(p == "${", UNREAD)
-            .when(F.startswith(p, F.lit("${")), F.substring(p, F.lit(3), F.length(p) - 3))
-            .otherwise(F.regexp_replace(p, r"\A\\[^\n]?", "")),
-        )
-        return F.concat(F.regexp_extract(t, r"\A\s*", 0), F.lit('("";'), F.array_join(read, ";"), F.lit(";)"))
-
-    def unfolded(tokens: Column, levels: int = 12) -> Column:
-        return F.flatten(
-            F.transform(
-                tokens,
-                lambda t: F.when(t.rlike(unfold), unfolded(split(inside(t)), levels - 1) if levels else F.array(F.concat(t, F.lit(UNREAD))))
-                .otherwise(F.array(t)),
-            )
-        )
-
-    tokens = split("text") if unfold is None else unfolded(split("text"))
+    flagged = flag is not None
+
+    @F.arrow_udf("array<struct<tok:string,line:int,end_line:int,depth:int,parens:int,newline:boolean>>")
+    def read(texts: pa.Array, flags: pa.Array) -> pa.Array:
+        parts, offsets = [], [0]
+        for text, known in zip(texts, flags):  # one file's tokens are Python objects at a time
+            found = list(zip(*with_depths(scan(text.as_py() or "", *([known.as_py()] if flagged else [])))))
+            parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(found or [[]] * 6, _TOKEN)], fields=list(_TOKEN)))
+            offsets.append(offsets[-1] + len(parts[-1]))
+        values = pa.concat_arrays(parts) if parts else pa.array([], _TOKEN)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
     others = [c for c in files.columns if c not in ("file_path", "text")]
-    rows = (
-        place_by_file(files)
-        .select("file_path", *others, F.posexplode(tokens).alias("pos", "raw"))
-        .withColumn("tok", F.regexp_replace("raw", r"\A\s+", ""))
-        .withColumn("lead_nl", _newlines(F.expr("left(raw, length(raw) - length(tok))")))
-        .withColumn("own_nl", _newlines(F.col("tok")))
-        .withColumn("passed", F.coalesce(F.sum(F.col("lead_nl") + F.col("own_nl")).over(before()), F.lit(0)))
-        .withColumn("line", (F.col("passed") + F.col("lead_nl") + 1).cast("bigint"))
-        .withColumn("end_line", (F.col("line") + F.col("own_nl")).cast("bigint"))
-        .filter(~F.col("tok").rlike(comment))
-    )
-    if separator is not None:
-        rows = rows.withColumn("tok", F.when(F.col("tok").rlike(separator), ";").otherwise(F.col("tok")))
-    brace = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
-    parens = F.when(F.col("tok").isin("(", "["), 1).when(F.col("tok").isin(")", "]"), -1).otherwise(0)
-    return (
-        rows.withColumn("depth", F.coalesce(F.sum(brace).over(before()), F.lit(0)))
-        .withColumn("parens", F.coalesce(F.sum(parens).over(before()), F.lit(0)))
-        .withColumn("newline", F.coalesce(F.lag("end_line").over(in_file()) < F.col("line"), F.lit(True)))
-        .drop("raw", "lead_nl", "own_nl", "passed")
+    tokens = read(F.col("text"), F.lit(False) if flag is None else flag)
+    return place_by_file(files).select("file_path", *others, F.posexplode(tokens).alias("pos", "t")).select(
+        "file_path", *others, "pos", "t.tok", F.col("t.line").cast("bigint").alias("line"), F.col("t.end_line").cast("bigint").alias("end_line"),
+        "t.depth", "t.parens", "t.newline",
     )
 
 

@@ -11,37 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.extract.facts import Extraction, assemble, collect_facts, fact, unbalanced
-from kinweave.extract.tokens import UNREAD, carry, in_file, is_ident, neighbours, nested, since, tokenize, up_to
+from kinweave.extract.lexer import UNCLOSED, typescript_tokens
+from kinweave.extract.tokens import carry, in_file, is_ident, neighbours, since, tokenize, up_to
 
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts")
-
-_CODE = nested(r"\{", r"\}", r"[^{}`]++|`(?:[^`\\]++|\\(?s:.))*+`")
-_BACKTICK = rf"`(?:[^`\\$]++|\\(?s:.)|\$(?!\{{)|\${_CODE}|\$\{{)*+`"
-_LITERAL = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*"
-# Where an operand may start: after these operators and words, and after the
-# condition of a statement if the literal is used at once. ``</`` closes a tag.
-_OPERAND = (
-    r"(?:=>|\?\?|&&|\|\||[(,=:;!&|?{}\[+~^%*-]|<(?!/)"
-    r"|(?<![\w$.])(?:return|typeof|case|in|of|do|else|void|delete|await|yield)(?![\w$]))"
-)
-_USED = rf"\)\s*{_LITERAL}(?=\s*\.\s*(?:test|exec|source)\b)"
-GLUED = rf"\A(\s*(?:{_OPERAND}|\)))(\s*{_LITERAL})\z"
-TOKEN = "|".join(
-    [
-        rf"{_OPERAND}\s*{_LITERAL}",
-        _USED,
-        r"#?[\p{L}_$][\p{L}\p{N}_$]*+",
-        r"/\*(?s:.*?)(?:\*/|\z)",  # block comment
-        r"//[^\n]*",  # line comment
-        _BACKTICK,
-        r'"(?:[^"\\\n]++|\\(?s:.))*+"',
-        r"'(?:[^'\\\n]++|\\(?s:.))*+'",
-        r"\[[\w$.]+\](?=\s*[(<])",  # computed member name
-        r"(?=<)(?<=[\w$])" + nested("<", ">", r"[^<>(){};=]|=(?!>)", 6),  # type arguments
-        r"[0-9][\w.]*+",
-        r"=>|\?\.(?![0-9])|\.\.\.|\?\?|&&|\|\||\S",
-    ]
-)
+TAGGED = ".tsx"  # sources that may hold tags
 
 _MODIFIERS = ("export", "default", "abstract", "async")
 _DECLARE = ("class", "function", "interface", "type", "enum", "const", "let", "var")
@@ -89,7 +63,7 @@ def _simple_type(first: int) -> Column:
 
 
 def _scan(files: DataFrame) -> DataFrame:
-    rows = tokenize(files, TOKEN, r"\A(?://|/\*)", unfold=r"\A\s*`(?s:.)*\$\{", glued=GLUED, code=_CODE)
+    rows = tokenize(files, typescript_tokens, F.endswith("file_path", F.lit(TAGGED)))
     rows = neighbours(rows, back=range(1, 5), ahead=range(1, 3))
     tok, p1, n1, n2 = _col("tok"), _col("p1"), _col("n1"), _col("n2")
     word = _col("word")
@@ -221,7 +195,7 @@ def _scan(files: DataFrame) -> DataFrame:
     return collect_facts(
         rows,
         unbalanced(),
-        fact("error", F.endswith(tok, F.lit(UNREAD)), F.lit("a template is nested too deep"), F.lit("")),
+        fact("error", tok == UNCLOSED, F.lit("a template or a tag does not close"), F.lit("")),
         fact("symbol", _col("declares"), n1, kind, line=_col("decl.line"), end_line=_col("stmt_end")),
         fact("symbol", _col("another"), tok, F.lit("constant"), line=_col("decl.line"), end_line=_col("stmt_end")),
         fact(

@@ -372,7 +372,7 @@ def manifest_diff(s, d):
 
 @query
 def debounce_windows(s, d):
-    bursts = watch.flush_windows(a.table(s, d, "events"), "user_id", "6 hours")
+    bursts = watch.flush_windows(a.table(s, d, "events"), "user_id", 6 * 3600)
     return bursts.select(
         "user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"),
         F.date_format("end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("end"), "n_events",
@@ -460,6 +460,19 @@ def sql_objects(s, d):
     return sql_symbols(a.ddl_documents(s, d)).drop("ordinal", "language")
 
 
+@query
+def tsx_symbols(s, d):
+    found = typescript.extract(a.tagged_documents(s, d)).symbols
+    return found.select("id", "fqn", "symbol_type", "file_path", "line_start", "line_end")
+
+
+@query
+def tsx_call_refs(s, d):
+    found = typescript.extract(a.tagged_documents(s, d))
+    errors = found.errors.select(F.lit("").alias("caller_id"), F.col("error").alias("target_name"), F.col("file_path").alias("kind"), F.lit(0).cast("bigint").alias("line"))
+    return found.refs.select("caller_id", "target_name", "kind", "line").unionByName(errors)
+
+
 @query
 def enclosing_symbol(s, d):
     lines = (

@@ -423,6 +423,15 @@ UNION ALL SELECT id, 'C' || n || '.make', 'static_call', first_line + 3 FROM met
 UNION ALL SELECT id, 'C' || n, 'instantiation', first_line + 4 FROM methods
 UNION ALL SELECT id, 'helper', 'static_call', first_line + 5 FROM methods""", _generated(".py").replace("{more}", ""))
 
+_TAGGED = "tagged AS (SELECT 'docs/p' || doc_id || '.tsx' AS path, 'C' || i AS cls, 'T' || i AS other, 4 * i + 1 AS line FROM doc_lines)"
+oracle("tsx_symbols", """
+SELECT path || '::' || cls || m AS id, cls || m AS fqn, CASE WHEN m = '' THEN 'class' ELSE 'method' END AS symbol_type,
+       path AS file_path, line + first AS line_start, line + last AS line_end
+FROM tagged, (VALUES ('', 0, 3), ('.m', 1, 1), ('.n', 2, 2)) v(m, first, last)""", _TAGGED)
+oracle("tsx_call_refs", """
+SELECT path || '::' || cls || '.m' AS caller_id, cls || '.n' AS target_name, 'static_call' AS kind, line + 1 AS line FROM tagged, range(2)
+UNION ALL SELECT path || '::' || cls || '.n', other || '.u', 'static_call', line + 2 FROM tagged""", _TAGGED)
+
 # --- indexing -----------------------------------------------------------------
 
 _EDGES = """edges AS (

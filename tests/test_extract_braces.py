@@ -235,9 +235,85 @@ def test_ts_calls_in_templates(spark, ts):
             ("T.c", "U.u", "static_call", 8),
         ]
     )
-    errors = [(r.file_path, r.error) for r in got.errors.collect()]
-    assert ("dock/deep.ts", "a template is nested too deep") in errors and "dock/text.ts" not in dict(errors)
-    assert len(refs(got, "dock/inner.ts")) >= 12 or "dock/inner.ts" in dict(errors)
+    assert got.errors.count() == 0
+    assert refs(got, "dock/deep.ts") == [("D", "M.m", "static_call", 1)]  # of symbols on one line the first
+    assert refs(got, "dock/inner.ts") == sorted(("D", f"D.f{i}", "static_call", 1) for i in range(14))
+
+
+TSX = """class A<T extends object> {
+  render() {
+    return (
+      <Panel<Row> title="it's {open" on={() => this.save({ a: 1 })} side=<Icon name='}' />>
+        Don't stop {this.x ? 'a' : 'b'} here: it's 5 > 4 && "quoted
+        {/* { a comment's brace */}
+        <>
+          {rows.map(r => <li key={r.id}>{Fmt.line(r)} isn't `that`</li>)}
+          <Deep.Inner.Part {...Props.of(r)} /><br/>
+        </>
+      </Panel>
+    );
+  }
+  after() { const n = a < b ? <T,>(x: T) => Id.of(x) : c > d; return cond && <p>won't {`t ${Log.say(<b>it's</b>)}`}</p> }
+  same() { if (a < b && c > d) { Cmp.run() } }
+}
+class B {
+  m() { return new A<Map<string, Array<number>>>(); }
+}
+"""
+
+
+def test_tsx_text_is_no_code(spark):
+    got = run(spark, typescript, {"ui/view.tsx": TSX, "ui/probe.tsx": (
+        "class A {\n  m() { return <p>Don't stop {this.x ? 'a' : 'b'}</p> }\n  after() {}\n}\nclass B {\n  m() { Z.go() }\n}\n"
+    )})
+    assert got.errors.count() == 0
+    assert symbols(got, "ui/probe.tsx") == {
+        ("A", "class", 1, 4), ("A.m", "method", 2, 2), ("A.after", "method", 3, 3), ("B", "class", 5, 7), ("B.m", "method", 6, 6),
+    }
+    assert refs(got, "ui/probe.tsx") == [("B.m", "Z.go", "static_call", 6)]
+    assert symbols(got, "ui/view.tsx") == {
+        ("A", "class", 1, 16), ("A.render", "method", 2, 13), ("A.after", "method", 14, 14), ("A.same", "method", 15, 15),
+        ("B", "class", 17, 19), ("B.m", "method", 18, 18),
+    }
+    assert refs(got, "ui/view.tsx") == sorted([
+        ("A.render", "A.save", "static_call", 4), ("A.render", "rows.map", "static_call", 8), ("A.render", "Fmt.line", "static_call", 8),
+        ("A.render", "Props.of", "static_call", 9), ("A.after", "Id.of", "static_call", 14), ("A.after", "Log.say", "static_call", 14),
+        ("A.same", "Cmp.run", "static_call", 15), ("B.m", "A", "instantiation", 18),
+    ])
+
+
+def test_nesting_has_no_limit(spark):
+    deep = 50
+    template = "x"
+    for i in range(deep):
+        template = f"`a ${{F.f{i}({template})}} b`"
+    types = "Array<" * deep + "string" + ">" * deep
+    tags = "".join(f"<d{i} a={{G.g{i}()}}>it's " for i in range(deep)) + "".join(f"</d{i}>" for i in reversed(range(deep)))
+    braces = "{" * deep + "H.h()" + "}" * deep
+    got = run(spark, typescript, {
+        "deep/a.tsx": f"class D {{\n  t() {{ return {template} }}\n  g() {{ new Box<{types}>(); K.make<{types}>(1) }}\n  x() {{ return {tags} }}\n  b() {braces}\n}}\nclass E {{}}\n",
+    })
+    assert got.errors.count() == 0
+    assert {s[0] for s in symbols(got, "deep/a.tsx")} == {"D", "D.t", "D.g", "D.x", "D.b", "E"}
+    assert refs(got, "deep/a.tsx") == sorted(
+        [("D.t", f"F.f{i}", "static_call", 2) for i in range(deep)] + [("D.g", "Box", "instantiation", 3), ("D.g", "K.make", "static_call", 3)]
+        + [("D.x", f"G.g{i}", "static_call", 4) for i in range(deep)] + [("D.b", "H.h", "static_call", 5)]
+    )
+    attribute = "#[A(" + "[" * deep + "'x]'" + "]" * deep + ")]"
+    got = run(spark, php, {"deep/a.php": f"<?php\n{attribute}\nclass P {{\n  {attribute}\n  public function m() {{ Q::go(); }}\n}}\nclass R {{}}\n"})
+    assert got.errors.count() == 0
+    assert symbols(got, "deep/a.php") == {("P", "class", 2, 6), ("P.m", "method", 4, 5), ("R", "class", 7, 7)}
+    assert refs(got, "deep/a.php") == [("P.m", "Q.go", "static_call", 5)]
+
+
+def test_what_does_not_close_is_an_error_and_long_lines_are_read_once(spark):
+    got = run(spark, typescript, {
+        "bad/a.ts": "class A { m() { return `open ${x} } }\n", "bad/b.tsx": "class B { m() { return <p>{x}; } }\n",
+        "long/c.ts": "class C { m() { return " + "a<" * 50_000 + "b; }\n n() { L.l() }\n}\n",
+    })
+    errors = {r.file_path: r.error for r in got.errors.collect()}
+    assert set(errors) == {"bad/a.ts", "bad/b.tsx"}
+    assert refs(got, "long/c.ts") == [("C.n", "L.l", "static_call", 2)]
 
 
 def test_ts_literals_and_tags_keep_the_structure(ts):

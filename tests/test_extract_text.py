@@ -79,6 +79,37 @@ def test_sql(spark):
     assert rows[0].id == "db/x.sql::stock"
 
 
+SQL_LINES = """SELECT 1; CREATE INDEX i ON a(b); CREATE TABLE t1 (x INT);
+/* create */ CREATE TABLE t2 (
+CREATE VIEW v3 AS SELECT 1; create temporary   table if not exists a.[t3] (x INT)
+CREATE  FUNCTION create()
+CREATE OR REPLACE UNIQUE INDEX i; CREATE SCHEMA s
+create definer = `r`@`h` procedure "p5"() ; CREATE TRIGGER g
+CREATE TABLE IF (x INT)
+CREATE materialized or replace VIEW w
+"""
+
+
+def test_every_create_of_a_line_is_looked_at(spark):
+    rows = sql_symbols(one(spark, SQL_LINES, "db/y.sql")).orderBy("line_start").collect()
+    assert [(r.fqn, r.symbol_type, r.line_start, r.line_end) for r in rows] == [
+        ("t1", "table", 1, 1), ("t2", "table", 2, 2), ("t3", "table", 3, 3), ("create", "function", 4, 5), ("p5", "procedure", 6, 6), ("IF", "table", 7, 9),
+    ]
+    many = one(spark, "CREATE INDEX i; " * 20_000 + "CREATE VIEW last AS SELECT 1", "db/z.sql")
+    assert [r.fqn for r in sql_symbols(many).collect()] == ["last"]
+
+
+def test_readers_evaluate_each_step_once(spark):
+    """The size of a plan is that of what is written: helpers that use a value twice do not copy its tree."""
+    def splits(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+
+    files = one(spark, "x", "a")
+    assert splits(sql_symbols(files)) < 12
+    assert splits(knowledge.scan_decisions(files)) < 12
+    assert splits(knowledge.scan_markers(files)) < 12
+
+
 def test_markers(spark):
     source = "\n".join(
         ["// HACK: first", "x # fixme - second", "/* WARNING: third */", "// TODO: no", "// this is a HACK: no", "// HACK", "* Danger  x */ y", "// C++: custom",
@@ -89,6 +120,15 @@ def test_markers(spark):
         (1, "HACK", "first"), (2, "FIXME", "second"), (3, "WARNING", "third"), (7, "DANGER", "x */ y"), (8, "C++", "custom"),
         (9, "XXX", "*/"), (10, "HACK", "-"), (12, "HACK", "crlf"),
     ]
+    source = "\n".join(
+        ["a // x # ** HACK: late * more // end", "///HACK: slashes", "url http://hack no", "/** WARNING- doc */", "#*# Xxx : z", "HACK: no sign", "// HACKS: no", "// fixme:no gap",
+         "// c#: sharp", "a*b#c//d " * 3000 + "// danger: far"]
+    )
+    found = knowledge.scan_markers(one(spark, source), knowledge.merge_markers(["c#"]))
+    assert [(r.line, r.marker, r.claim) for r in found.orderBy("line").collect()] == [
+        (1, "HACK", "late * more // end"), (2, "HACK", "slashes"), (3, "HACK", "no"), (4, "WARNING", "doc"), (5, "XXX", "z"), (8, "FIXME", "no gap"),
+        (9, "C#", "sharp"), (10, "DANGER", "far"),
+    ]
 
 
 def test_reverts(spark):
