@@ -401,6 +401,14 @@ def walk_sources(s, d):
     return src.walk(a.listing(s, d), ["src"], ["typescript"], ["d1"]).select("path", src.language_of(col("path")).alias("language"))
 
 
+@query
+def watch_roots(s, d):
+    tree = a.listing(s, d)
+    every = src.watch_roots(tree, [".", "src/m1"], ["docs"]).select(lit("all").alias("kind"), "root")
+    named = src.watch_roots(tree, ["src/m1", "./src/m1/d1/", "docs/", "nowhere"], ["docs"]).select(lit("named").alias("kind"), "root")
+    return every.unionByName(named)
+
+
 # --- extraction ---------------------------------------------------------------
 
 

@@ -17,10 +17,12 @@ from kinweave.graph import CodeGraph
 from kinweave.operators import resolve
 from kinweave.operators.drift import manifest_diff
 from kinweave.operators.records import apply_index, index_records
+from kinweave.plans import incremental
 from kinweave.session import materialize
 from kinweave.sources.files import language_of, list_tree, read_sources, walk
 from kinweave.sources.record_log import parse_log, read_log_lines
-from kinweave.sources.tables import Config, load_state, save_state
+from kinweave.sources.tables import Config
+from kinweave.sources.versions import Versions
 
 
 def _sql(files: DataFrame) -> Extraction:
@@ -54,11 +56,7 @@ def extract_sources(files: DataFrame, languages: list[str] | tuple[str, ...]) ->
 
 @dataclass(frozen=True)
 class CodeIndex:
-    """What is kept between runs: extracted rows, and the graph tables built from them.
-
-    References are stored unresolved and linked again in every run, so a change
-    in one file also corrects the edges of files that did not change.
-    """
+    """Extracted rows, with references as they are written; :func:`link` builds the graph from them."""
 
     symbols: DataFrame
     refs: DataFrame
@@ -93,19 +91,19 @@ def merge_index(old: CodeIndex, changed: CodeIndex, gone: DataFrame) -> CodeInde
     )
 
 
-def link(index: CodeIndex) -> CodeGraph:
-    """Deduplicate symbols, then build containment, inheritance and call edges."""
-    spark = index.symbols.sparkSession
+def linked(index: CodeIndex) -> dict[str, DataFrame]:
+    """``nodes, contains, calls, extends`` and the ``resolved`` references they come from."""
     symbols = materialize(resolve.dedup_symbols(index.symbols), "symbols")
     extends = materialize(resolve.extends_edges(symbols, index.inheritance), "extends")
     resolved = materialize(resolve.resolve_calls(symbols, index.refs, extends), "resolved")
+    return {**incremental.graph_rows(symbols, resolved), "extends": extends, "resolved": resolved}
+
+
+def link(index: CodeIndex) -> CodeGraph:
+    """Deduplicate symbols, then build containment, inheritance and call edges."""
+    found = linked(index)
     return CodeGraph.from_tables(
-        spark,
-        symbols=resolve.count_unresolved(symbols, resolved),
-        files=index.files,
-        contains=resolve.contains_edges(symbols),
-        calls=resolve.call_edges(resolved),
-        extends=extends,
+        index.symbols.sparkSession, symbols=found["nodes"], files=index.files, contains=found["contains"], calls=found["calls"], extends=found["extends"]
     )
 
 
@@ -136,51 +134,54 @@ class Analysis:
     log_errors: DataFrame
 
 
-_STATE = {
-    "symbols": schema.EXTRACTED_SYMBOL,
-    "refs": schema.CALL_REF,
-    "inheritance": schema.INHERITANCE,
-    "files": schema.FILES,
-    "errors": schema._table("file_path string, error string"),
-}
+_EXTRACTED = ("symbols", "refs", "inheritance", "files", "errors")
+BUCKETS = 64
 
 
 def analyze(
-    spark: SparkSession, root: str, state: str, config: Config, log_path: str | None = None, full: bool = False
+    spark: SparkSession, root: str, state: str, config: Config, log_path: str | None = None, full: bool = False, buckets: int = BUCKETS
 ) -> Analysis:
     """Bring the graph of ``root`` up to date, opening only the files that changed.
 
-    Extracted rows of all files are rewritten and all references linked again.
-
-    ``state`` is a shared folder for the manifest and the extracted rows. Without
-    either, or with ``full``, everything is read. Records are indexed again in
-    every run: the log changes independently of the sources.
+    ``state`` is a shared folder. It keeps versions of the manifest, the
+    extracted rows and the graph, in ``buckets`` buckets of files. Where nothing
+    changed, nothing is linked; otherwise references that the change can concern
+    are linked again (:mod:`kinweave.plans.incremental`) and the buckets that
+    came out different are written. A run that dies leaves the last version as it
+    is; a run beside another one raises :class:`Conflict`. With ``full``, or
+    without a version, everything is read. Records are indexed again in every
+    run: the log changes independently of the sources.
     """
     listing = materialize(list_tree(spark, root, config.exclude), "listing")
-    current = walk(listing, config.include, config.languages, config.exclude)
-    previous = load_state(spark, f"{state}/manifest", schema.MANIFEST)
-    stored = CodeIndex(**{n: load_state(spark, f"{state}/{n}", layout) for n, layout in _STATE.items()})
-
-    if full or previous.isEmpty() or stored.symbols.isEmpty():
-        mode, index = "full", build_index(read_sources(spark, root, current), config.languages)
+    current = walk(listing, config.include, config.languages, config.exclude).select("path", "mtime")
+    versions = Versions(spark, f"{state}/code-{buckets}")
+    number = versions.latest()
+    mode, changes = "full", {}
+    if full or number is None:
+        index = build_index(read_sources(spark, root, current), config.languages)
+        tables = {n: getattr(index, n) for n in _EXTRACTED} | {"manifest": current} | linked(index)
+        changes = {n: (incremental.in_buckets(n, rows, buckets), None) for n, rows in tables.items()}
     else:
-        diff = materialize(manifest_diff(previous, current), "diff")
+        stored = incremental.Stored(lambda name, wanted: versions.read(name, incremental.layout(name), number, wanted), buckets)
+        diff = materialize(manifest_diff(stored.table("manifest"), current), "diff")
         mode = "skip" if diff.isEmpty() else "incremental"
-        index = stored
         if mode == "incremental":
-            fresh = read_sources(spark, root, diff.filter("status <> 'deleted'"))
-            index = merge_index(stored, build_index(fresh, config.languages), diff)
-    if mode != "skip":
-        for name in _STATE:
-            save_state(getattr(index, name), f"{state}/{name}")
-        save_state(current.select("path", "mtime"), f"{state}/manifest")
-        index = CodeIndex(**{n: load_state(spark, f"{state}/{n}", layout) for n, layout in _STATE.items()})
-
-    graph = link(index)
+            present = diff.filter("status <> 'deleted'")
+            index = build_index(read_sources(spark, root, present), config.languages)
+            fresh = {n: getattr(index, n) for n in _EXTRACTED} | {"manifest": current.join(present.select("path"), "path", "left_semi")}
+            changes = incremental.relink(stored, fresh, diff)
+    if changes:
+        number = versions.commit(changes, number)
+        versions.vacuum(keep=2)
+
+    def table(name: str) -> DataFrame:
+        return versions.read(name, incremental.layout(name), number)
+
+    graph = CodeGraph.from_tables(spark, symbols=table("nodes"), **{n: table(n) for n in ("files", "contains", "calls", "extends")})
     errors = spark.createDataFrame([], "line bigint, id string, message string")
     if log_path is not None:
         graph, errors = reindex(graph, read_log_lines(spark, log_path), listing)
-    return Analysis(mode, graph, index, errors)
+    return Analysis(mode, graph, CodeIndex(**{n: table(n) for n in _EXTRACTED}), errors)
 
 
 def reindex(graph: CodeGraph, lines: DataFrame, listing: DataFrame | None = None) -> tuple[CodeGraph, DataFrame]:

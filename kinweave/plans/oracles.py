@@ -293,6 +293,10 @@ oracle("walk_sources", """
 SELECT path, 'typescript' AS language FROM listing
 WHERE path LIKE 'src/%' AND path LIKE '%.ts' AND path NOT LIKE '%/d1/%'""")
 
+oracle("watch_roots", """
+SELECT DISTINCT 'all' AS kind, split_part(path, '/', 1) AS root FROM listing WHERE path LIKE '%/%' AND path NOT LIKE 'docs/%'
+UNION ALL SELECT 'named', folder FROM (VALUES ('src/m1'), ('docs')) v(folder) WHERE EXISTS (SELECT 1 FROM listing WHERE starts_with(path, folder || '/'))""")
+
 # --- extraction ---------------------------------------------------------------
 
 _SPACE = r"[\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"

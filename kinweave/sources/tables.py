@@ -20,7 +20,9 @@ from kinweave.graph import CodeGraph
 from kinweave.operators.lookup import RULE_MARKER
 from kinweave.session import materialize
 from kinweave.sources.files import DEFAULT_EXCLUDES, list_tree, qualified, read_sources
+from kinweave.sources.versions import Versions, bucket_of
 
+_STATE_BUCKETS = 16
 # The key each edge or node table is mostly joined on.
 BUCKET_KEYS = {
     "symbols": "id", "files": "id", "records": "id", "contains": "dst",
@@ -64,16 +66,37 @@ def load_bucketed(spark: SparkSession, database: str) -> CodeGraph:
 
 
 def load_state(spark: SparkSession, path: str, layout: schema.T.StructType) -> DataFrame:
-    """A state table (manifest, reported drift); empty when it was never written or cannot be read."""
-    try:
-        return schema.conform(spark.read.parquet(path), layout)
-    except AnalysisException:
-        return schema.empty(spark, layout)
+    """A state table (reported drift, build marker); empty when it was never written. What cannot be read is an error."""
+    return Versions(spark, path).read("state", layout)
 
 
 def save_state(df: DataFrame, path: str) -> None:
-    """Replace a state table. The new rows may derive from the old ones."""
-    materialize(df, "state").write.mode("overwrite").parquet(path)
+    """Replace a state table by its next version; readers keep the one they have. The new rows may derive from the old ones."""
+    versions = Versions(df.sparkSession, path)
+    versions.commit({"state": (df.withColumn("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(_STATE_BUCKETS))), None)}, versions.latest())
+    versions.vacuum(keep=2)
+
+
+def publish_graph(graph: CodeGraph, path: str, buckets: int = 64) -> int:
+    """The number of the version of the graph that is written below ``path``."""
+    versions = Versions(graph.spark, path)
+    tables = {n: (df.withColumn("bucket", bucket_of(F.col(BUCKET_KEYS[n]), buckets)), None) for n, df in graph.tables().items()}
+    return versions.commit(tables, versions.latest())
+
+
+def open_graph(spark: SparkSession, path: str, number: int | None = None) -> CodeGraph:
+    """A version of a published graph, the latest by default."""
+    versions = Versions(spark, path)
+    return CodeGraph.from_tables(spark, **{n: versions.read(n, layout, number) for n, layout in schema.TABLES.items()})
+
+
+def drop_graphs(spark: SparkSession, path: str, keep: int = 0, older_than: float = 86_400) -> list[str]:
+    """Delete published versions but the last ``keep`` (all of them at once by default)."""
+    versions = Versions(spark, path)
+    if keep:
+        return versions.vacuum(keep, older_than)
+    versions.drop()
+    return [path]
 
 
 def write_rules(documents: DataFrame, path: str) -> None:
