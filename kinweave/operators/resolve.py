@@ -157,19 +157,39 @@ def count_unresolved(symbols: DataFrame, resolved: DataFrame) -> DataFrame:
     return schema.conform(counted.withColumn("unresolved_calls", F.coalesce("n", F.lit(0))), schema.SYMBOLS)
 
 
+def _dyadic(first: Column, last: Column) -> Column:
+    """``array<struct<level, bin>>``: the fewest aligned blocks of ``2^level`` lines that make up the lines ``first`` to ``last``."""
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        low = F.ceil(first / size).cast("bigint")
+        high = F.floor((last + 1) / size).cast("bigint")
+        left, right = (low < high) & (low % 2 == 1), (low + low % 2 < high) & (high % 2 == 1)
+        return F.array(F.when(left, F.struct(level.alias("level"), low.alias("bin"))), F.when(right, F.struct(level.alias("level"), (high - 1).alias("bin"))))
+
+    top = F.floor(F.log2((last - first + 1).cast("double"))).cast("int")
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), top), at)))
+
+
 def enclosing_symbol(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """The narrowest symbol around each ``(file_path, line)``; the earlier one on a tie.
 
-    Symbols are spread over the lines they cover and reduced to one per line, so
-    the match is an equi-join: the work grows with lines times nesting depth, not
-    with lines times symbols.
+    A symbol becomes the aligned blocks that make up its lines, about two per
+    doubling of its length; a line looks up the one block of each size that it
+    lies in. The match is an equi-join, and what is moved grows with symbols and
+    lines times the logarithm of the longest symbol, not with the lines covered.
     """
-    spread = symbols.select(
-        "file_path",
-        F.explode(F.sequence("line_start", "line_end")).alias("line"),
+    ordered = symbols.filter("line_end >= line_start")
+    longest = ordered.agg(F.max(F.col("line_end") - F.col("line_start") + 1)).first()[0] or 0
+    spread = ordered.select(
+        "file_path", F.explode(_dyadic(F.col("line_start"), F.col("line_end"))).alias("b"),
         F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "ordinal", "id", "fqn").alias("s"),
     )
-    narrowest = spread.groupBy("file_path", "line").agg(F.min("s").alias("s"))
+    blocks = spread.groupBy("file_path", F.col("b.level").alias("level"), F.col("b.bin").alias("bin")).agg(F.min("s").alias("s"))
+    asked = lines.select("file_path", "line").distinct().select(
+        "file_path", "line", F.explode(F.sequence(F.lit(0), F.lit(max(longest, 1).bit_length() - 1))).alias("level")
+    ).withColumn("bin", F.expr("shiftright(line, level)"))
+    narrowest = asked.join(blocks, ["file_path", "level", "bin"]).groupBy("file_path", "line").agg(F.min("s").alias("s"))
     return lines.join(narrowest, ["file_path", "line"]).select(
         *lines.columns, F.col("s.id").alias("symbol_id"), F.col("s.fqn").alias("symbol_fqn")
     )
