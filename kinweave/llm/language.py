@@ -8,10 +8,12 @@ worker keeps the contributions of words it has seen.
 
 Document frequencies are counted over all training texts. The weights are
 fitted with follow-the-regularised-leader and elastic-net penalties on at most
-``PER_LANGUAGE`` texts of each language, those of the smallest seeded hash;
-a fifth of them is kept apart for the temperature that calibrates the scores.
+``PER_LANGUAGE`` different texts of each language and ``IN_ALL`` of all (at
+least one of each language), those of the smallest seeded hashes; a fifth of
+them is kept apart for the temperature that calibrates the scores.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
+texts of any length are read whole; copies of a text are one text to learn from;
 rows with a null language teach nothing; without any training text all
 documents are ``und`` with score 0; equal scores go to the language that sorts
 first; repeated rows are judged alike; an empty table gives no rows; a column
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import bounded_batches, held_out, quoted, whole_row, with_results
 from kinweave.llm.linear import Ftrl, WordMemo, sliced, softmax, temperature
+from kinweave.llm.sampling import smallest_hashes
 
 PER_LANGUAGE = 1500
-MAX_LANGUAGES = 500
+IN_ALL = 8000
 FEATURES = 1 << 15
 SIZES = (1, 2, 3)
 UNKNOWN = "und"
@@ -140,63 +143,71 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return total[:-1], int(total[-1])
 
 
-def _sample(training: DataFrame, per_language: int) -> tuple[list[str], list[int], list[np.ndarray]]:
-    """Languages, and of at most ``per_language`` texts of each its index and n-grams."""
-    counts = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    sizes = {r["lang"]: r["count"] for r in counts}
-    languages = sorted(sizes)
+def _sample(training: DataFrame, per_language: int, in_all: int) -> tuple[list[str], list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """All languages, and of a bounded number of different texts of each its index, n-grams and their counts."""
+    training = training.withColumn("h", F.xxhash64(F.lit(11), "text"))
+    counts = training.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row per language
+    languages = sorted(r["lang"] for r in counts)
     if not languages:
         return [], [], []
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 30)) / float(1 << 30)
-    names = {lang: i for i, lang in enumerate(languages)}
+    size = max(1, min(per_language, in_all // len(languages)))
+    sample = smallest_hashes(training.select("lang", "h"), "lang", {r["lang"]: r["n"] for r in counts}, dict.fromkeys(languages, size))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo()
+        memo, seen = _memo(), set()
+        names = {lang: i for i, lang in enumerate(languages)}
         for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]  # copies are counted once
             ids, ns = [], []
-            for texts in sliced(batch.column(1)):
+            for texts in sliced(batch.column(2).take(pa.array(new, pa.int64()))):
                 for slots in memo.slots(texts):
                     grams = np.concatenate([memo.held[s] for s in slots]) if len(slots) else np.zeros(0, np.int32)
                     values, n = np.unique(grams, return_counts=True)
                     ids.append(values), ns.append(n.astype(np.int32))
-            lang = pa.array([names[x] for x in batch.column(0).to_pylist()], pa.int32())
-            yield pa.record_batch([lang, pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=["lang", "ids", "ns"])
+            lang = pa.array([names[keys[i][0]] for i in new], pa.int32())
+            h = pa.array([keys[i][1] for i in new], pa.int64())
+            yield pa.record_batch([lang, h, pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=["lang", "h", "ids", "ns"])
 
-    limit = 2 * per_language * len(languages)
-    rows = training.filter(draw < share).select("lang", "text").mapInArrow(packed, "lang int, ids array<int>, ns array<int>").limit(limit).toArrow()
-    langs = rows.column("lang").to_pylist()
-    grams = [np.stack([np.asarray(i.values), np.asarray(n.values)]) for i, n in zip(rows.column("ids"), rows.column("ns"))]
-    return languages, langs, grams
+    read = training.join(F.broadcast(sample), ["lang", "h"]).select("lang", "h", "text").mapInArrow(packed, "lang int, h long, ids array<int>, ns array<int>")
+    rows = read.dropDuplicates(["lang", "h"]).select("lang", "ids", "ns").toArrow()  # at most ``size`` rows a language
+    # views of the table's memory, not copies
+    grams = [(np.asarray(i.values), np.asarray(n.values)) for i, n in zip(rows.column("ids"), rows.column("ns"))]
+    return languages, rows.column("lang").to_pylist(), grams
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, epochs: int = 3, seed: int = 5,
-    alpha: float = 0.3, beta: float = 0.1, l1: float = 0.02, l2: float = 0.01,
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, epochs: int = 3,
+    seed: int = 5, alpha: float = 0.3, beta: float = 0.1, l1: float = 0.02, l2: float = 0.01,
 ) -> LanguageModel:
-    """A model from the rows of ``docs`` with a language; rows to learn from are the caller's choice."""
+    """A model from the rows of ``docs`` with a language; rows to learn from are the caller's choice.
+
+    It learns from at most ``per_language`` different texts a language and
+    ``in_all`` altogether (but one of each language at least).
+    """
     bounded_batches(docs.sparkSession)
     training = docs.select(F.col(quoted(lang_col)).cast("string").alias("lang"), F.col(quoted(text_col)).alias("text")).filter("lang is not null and text is not null")
-    languages, langs, grams = _sample(training, per_language)
+    languages, langs, grams = _sample(training, per_language, in_all)
     if not languages:
         return LanguageModel((), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     seen, n_texts = _frequencies(training.select("text"))
     idf = np.log((1 + n_texts) / (1 + seen)) + 1
-    examples = [
-        (np.append(g[0], FEATURES), np.append(SCALE * g[1] / max(g[1].sum(), 1) * idf[g[0]], 1.0), np.eye(len(languages))[k])
-        for k, g in zip(langs, grams) if g.shape[1]
-    ]
-    order = np.random.default_rng(seed).permutation(sorted(range(len(examples)), key=lambda i: xxhash.xxh64_intdigest(examples[i][1].tobytes())))
+    kept = sorted((i for i, g in enumerate(grams) if len(g[0])), key=lambda i: (xxhash.xxh64_intdigest(grams[i][0].tobytes() + grams[i][1].tobytes()), langs[i]))
+
+    def example(i: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = grams[i]
+        return np.append(ids, FEATURES), np.append(SCALE * n / n.sum() * idf[ids], 1.0)
+
+    targets = np.eye(len(languages))
+    order = np.array(kept, np.int64)[np.random.default_rng(seed).permutation(len(kept))]
     kept_apart, learned = order[: len(order) // 5], order[len(order) // 5:]
     model = Ftrl(FEATURES + 1, len(languages), alpha, beta, l1, l2)
     for _ in range(epochs):
         for i in learned:
-            model.learn(*examples[i])
+            model.learn(*example(i), targets[langs[i]])
     weights = model.weights()
-    logits = np.array([examples[i][1] @ weights[examples[i][0]] for i in kept_apart]).reshape(-1, len(languages))
-    heat = temperature(logits, np.array([examples[i][2] for i in kept_apart]).reshape(-1, len(languages)))
+    logits = np.array([x @ weights[at] for at, x in map(example, kept_apart)]).reshape(-1, len(languages))
+    heat = temperature(logits, targets[[langs[i] for i in kept_apart]].reshape(-1, len(languages)))
     return LanguageModel(tuple(languages), weights[:-1] * (SCALE * idf)[:, None], weights[-1], heat)
 
 

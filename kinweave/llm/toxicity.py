@@ -14,12 +14,13 @@ A feature is a word or a word's first 4 to 8 letters, either *present* (worth
 less the longer the text is) or *dense* (at least ``DENSE`` of all words, and
 twice or more in texts of ``SHORT`` words; a lexicon's word is dense wherever
 it is). Everything is
-fitted on at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled texts (those of the
-smallest seeded hash, weighted back to the shares of all labelled texts);
-scoring reads whole texts.
+fitted on at most ``MAX_TOXIC`` and ``MAX_CLEAN`` different labelled texts (those
+of the smallest seeded hashes, drawn after labels have met their documents and
+weighted back to the shares of all labelled texts); scoring reads whole texts.
 
 Defined results: null and empty texts get the classifier's score of no
-feature; rows with a null label teach nothing; with no labelled text of either
+feature; rows with a null label teach nothing; of repeated ids each different
+text is labelled, and copies of one count once; with no labelled text of either
 class every score is the share of toxic labels (0 without labels); repeated
 rows are scored alike; an empty table gives no rows; a column with the name of
 a result is replaced.
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import bounded_batches, held_out, quoted, whole_row, with_results
 from kinweave.llm.linear import Ftrl, WordMemo, lower_words, sliced, softmax, temperature
+from kinweave.llm.sampling import smallest_hashes
+from kinweave.session import materialize
 
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 FEATURES = 1 << 22
@@ -106,12 +109,13 @@ def values_of(ids: np.ndarray, n_words: int) -> np.ndarray:
 
 def mine_voters(features: list[np.ndarray], toxic: np.ndarray, weights: np.ndarray, size: int, count: int = MINED, cover: int = 3) -> list[int]:
     """Of ``size`` features those that hold for toxic texts and hardly for others, each toxic text covered up to ``cover`` times."""
-    flat = np.concatenate(features) if features else np.zeros(0, np.int64)
-    label = np.repeat(toxic, [len(f) for f in features])
-    weight = np.repeat(weights, [len(f) for f in features])
-    positive = np.bincount(flat[label], minlength=size)
-    clean_mass = np.bincount(flat[~label], weight[~label], minlength=size)
-    toxic_mass = np.bincount(flat[label], weight[label], minlength=size)
+    positive, toxic_mass, clean_mass = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+    for f, is_toxic, weight in zip(features, toxic, weights):  # a text holds a feature once
+        if is_toxic:
+            positive[f] += 1
+            toxic_mass[f] += weight
+        else:
+            clean_mass[f] += weight
     fit = np.flatnonzero((positive >= 4) & (toxic_mass >= 0.8 * (toxic_mass + clean_mass + 1)))
     at = np.full(size, -1, np.int32)
     at[fit] = np.arange(len(fit))
@@ -240,48 +244,59 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
           alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 0.02) -> ToxicityModel:
     """A model from the labelled rows; which rows to learn from is the caller's choice (filter ``labels``)."""
     bounded_batches(docs.sparkSession)
-    known = labels.filter(F.col(quoted(label_col)).isin(0, 1)).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).alias("y"))
-    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.filter(F.col(quoted(label_col)).isin(0, 1)).select(
+        F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("y")
+    ).distinct()
+    # rows to learn from are different (id, text, label); whatever repeats counts once
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    texts = texts.withColumn("h", F.xxhash64(F.lit(23), "id", "text"))
+    keys = materialize(texts.select("id", "h").distinct().join(known, "id").select("y", "h").distinct(), "labelled")
+    totals = {r["y"]: r["n"] for r in keys.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     nothing = np.zeros(0, np.int64), np.zeros(0)
     if not n_toxic or not n_clean:
         return ToxicityModel(*nothing, 40.0 if n_toxic else -40.0, 1.0)
-    draw = F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("y") == 1, min(1.0, max_toxic / n_toxic)).otherwise(min(1.0, max_clean / n_clean))
-    sample = known.filter(draw < share).limit(2 * (max_toxic + max_clean))
+    sample = smallest_hashes(keys, "y", totals, {0: max_clean, 1: max_toxic})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(word_features)
+        memo, seen = WordMemo(word_features), set()
         for batch in batches:
-            rows, sizes = [], []
-            for texts in sliced(batch.column(1)):
-                for slots in memo.slots(texts):
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = pa.array([i for i, k in enumerate(names) if not (k in seen or seen.add(k))], pa.int64())
+            batch, rows, sizes = batch.take(new), [], []
+            for part in sliced(batch.column(2)):
+                for slots in memo.slots(part):
                     rows.append(_present(slots, memo.held, len(slots)).astype(np.int32))
                     sizes.append(len(slots))
-            hits = [_hits(t or "") for t in batch.column(1).to_pylist()]
+            hits = [_hits(t or "") for t in batch.column(2).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), pa.array(hits, pa.int32()), pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int32()))],
-                names=["y", "hits", "n_words", "features"],
+                [batch.column(0), batch.column(1), pa.array(hits, pa.int32()), pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int32()))],
+                names=["y", "h", "hits", "n_words", "features"],
             )
 
-    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(sample), "id").select(
-        F.col("y").cast("int"), "text"
-    ).mapInArrow(read, "y int, hits int, n_words int, features array<int>").toArrow()
+    found = texts.join(F.broadcast(sample), "h").select("y", "h", "text").mapInArrow(read, "y int, h long, hits int, n_words int, features array<int>")
+    rows = found.dropDuplicates(["y", "h"]).drop("h").toArrow()  # at most max_toxic + max_clean rows
     toxic = np.asarray(rows.column("y")) == 1
-    if not toxic.any() or toxic.all():
-        return ToxicityModel(*nothing, 40.0 if toxic.any() else -40.0, 1.0)
-    features = [np.asarray(f.values).astype(np.int64) for f in rows.column("features")]
-    order = sorted(range(len(features)), key=lambda i: xxhash.xxh64_intdigest(features[i].tobytes(), seed))
-    features, toxic = [features[i] for i in order], toxic[order]
+    # views of the table's memory, not copies
+    features = [np.asarray(f.values) for f in rows.column("features")]
+    order = sorted(range(len(features)), key=lambda i: (xxhash.xxh64_intdigest(features[i].tobytes(), seed), toxic[i]))
+    toxic, features = toxic[order], [features[i] for i in order]
     hits, n_words = (np.asarray(rows.column(c))[order] for c in ("hits", "n_words"))
     weights = np.where(toxic, n_toxic / toxic.sum(), n_clean / (~toxic).sum())
     weights = weights / weights.mean()
 
     # From here on features are numbered by their place among those that occur in the sample.
-    known_ids, places = np.unique(np.concatenate([*features, np.array([FEATURES], np.int64)]), return_inverse=True)
-    values = [values_of(f, n) for f, n in zip(features, n_words)]
-    features = np.split(places[:-1], np.cumsum([len(f) for f in features])[:-1])
-    voters = mine_voters(features, toxic, weights, len(known_ids))
+    known_ids = np.zeros(0, np.int32)
+    for start in range(0, len(features), 256):
+        known_ids = np.union1d(known_ids, np.concatenate(features[start: start + 256]))
+    odd, bias = known_ids & 1, len(known_ids)
+    features = [np.searchsorted(known_ids, f).astype(np.int32) for f in features]
+    del rows
+
+    def example(i: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.append(features[i], bias), np.append(values_of(odd[features[i]], n_words[i]), BIAS)
+
+    voters = mine_voters(features, toxic, weights, bias)
     votes = np.zeros((len(features), STATIC + len(voters) + 3), bool)
     votes[:, :STATIC] = hits[:, None] >> np.arange(STATIC) & 1
     for i, f in enumerate(features):
@@ -290,23 +305,19 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     target = fit_label_model(votes, weights).posterior(votes)
 
     kept_apart = len(features) // 5
-    bias = len(known_ids) - 1
     model = Ftrl(bias + 1, 2, alpha, beta, l1, l2)
-    used = [np.append(f, bias) for f in features]
-    values = [np.append(v, BIAS) for v in values]
     for _ in range(epochs):
         for i in range(kept_apart, len(features)):
-            model.learn(used[i], values[i], np.array([1 - target[i], target[i]]), weights[i])
+            model.learn(*example(i), np.array([1 - target[i], target[i]]), weights[i])
     every = model.weights()
     every = every[:, 1] - every[:, 0]
-    logits = np.array([every[used[i]] @ values[i] for i in range(kept_apart)])
+    logits = np.array([every[at] @ x for at, x in map(example, range(kept_apart))])
     soft = target[:kept_apart]
     heat = temperature(
         np.stack([np.zeros(kept_apart), logits], axis=1), np.stack([1 - soft, soft], axis=1), weights[:kept_apart]
     )
-    at = np.flatnonzero(every)
-    at = at[at != bias]
-    return ToxicityModel(known_ids[at], every[at], float(BIAS * every[bias]), heat)
+    at = np.flatnonzero(every[:bias])
+    return ToxicityModel(known_ids[at].astype(np.int64), every[at], float(BIAS * every[bias]), heat)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

@@ -147,3 +147,48 @@ def test_label_model_finds_accuracies_and_correlated_voters():
     assert ((soft > 0.5) == truth).mean() > 0.93
     ratio = {g[0]: t[1, 1] / t[1, 0] for g, t in zip(model.groups, model.tables) if len(g) == 1}
     assert 2 in ratio and 1 < ratio[2] < 5
+
+
+def test_more_languages_than_any_list_of_them(spark):
+    texts = [(f"l{i:03}", f"{chr(0x4E00 + 7 * i)}{chr(0x4E01 + 7 * i)} " * 5 + f"common w{k}") for i in range(510) for k in range(2)]
+    df = spark.createDataFrame([*texts, (None, "nobody"), ("l000", None)], "lang string, text string")
+    model = language.train(df, per_language=2, epochs=2)
+    assert len(model.languages) == 510
+    found = language.identify(df.filter("lang in ('l000', 'l255', 'l509')"), model)
+    assert all(r.lang_pred == r.lang or r.text is None for r in found.collect())
+
+
+def test_language_sample_takes_different_texts(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(100 + i))
+    rows = [("aa", f"alpha beta {word(i)}") for i in range(40)] + [("aa", "copied text")] * 3000 + [("bb", f"gamma {word(i)}") for i in range(5)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    languages, langs, grams = language._sample(df, 30, 60)
+    assert languages == ["aa", "bb"] and (langs.count(0), langs.count(1)) == (30, 5) and len(grams) == 35
+    shapes = {(g[0].tobytes(), g[1].tobytes()) for g in grams}
+    assert len(shapes) == 35  # no text twice
+    again = language._sample(df.repartition(5), 30, 60)
+    assert {(g[0].tobytes(), g[1].tobytes()) for g in again[2]} == shapes
+
+
+def test_toxicity_sample_is_bounded_and_exact(spark, monkeypatch):
+    rows = [(1, f"you idiot scum {i % 40}") for i in range(3000)] + [(i, f"a calm text number {i}") for i in range(2, 400)] + [(2, "you moron trash"), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), *[(i, 0) for i in range(3, 400)], (9999, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    seen = []
+    mine = toxicity.mine_voters
+    monkeypatch.setattr(toxicity, "mine_voters", lambda features, toxic, *a, **k: (seen.append((int(toxic.sum()), int((~toxic).sum()))), mine(features, toxic, *a, **k))[1])
+    toxicity.train(df, known, max_toxic=25, max_clean=100)
+    toxicity.train(df, known)
+    assert seen == [(25, 100), (42, 399)]  # 40 + 2 different toxic texts, copies once; 398 calm ones and the second text of id 2
+
+
+def test_sample_of_hashes_is_the_smallest(spark):
+    from kinweave.llm.sampling import drawn_at, smallest_hashes
+
+    keys = spark.range(5000).selectExpr("CAST(id % 3 AS int) AS c", "xxhash64(id % 900) AS h")
+    got = {(r.c, r.h) for r in smallest_hashes(keys, "c", {0: 300, 1: 300, 2: 300}, {0: 20, 1: 1, 2: 1000}).collect()}
+    want = set()
+    for c, n in ((0, 20), (1, 1), (2, 1000)):
+        rows = keys.filter(f"c = {c}").select("c", "h", drawn_at(F.col("h")).alias("at")).distinct().orderBy("at").limit(n).collect()
+        want |= {(r.c, r.h) for r in rows}
+    assert got == want and len(want) == 321
