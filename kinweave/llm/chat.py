@@ -1,8 +1,8 @@
 """Chat formatting with typed content parts, built from DataFrame operations only.
 
 A turn is a list of parts ``struct<kind, text, ref, tokens>``. The visitor maps
-each part to text: a text part is escaped, any other part becomes the ordered
-placeholder ``<|kind:k|>`` (k counts the attachments of the conversation from
+each part to text: adjacent text parts are joined and escaped as one, any other
+part becomes the ordered placeholder ``<|kind:k|>`` (k counts the attachments of the conversation from
 0), and its reference and token count are recorded. A formatted conversation is
 the concatenation of ``<|turn|>role\\ncontent<|end|>``; the text parts of
 assistant turns are under the loss mask.
@@ -60,9 +60,19 @@ def _visit(parts: Column, first: Column) -> tuple[Column, Column]:
             F.coalesce(p["ref"], F.lit("")).alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"),
         ),
     )
+    text_of = lambda p: F.coalesce(p["text"], F.lit(""))
+
+    def run(i: Column) -> Column:
+        """The text of the adjacent text parts from place ``i`` on: a control string may lie across their borders."""
+        rest = F.slice(parts, i + 1, F.size(parts))
+        stop = F.array_position(F.transform(rest, is_text), F.lit(False)).cast("int")
+        kept = F.when(stop > 0, F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
+        return F.when(F.size(parts) == 1, text_of(F.get(parts, F.lit(0)))).otherwise(F.array_join(F.transform(kept, text_of), ""))
+
+    begins = lambda i: (i == 0) | ~F.coalesce(is_text(F.get(parts, i - 1)), F.lit(False))
     piece = F.transform(
         parts,
-        lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
+        lambda p, i: F.when(is_text(p) & begins(i), escape(run(i))).when(is_text(p), "").otherwise(
             F.concat(
                 F.lit("<|"), F.url_encode(F.coalesce(p["kind"], F.lit(""))), F.lit(":"),
                 (first + F.size(F.filter(F.slice(parts, 1, i), lambda q: ~is_text(q)))).cast("string"), F.lit("|>"),
