@@ -16,10 +16,12 @@ item with fewer words is one window) are phrase queries against the corpus:
    (document row, term) there, so neither a frequent passage nor a long
    document gathers in one task.
 
-Terms of the benchmark are broadcast; more than ``MAX_TERMS`` of them, or of
-windows, stop the build with an error that says so, as such a benchmark has to
-be checked in parts. Postings meet the windows with a broadcast up to
-``BROADCAST_WINDOWS`` windows and with a shuffle beyond.
+Windows are taken in blocks of about ``BLOCK_WINDOWS`` by their hash, so that is
+what bounds the terms that are broadcast; one block is the usual case, and with
+more of them the texts are stored once and the hits are united. Postings meet
+the windows with a broadcast up to ``BROADCAST_WINDOWS`` windows and with a
+shuffle beyond. As postings are stored for documents that can match, an index
+serves the items that it was built for; others need a new pass.
 
 Defined results: null and empty texts have no words and no hits; items without
 words have no window; repeated documents are separate rows, each with its own
@@ -30,17 +32,18 @@ no hits; a column with the name of a result is replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import bounded_batches, lower_ascii, quoted, whole_row, with_results
 from kinweave.session import materialize
 
-MAX_TERMS = 4_000_000
+BLOCK_WINDOWS = 400_000
 BROADCAST_WINDOWS = 200_000
 # Upper-case letters to lower case, other ASCII but letters and digits to a space.
 _FOLD = bytes(
@@ -112,24 +115,51 @@ def build_index(docs: DataFrame, terms: list[str], needed: list[list[int]], text
 
     ``needed`` lists groups of terms, of which a document must hold one whole group to have postings.
     """
-    bounded_batches(docs.sparkSession)
-    width = max(map(len, needed), default=1)
-    groups = np.array([g + g[:1] * (width - len(g)) for g in needed], np.int32).reshape(-1, width)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, groups))
+    return _index(_numbered(docs, text_col), terms, needed)
+
+
+def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(doc_row, row, text)``: rows with a number, their other columns as a struct, and their text."""
+    kept = [c for c in docs.columns if c != text_col]
+    row = whole_row(docs.select(*[quoted(c) for c in kept])) if kept else F.lit(None)
+    return docs.select(F.monotonically_increasing_id().alias("doc_row"), row.alias("row"), F.col(quoted(text_col)).cast("binary").alias("text"))
+
+
+class Groups:
+    """Groups of terms by their first, rarest one: only groups whose rarest term a document holds are looked at."""
+
+    def __init__(self, needed: list[list[int]], n_terms: int) -> None:
+        width = max(map(len, needed), default=1)
+        groups = np.array(sorted(g + g[:1] * (width - len(g)) for g in needed), np.int32).reshape(-1, width)
+        self.groups, self.starts = groups, np.searchsorted(groups[:, 0], np.arange(n_terms + 1))
+        self.present = np.zeros(n_terms, bool)
+
+    def held(self, terms: np.ndarray) -> bool:
+        """Whether a text with these terms holds all of some group."""
+        terms = np.unique(terms)
+        first, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        at = np.arange(size.sum()) + np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) if len(terms) else np.zeros(0, np.int64)
+        self.present[terms] = True
+        found = bool(self.present[self.groups[at]].all(axis=1).any())
+        self.present[terms] = False
+        return found
+
+
+def _index(rows: DataFrame, terms: list[str], needed: list[list[int]]) -> DataFrame:
+    """:func:`build_index` of numbered rows."""
+    bounded_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast((terms, needed))
 
     @F.arrow_udf("struct<n_words:long,postings:array<struct<term:int,positions:array<int>>>>")
     def positions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        terms, groups = shared.value
-        postings, present = Postings(terms), np.zeros(len(terms) + 1, bool)
+        terms, needed = shared.value
+        postings, groups = Postings(terms), Groups(needed, len(terms))
         for texts in batches:
             n_words, per_doc, kept_terms, per_list, kept_at = [], [0], [], [0], []
             for text in _texts(texts):
                 n, term, at = postings.read(text)
                 n_words.append(n)
-                present[term] = True
-                holds = present[groups].all(axis=1).any()
-                present[term] = False
-                if holds:
+                if groups.held(term):
                     order = np.argsort(term, kind="stable")
                     term, at = term[order], at[order]
                     first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
@@ -144,11 +174,7 @@ def build_index(docs: DataFrame, terms: list[str], needed: list[list[int]], text
                 [pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(per_doc, pa.int32()), pairs)], ["n_words", "postings"]
             )
 
-    kept = [c for c in docs.columns if c != text_col]
-    indexed = docs.select(
-        F.monotonically_increasing_id().alias("doc_row"), whole_row(docs.select(*[quoted(c) for c in kept])).alias("row") if kept else F.lit(None).alias("row"),
-        positions(F.col(quoted(text_col)).cast("binary")).alias("p"),
-    )
+    indexed = rows.select("doc_row", "row", positions("text").alias("p"))
     return materialize(indexed.select("doc_row", "row", "p.n_words", "p.postings"), "postings")
 
 
@@ -207,14 +233,13 @@ def find_proximity(index: DataFrame, windows: DataFrame, distance: int) -> DataF
 
 def ranked_windows(items: DataFrame, docs: DataFrame, width: int, text_col: str, item_id: str, item_text: str) -> tuple[DataFrame, list[str], list[list[int]]]:
     """The items' windows with their words from the rarest on, all item terms, and the three rarest terms of each window."""
+    return _ranked(materialize(item_windows(items, width, item_id, item_text), "windows"), docs, text_col)
+
+
+def _ranked(windows: DataFrame, docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str], list[list[int]]]:
+    """:func:`ranked_windows` of a block of windows, whose number bounds what comes to the driver."""
     spark = docs.sparkSession
-    windows = materialize(item_windows(items, width, item_id, item_text), "windows")
-    rows = windows.select(F.explode("words").alias("w")).distinct().limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"the benchmark has over {MAX_TERMS} different words; check it in parts")
-    if windows.count() > MAX_TERMS:
-        raise ValueError(f"the benchmark has over {MAX_TERMS} windows; check it in parts")
-    terms = sorted(r[0] for r in rows)
+    terms = sorted(r[0] for r in windows.select(F.explode("words").alias("w")).distinct().collect())
     counts = corpus_counts(docs, terms, text_col) if terms else np.zeros(0, np.int64)
     known = spark.createDataFrame(
         [(t, i, int(c)) for i, (t, c) in enumerate(zip(terms, counts))], "word string, term int, n long"
@@ -230,29 +255,36 @@ def ranked_windows(items: DataFrame, docs: DataFrame, width: int, text_col: str,
     return ranked, terms, needed
 
 
+def merged_spans(hits: DataFrame) -> DataFrame:
+    """``(doc_row, spans)``: the ranges ``(doc_row, first, last)`` of each document, merged where they meet and sorted."""
+    of_doc = Window.partitionBy("doc_row").orderBy("first", "last")
+    reached = F.max("last").over(of_doc.rowsBetween(Window.unboundedPreceding, -1))
+    apart = hits.withColumn("opens", F.coalesce(F.col("first") > reached, F.lit(True)).cast("int"))
+    numbered = apart.withColumn("span", F.sum("opens").over(of_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = numbered.groupBy("doc_row", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return spans.groupBy("doc_row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, width: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """The columns of ``docs`` but the text, with ``n_words``, ``n_hit``, ``item_ids`` (sorted strings), ``spans``
     (merged hit word ranges) and ``contaminated``."""
-    windows, terms, needed = ranked_windows(items, docs, width, text_col, item_id, item_text)
-    index = build_index(docs, terms, needed, text_col)
-    spans_of = lambda hits: F.aggregate(
-        F.array_sort(hits), F.lit(None).cast("array<struct<first:int,last:int>>"),
-        lambda done, h: F.when(done.isNull(), F.array(h)).when(
-            F.element_at(done, -1)["last"] >= h["first"],
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], h["last"]).alias("last"))),
-            ),
-        ).otherwise(F.concat(done, F.array(h))),
-    )
-    hits = find_phrases(index, windows)
-    span = F.struct(F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last"))
-    per_doc = hits.groupBy("doc_row").agg(F.collect_set(span).alias("hits"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    found = index.select("doc_row", "row", "n_words").join(
-        per_doc.select("doc_row", spans_of(F.col("hits")).alias("spans"), F.array_sort("items").alias("items")), "doc_row", "left"
-    )
+    windows = materialize(item_windows(items, width, item_id, item_text), "windows")
+    blocks = max(1, math.ceil(windows.count() / BLOCK_WINDOWS))
+    rows = _numbered(docs, text_col)
+    if blocks > 1:
+        rows = materialize(rows, "texts")  # every block has to number them alike
+    index = hits = None
+    for number in range(blocks):
+        mine = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == number)
+        ranked, terms, needed = _ranked(mine, rows, "text")
+        of_block = _index(rows, terms, needed)
+        found = materialize(find_phrases(of_block, ranked), "hits")
+        index, hits = of_block if index is None else index, found if hits is None else hits.unionByName(found)
+    ranges = hits.select("doc_row", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last")).distinct()
+    items_of = hits.groupBy("doc_row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    found = index.select("doc_row", "row", "n_words").join(merged_spans(ranges).join(items_of, "doc_row"), "doc_row", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["last"] - s["first"]))
     kept = [c for c in docs.columns if c != text_col]

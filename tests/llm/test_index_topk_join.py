@@ -53,6 +53,30 @@ def test_contamination_against_brute_force(spark, docs):
         assert all(sum(s["last"] - s["first"] for s in r.spans) == r.n_hit for r in out)
 
 
+def test_contamination_in_blocks_of_windows(spark, docs, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choices([f"w{k}" for k in range(12)], k=rng.choice([2, 5, 12])))) for i in range(20)]
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(14)], k=60))) for i in range(30)] + [(99, None)]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    read = lambda: sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids, r.spans) for r in D.contamination(docs(rows), asked, 4).collect())
+    one = read()
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", 20)
+    assert read() == one and [(i, *c) for i, c in ((i, _contaminated(t, items, 4)) for i, t in rows)] == [r[:4] for r in one]
+
+
+def test_groups_are_found_by_their_rarest_term():
+    groups = D.Groups([[3, 1, 2], [5], [3, 4]], 7)
+    held = lambda *t: groups.held(np.array(t, np.int32))
+    assert held(1, 2, 3) and held(5) and held(3, 4, 0) and not held(3, 1) and not held(1, 2, 4) and not held(6) and not held()
+    assert not D.Groups([], 3).held(np.array([1], np.int32)) and not D.Groups([], 0).held(np.zeros(0, np.int32))
+
+
+def test_merged_spans(spark):
+    hits = spark.createDataFrame([(1, 0, 4), (1, 2, 3), (1, 4, 6), (1, 8, 9), (2, 5, 7)] + [(3, i, i + 2) for i in range(5000)], "doc_row long, first int, last int")
+    got = {r.doc_row: [tuple(x) for x in r.spans] for r in D.merged_spans(hits).collect()}
+    assert got == {1: [(0, 6), (8, 9)], 2: [(5, 7)], 3: [(0, 5001)]}
+
+
 def test_contamination_of_empty_tables(spark, docs):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert D.contamination(docs([]), items).count() == 0
@@ -212,3 +236,13 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, **{i: 100 for i in range(200, 260)}}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_candidates_do_not_depend_on_rounds(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, [rng.randrange(-(2**63), 2**63) if rng.random() < 0.5 else rng.randrange(40) * 2**40 - 2**45 for _ in range(rng.randrange(9))]) for i in range(300)]
+    sets = spark.createDataFrame(rows, "fp long, keys array<long>")
+    one = {(r.u, r.v) for r in S._candidate_edges(sets).collect()}
+    monkeypatch.setattr(S, "ROUND_KEYS", 100)
+    monkeypatch.setattr(S, "KEY_BLOCK", 7)
+    assert {(r.u, r.v) for r in S._candidate_edges(sets).collect()} == one and len(one) > 100
