@@ -64,6 +64,9 @@ FANOUT = 8
 MAX_FILTER_WORDS = 1 << 21  # 16 MB of Bloom filter bits
 BROADCAST_ROWS = 2_000_000
 ORDER_SLOTS = 1 << 20
+ROUNDS = 8
+ROUND_KEYS = 1 << 23  # with fewer keys there is one round
+KEY_BLOCK = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +87,7 @@ def shingle_set(text: bytes | None, n: int, memo: _WordHashes) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(memo) > 80_000:
+    if len(memo) > 40_000:
         memo.clear()
     h = np.array(list(map(memo.__getitem__, words)), np.uint64)
     size = min(n, len(h))
@@ -320,8 +323,33 @@ def _within(members: DataFrame, keys: list[str], t: int) -> DataFrame:
     return members.select(*columns).groupBy(*keys).applyInArrow(join, EDGE)
 
 
+def _flagged(level: Level, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter holds each key; some keys at a time, as a test makes several arrays of their length."""
+    parts = [level.contains(keys[i: i + KEY_BLOCK], keys[i: i + KEY_BLOCK]) for i in range(0, len(keys), KEY_BLOCK)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 def _candidate_edges(sets: DataFrame) -> DataFrame:
-    """``(u, v)``: each class with the smallest class of every part that it shares."""
+    """``(u, v)``: each class with the smallest class of every part that it shares.
+
+    Keys go through in up to ``ROUNDS`` rounds by their hash. A round's edges are
+    stored and its shuffle files are let go before the next one begins, so no
+    more than its share of the keys is on disk beside the stored sets.
+    """
+    spark = sets.sparkSession
+    total = sets.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    rounds = int(min(ROUNDS, 1 + total // ROUND_KEYS))
+    edges = None
+    for number in range(rounds):
+        mine = F.col("keys") if rounds == 1 else F.filter("keys", lambda k: F.pmod(F.shiftrightunsigned(k, 7), F.lit(rounds)) == number)
+        found = materialize(_round_edges(sets.select(mine.alias("keys"), "fp")), "candidates")
+        edges = found if edges is None else edges.unionByName(found)
+        if rounds > 1:
+            spark._jvm.System.gc()  # shuffle files go when nothing on the driver refers to them any more
+    return edges.distinct()
+
+
+def _round_edges(sets: DataFrame) -> DataFrame:
     exploded = sets.select(F.explode("keys").alias("key"), "fp")
     heads = materialize(
         exploded.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).filter("head <> last").select("key", "head"), "parts"
@@ -331,13 +359,16 @@ def _candidate_edges(sets: DataFrame) -> DataFrame:
     blank = Level(np.zeros(words, np.uint64), 4, 7)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(words, np.uint64)
         for batch in batches:
-            key = np.asarray(batch.column(0)).view(np.uint64)
-            at = blank.positions(key, key).ravel()
-            mine = np.zeros(words, np.uint64)
-            np.bitwise_or.at(mine, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-            used = np.flatnonzero(mine)
-            yield pa.record_batch([pa.array(used), pa.array(mine[used].view(np.int64))], names=["word", "bits"])
+            keys = np.asarray(batch.column(0)).view(np.uint64)
+            for i in range(0, len(keys), KEY_BLOCK):
+                at = blank.positions(keys[i: i + KEY_BLOCK], keys[i: i + KEY_BLOCK]).ravel()
+                np.bitwise_or.at(mine, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(mine)
+        for i in range(0, len(used), KEY_BLOCK):
+            at = used[i: i + KEY_BLOCK]
+            yield pa.record_batch([pa.array(at), pa.array(mine[at].view(np.int64))], names=["word", "bits"])
 
     found = heads.select("key").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     blank.words[np.asarray(found.column("word"))] = np.asarray(found.column("bits")).view(np.uint64)
@@ -350,7 +381,7 @@ def _candidate_edges(sets: DataFrame) -> DataFrame:
             offsets = np.asarray(lists.offsets)
             flat = np.asarray(lists.flatten())
             owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            hit = level.contains(flat.view(np.uint64), flat.view(np.uint64))
+            hit = _flagged(level, flat.view(np.uint64))
             yield pa.record_batch([pa.array(flat[hit]), pa.array(np.asarray(batch.column(1))[owner[hit]])], names=["key", "fp"])
 
     shared_parts = sets.filter(F.size("keys") > 0).select("keys", "fp").mapInArrow(kept, "key long, fp long")
@@ -363,7 +394,7 @@ def document_sets(docs: DataFrame, n: int, threshold: int, id_col: str, text_col
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, windows = _WordHashes(), Windows(threshold)
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 sets = [shingle_set(t.as_py(), n, memo) for t in batch.column(1).cast(pa.large_binary())]
                 keys, offsets = part_keys(sets, windows)
                 yield pa.record_batch(
@@ -386,7 +417,7 @@ def _members(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 sets = [shingle_set(t.as_py(), n, memo) for t in batch.column(2).cast(pa.large_binary())]
                 own = pa.array([bool(len(s)) and fingerprint(s) == fp for s, fp in zip(sets, batch.column(1).to_pylist())])
                 out = pa.record_batch([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["block", "fp", "shingles"])
