@@ -319,12 +319,13 @@ def decision_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as commits, every third a revert of a commit named after the document's first line."""
+    """Documents as commits, every third a revert of a commit named after the document's first line; the other lines are the message."""
     docs = table(spark, sf_dir, "documents")
-    first = F.substring_index(F.replace("text", lit("\x1f"), lit(" ")), "\n", 1)
+    text = F.replace("text", lit("\x1f"), lit(" "))
+    first = F.substring_index(text, "\n", 1)
     subject = F.when(col("doc_id") % 3 == 0, F.concat(lit('Revert "'), first, lit('"'))).otherwise(first)
     return docs.select(
-        F.concat(lit("\n"), F.sha1(col("doc_id").cast("string")), lit("\x1f"), subject, lit("\x1f"), lit("body text")).alias("value")
+        F.concat(lit("\n"), F.sha1(col("doc_id").cast("string")), lit("\x1f"), subject, lit("\x1f"), F.substring(text, F.length(first) + 2, F.length(text))).alias("value")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -88,20 +90,30 @@ def canonical_json(*, prefix: str = "") -> Column:
     return F.to_json(F.struct(*[F.col(prefix + key).alias(key) for key in WIRE_KEYS]))
 
 
+# How a record is written on one line; readers of rules and hooks
+# look for these signs.
+BULLET, REASON, SCOPE, SOURCE = "  • [{kind}] ", " — {because}", " [module: {dir}]", " → consult {ref}"
+TAIL = "  ({id}, {provenance})"
+
+
+def _filled(form: str, **values: Column) -> Column:
+    """``form`` with its names replaced by columns; null where one of them is null."""
+    parts = [p for p in re.split(r"(\{\w+\})", form) if p]
+    return F.concat(*[values[p[1:-1]] if p[0] == "{" else F.lit(p) for p in parts])
+
+
 def record_line(
     kind: Column, claim: Column, because: Column, ref: Column, anchor_dir: Column, record_id: Column, pv: Column
 ) -> Column:
     """One bullet per record. A source leads with the document to consult."""
-    why = F.coalesce(F.concat(F.lit(" — "), F.when(because != "", because)), F.lit(""))
-    module = F.coalesce(F.concat(F.lit(" [module: "), anchor_dir, F.lit("]")), F.lit(""))
-    consult = F.coalesce(
-        F.when((kind == "source") & (ref != ""), F.concat(F.lit(" → consult "), ref)), F.lit("")
-    )
+    none = F.lit("")
+    consult = F.when((kind == "source") & (ref != ""), _filled(SOURCE, ref=ref))
+    reason = F.when(because != "", _filled(REASON, because=because))
     return F.concat(
-        F.lit("  • ["), kind, F.lit("] "), claim, consult, why, module,
-        F.lit("  ("), record_id, F.lit(", "), pv, F.lit(")"),
+        _filled(BULLET, kind=kind), claim, F.coalesce(consult, none), F.coalesce(reason, none), F.coalesce(_filled(SCOPE, dir=anchor_dir), none),
+        _filled(TAIL, id=record_id, provenance=pv),
     )
 
 
 def overflow_line(hidden: Column) -> Column:
-    return F.concat(F.lit("  … "), hidden.cast("string"), F.lit(" more record(s) not shown — query them if relevant."))
+    return F.concat(F.lit("  … "), hidden.cast("string"), F.lit(" more apply here; search by subject to see them"))

@@ -115,6 +115,19 @@ def undocumented_symbols(s, d):
     return search.undocumented_symbols(a.knowledge_graph(s, d))
 
 
+@query
+def unwarned_symbols(s, d):
+    """Symbols that no trap is recorded for: the search over records of one kind."""
+    graph = a.knowledge_graph(s, d)
+    traps = graph.records.filter("kind = 'gotcha'").select(col("id").alias("src"))
+    return search.undocumented_symbols(graph.with_tables(about=graph.about.join(traps, "src", "left_semi")))
+
+
+@query
+def indexed_graph(s, d):
+    return stats.stale_graph(a.knowledge_graph(s, d), a.log_records(s, d))
+
+
 @query
 def graph_stats(s, d):
     return stats.graph_stats(a.knowledge_graph(s, d))
@@ -292,8 +305,8 @@ def rules_by_file(s, d):
 
 @query
 def rule_documents(s, d):
-    documents = lookup.rule_documents(a.knowledge_graph(s, d)).filter("id = ''")
-    return documents.select("rule_file", "priority", F.size(F.split("line", "\n")).alias("n_lines"))
+    documents = lookup.rule_documents(a.knowledge_graph(s, d))
+    return documents.select("rule_file", "priority", "id", F.sha2(col("line").cast("binary"), 256).alias("line_sha256"))
 
 
 @query

@@ -62,6 +62,11 @@ SELECT id, trim(regexp_replace(regexp_replace(fqn, '[._]+', ' ', 'g'), ' ?([A-Z]
 oracle("undocumented_symbols", """
 SELECT id, fqn, symbol_type, file_path FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM about WHERE dst = s.id)""")
 
+oracle("unwarned_symbols", """
+SELECT id, fqn, symbol_type, file_path FROM symbols s
+WHERE NOT EXISTS (SELECT 1 FROM about JOIN records r ON r.id = src WHERE dst = s.id AND kind = 'gotcha')""")
+oracle("indexed_graph", "SELECT count(*) AS on_disk, (SELECT count(*) FROM records) AS indexed, false AS stale FROM log")
+
 _COUNTS = """counts AS (
   SELECT 'symbols' AS metric, count(*) AS value FROM symbols UNION ALL SELECT 'files', count(*) FROM all_files
   UNION ALL SELECT 'records', count(*) FROM records UNION ALL SELECT 'live_records', count(*) FROM live_ids
@@ -221,7 +226,7 @@ _BULLET = """'  • [' || kind || '] ' || claim || CASE WHEN kind = 'source' THE
 oracle("context_lines", f"""
 SELECT file, position, {_BULLET.format(module="CASE WHEN scope > 0 THEN ' [module: ' || anchor || ']' ELSE '' END")} AS line
 FROM ranked WHERE position <= 12
-UNION ALL SELECT DISTINCT file, 13, '  … ' || (total - 12) || ' more record(s) not shown — query them if relevant.'
+UNION ALL SELECT DISTINCT file, 13, '  … ' || (total - 12) || ' more apply here; search by subject to see them'
 FROM ranked WHERE total > 12""", _CONTEXT)
 _SLUG = "regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 oracle("rules_by_file", f"""
@@ -229,8 +234,14 @@ SELECT anchor AS file, is_dir, 'kinweave-' || {_SLUG.format('anchor')} || '.mdc'
        {_BULLET.format(module="''")} AS line
 FROM anchored JOIN records ON id = src JOIN priorities USING (kind)""")
 oracle("rule_documents", f"""
-SELECT 'kinweave-' || {_SLUG.format('anchor')} || '.mdc' AS rule_file, priority, n_lines
-FROM (SELECT DISTINCT anchor FROM anchored) t, (VALUES (-1, 8), (1000, 4)) v(priority, n_lines)""")
+SELECT rule_file, priority, id, sha256(line) AS line_sha256 FROM (
+  SELECT 'kinweave-' || {_SLUG.format('anchor')} || '.mdc' AS rule_file, priority, id, {_BULLET.format(module="''")} AS line
+  FROM anchored JOIN records ON id = src JOIN priorities USING (kind)
+  UNION ALL SELECT 'kinweave-' || {_SLUG.format('anchor')} || '.mdc', v.priority, '', CASE WHEN v.priority < 0
+    THEN concat_ws(chr(10), '---', 'description: Knowledge records for ' || anchor, 'globs: ' || anchor || CASE WHEN is_dir THEN '/**' ELSE '' END,
+                   'alwaysApply: false', '---', '', '# Known about ' || CASE WHEN is_dir THEN 'module ' ELSE '' END || anchor, '')
+    ELSE concat_ws(chr(10), '', 'Where an edit contradicts one of these, raise the conflict first; record new decisions when done.', '', '<!-- kinweave-managed-rule -->') END
+  FROM (SELECT DISTINCT anchor, is_dir FROM anchored) t, (VALUES (-1), (1000)) v(priority)) lines""")
 oracle("rules_stale", f"""
 SELECT DISTINCT rule_file FROM (SELECT 'kinweave-' || {_SLUG.format("regexp_replace(path, '/[^/]*$', '')")} || '.mdc' AS rule_file, path FROM listing) t
 WHERE path NOT LIKE 'tests/%' AND rule_file NOT IN (

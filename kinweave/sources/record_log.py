@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from kinweave.functions.records import RECORD_KINDS, canonical_json, parse_ts, v
 from kinweave.functions.text import is_blank, strip
 from kinweave.session import materialize
 
+# What the name of a folder of merged appends ends with; it sorts behind the last of them.
+MERGED = "-merged"
 _TEXT_KEYS = ("id", "kn", "cl", "bc", "gv", "wn", "tn", "rf", "pv", "ts", "ss")
 
 
@@ -18,19 +23,28 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A split knows its position in its file, and rows keep their order inside a
     split, so a line number is the number of lines in earlier splits plus the
-    position within the split. Only one row per split goes through a window.
-    Appends are read in their order (:func:`append_log` numbers their folders).
+    position within the split. Splits are summed up per file, and one row per file
+    goes through the window over all of them. Appends are read in their order
+    (:func:`append_log` numbers their folders); what :func:`compact_log` has merged
+    is read in place of the appends it holds.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(
+    return _numbered(spark, _segments(spark, path))
+
+
+def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """:func:`read_log_lines` of the given files and folders."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
     )
     blocks = rows.groupBy("file", "block").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
-    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "file", "block", "first_seq", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    offsets = blocks.withColumn("within", F.coalesce(F.sum("n").over(in_file), F.lit(0))).join(files, "file").select(
+        "file", "block", "first_seq", (F.col("within") + F.col("start")).alias("offset")
     )
     return rows.join(offsets, ["file", "block"]).select(
         (F.col("seq") - F.col("first_seq") + F.col("offset") + 1).alias("line"), "value"
@@ -155,6 +169,29 @@ def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, invalid.unionByName(reused)
 
 
+def _folders(spark: SparkSession, path: str) -> tuple[object, list[tuple[str, int]]]:
+    """The store of a log, and names and times of change of its numbered folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.listStatus(folder) if store.exists(folder) else []
+    return store, sorted((x.getPath().getName(), x.getModificationTime()) for x in found if x.getPath().getName().startswith("seq="))
+
+
+def _number(name: str) -> int:
+    return int(name.removeprefix("seq=").removesuffix(MERGED))
+
+
+def _segments(spark: SparkSession, path: str, up_to: int | None = None) -> list[str]:
+    """What to read of a log (``up_to`` an append): the last merged folder and the appends after it; the path itself
+    where nothing was merged."""
+    names = [n for n, _ in _folders(spark, path)[1] if up_to is None or _number(n) <= up_to]
+    merged = [n for n in names if n.endswith(MERGED)]
+    if not merged:
+        return [path] if up_to is None else [f"{path}/{n}" for n in names]
+    last = max(merged, key=_number)
+    return [f"{path}/{last}", *[f"{path}/{n}" for n in names if not n.endswith(MERGED) and _number(n) > _number(last)]]
+
+
 def append_log(records: DataFrame, path: str) -> None:
     """Append canonical lines; whole lines only, nothing for an empty input.
 
@@ -167,16 +204,48 @@ def append_log(records: DataFrame, path: str) -> None:
     ), "append")
     if lines.isEmpty():
         return
-    spark = records.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in store.listStatus(folder)] if store.exists(folder) else []
-    taken = [int(n.partition("=")[2]) for n in names if n.startswith("seq=")]
+    taken = [_number(n) for n, _ in _folders(records.sparkSession, path)[1]]
     lines.repartitionByRange("line").sortWithinPartitions("line").select("value").write.mode("error").text(
         f"{path}/seq={max(taken, default=0) + 1:012d}"
     )
 
 
+def compact_log(spark: SparkSession, path: str) -> int:
+    """Merge all appends so far into one segment, lines in their order; returns how many were merged.
+
+    The segment is written aside and moved into place at once, next to what it
+    holds: a reader that has begun keeps its files, a later one reads the segment
+    instead, and appends that come meanwhile stay behind it. Line numbers and the
+    first record of an id remain what they were.
+    """
+    store, found = _folders(spark, path)
+    parts = [n for n, _ in found if not n.endswith(MERGED)]
+    done = max((_number(n) for n, _ in found if n.endswith(MERGED)), default=0)
+    fresh = [n for n in parts if _number(n) > done]
+    if not fresh:
+        return 0
+    last = max(map(_number, fresh))
+    aside = f"{path}/_merge-{uuid.uuid4().hex}"
+    _numbered(spark, _segments(spark, path, last)).repartitionByRange("line").sortWithinPartitions("line").select("value").write.text(aside)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/seq={last:012d}{MERGED}")
+    if not store.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), target):
+        raise FileExistsError(str(target))
+    return len(fresh)
+
+
+def drop_merged(spark: SparkSession, path: str, older_than: float = 86_400) -> list[str]:
+    """Delete the folders that a merged segment holds, once it is ``older_than`` seconds old and nobody reads them any more."""
+    store, found = _folders(spark, path)
+    merged = [(n, t) for n, t in found if n.endswith(MERGED) and t <= (time.time() - older_than) * 1000]
+    if not merged:
+        return []
+    last = max((n for n, _ in merged), key=_number)
+    held = [n for n, _ in found if n != last and _number(n) <= _number(last)]
+    for name in held:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    return held
+
+
 def live_records(records: DataFrame) -> DataFrame:
     """Records no other record supersedes. Cycles and self-references kill their members."""
     superseded = records.filter(F.col("ss").isNotNull() & (F.col("ss") != "")).select(F.col("ss").alias("id"))

@@ -2,7 +2,7 @@
 
 import os
 
-from kinweave.sources import files
+from kinweave.sources import files, record_log
 
 
 def _tree(root, *paths):
@@ -43,3 +43,31 @@ def test_watch_roots(spark):
     assert roots(".", "src/deep") == ["docs", "lib", "src"]
     assert roots(".", "node_modules/x") == ["docs", "lib", "node_modules/x", "src"]
     assert roots() == []
+
+
+def test_merged_appends_are_read_as_the_appends_were(spark, tmp_path):
+    path = str(tmp_path / "log")
+    wire = record_log.schema.WIRE_RECORD
+
+    def append(*ids, claim="c"):
+        rows = spark.createDataFrame([(i, k, "decision", claim, "u", "20260617143022") for i, k in enumerate(ids)], "line long, id string, kn string, cl string, pv string, ts string")
+        record_log.append_log(record_log.schema.conform(rows, wire), path)
+
+    lines = lambda: [(r.line, r.value) for r in record_log.read_log_lines(spark, path).orderBy("line").collect()]
+    append("a1b2c3", "b1b2c3")
+    append("a1b2c3", claim="later")
+    append("c1b2c3")
+    before = lines()
+    reader = record_log.read_log_lines(spark, path)  # its files are listed already
+    assert [n for n, _ in before] == [1, 2, 3, 4]
+    assert record_log.compact_log(spark, path) == 3 and lines() == before
+    append("d1b2c3")
+    assert [n for n, _ in lines()] == [1, 2, 3, 4, 5] and lines()[:4] == before
+    records, errors = record_log.parse_log(record_log.read_log_lines(spark, path))
+    assert {r.id: r.cl for r in records.collect()}["a1b2c3"] == "c" and [r.line for r in errors.collect()] == [3]
+    assert record_log.compact_log(spark, path) == 1 and record_log.compact_log(spark, path) == 0
+    assert reader.count() == 4 and record_log.drop_merged(spark, path) == []
+    assert len(record_log.drop_merged(spark, path, older_than=-10)) == 5
+    assert [n for n, _ in lines()] == [1, 2, 3, 4, 5] and lines()[:4] == before
+    append("e1b2c3")
+    assert len(lines()) == 6
