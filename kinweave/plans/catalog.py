@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from kinweave import adapters as a
 from kinweave.extract import knowledge, php, python, typescript
 from kinweave.extract.sql import sql_symbols
 from kinweave.functions import paths, records as rec, text
-from kinweave.operators import drift, lookup, pattern, resolve, search, stats, traverse
+from kinweave.operators import drift, lookup, name_index, pattern, resolve, search, stats, traverse
 from kinweave.operators.records import index_records, index_stats, record_nodes
 from kinweave.plans import index as ix
 from kinweave.plans import records as plan_records
@@ -99,6 +100,15 @@ def search_symbols(s, d):
     return search.search_symbols(a.code_graph(s, d), "ring", 20)
 
 
+@query
+def search_symbols_indexed(s, d):
+    graph = a.code_graph(s, d)
+    index = name_index.build_name_index(graph.symbols)
+    asked = [("ring", None), ("c1", "class"), (".", None), ("STEEL", "method"), ("xyzzy", None)]
+    parts = [name_index.score_symbols(graph, index, q, kind).withColumn("query", lit(q)) for q, kind in asked]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def score_symbols(s, d):
     return search.score_symbols(a.code_graph(s, d), "C1", "class")

@@ -54,6 +54,10 @@ oracle("enclosing_scopes", "SELECT id, 0 AS n, file_path || '::C' || c AS scope
 oracle("search_symbols", """
 SELECT id, fqn, file_path, symbol_type, CASE WHEN fqn = 'ring' THEN 100 ELSE 50 END AS score
 FROM symbols WHERE contains(lower(fqn), 'ring') ORDER BY score DESC, id LIMIT 20""")
+oracle("search_symbols_indexed", """
+SELECT id, fqn, file_path, symbol_type, CASE WHEN fqn = query THEN 100 ELSE 50 END AS score, query
+FROM symbols, (VALUES ('ring', NULL), ('c1', 'class'), ('.', NULL), ('STEEL', 'method'), ('xyzzy', NULL)) v(query, kind)
+WHERE contains(lower(fqn), lower(query)) AND symbol_type = coalesce(kind, symbol_type)""")
 oracle("score_symbols", """
 SELECT id, fqn, file_path, symbol_type, CASE WHEN fqn = 'C1' THEN 100 ELSE 50 END AS score
 FROM symbols WHERE symbol_type = 'class' AND contains(lower(fqn), 'c1')""")
