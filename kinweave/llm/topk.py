@@ -10,9 +10,10 @@ is a lower bound of the squared distance, and as the squared distance is
 are taken from coarse to fine; a pair is dropped as soon as its bound is below
 the query's k-th best score so far, and survivors get the exact integer score.
 
-Queries go through the candidates in blocks of about ``block`` (their size
-bounds what is broadcast, whatever the number of queries). Every task keeps k
-rows per query, and only those are shuffled.
+Queries go through the candidates in blocks of about ``block``, one after the
+other: a block's results are stored and its broadcast is destroyed before the
+next one is read, so the driver and the executors hold one block, whatever the
+number of queries. Every task keeps k rows per query, and only those are shuffled.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without an id; a query and a candidate of
@@ -145,8 +146,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = 8
             for b in by_size.values():
                 yield pa.record_batch([pa.array(b.ids[b.at]), pa.array(b.found), pa.array(b.scores)], names=["query_id", "vec_id", "score"])
 
-        return candidates.mapInArrow(scan, "query_id long, vec_id long, score long")
+        ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = candidates.mapInArrow(scan, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(ranked))
+        done = materialize(found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+        shared.destroy()  # before the next block comes to the driver
+        return done
 
-    found = reduce(DataFrame.unionAll, [best(n) for n in range(blocks)])
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionAll, [best(n) for n in range(blocks)])

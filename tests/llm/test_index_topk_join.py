@@ -106,6 +106,25 @@ def _top(vectors, k):
     return sorted(out)
 
 
+def test_one_block_of_queries_is_held_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [int(x) for x in rng.integers(-50, 50, 8)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    live, most, make = set(), [], type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        shared = make(self, value)
+        live.add(id(shared))
+        most.append(len(live))
+        drop = shared.destroy
+        shared.destroy = lambda *a, **k: (live.discard(id(shared)), drop(*a, **k))
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert topk.top_k(df, df, k=3, block=20).count() == 600
+    assert len(most) == 10 and max(most) == 1 and not live
+
+
 @pytest.mark.parametrize("size,high", [(7, 1000), (64, 300), (1, 3), (33, 2**30)])
 def test_top_k_against_brute_force(spark, size, high):
     rng = np.random.default_rng(size)
