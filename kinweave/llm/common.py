@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,18 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "4m")
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system.
+
+    Workers are reused by later tasks and stages; what their allocators keep
+    would be held beside the executor's own memory for as long as they live.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded_batches, held_out, quoted, whole_row, with_results
+from kinweave.llm.common import bounded_batches, give_back, held_out, quoted, whole_row, with_results
 from kinweave.llm.linear import Ftrl, WordMemo, sliced, softmax, temperature
 from kinweave.llm.sampling import smallest_hashes
 
@@ -135,6 +135,8 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
                         flags[at] = False
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["feature", "n"])
+        del memo
+        give_back()
 
     # one row per feature at most reaches the driver
     rows = texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
@@ -168,6 +170,8 @@ def _sample(training: DataFrame, per_language: int, in_all: int) -> tuple[list[s
             lang = pa.array([names[keys[i][0]] for i in new], pa.int32())
             h = pa.array([keys[i][1] for i in new], pa.int64())
             yield pa.record_batch([lang, h, pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=["lang", "h", "ids", "ns"])
+        del memo
+        give_back()
 
     read = training.join(F.broadcast(sample), ["lang", "h"]).select("lang", "h", "text").mapInArrow(packed, "lang int, h long, ids array<int>, ns array<int>")
     rows = read.dropDuplicates(["lang", "h"]).select("lang", "ids", "ns").toArrow()  # at most ``size`` rows a language
@@ -227,6 +231,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                 names += of_slice[0]
                 scores += of_slice[1].tolist()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        del memo
+        give_back()
 
     rows = docs.select(whole_row(docs).alias("row"), predict(F.col(quoted(text_col))).alias("p"))
     return rows.select(*with_results("row", docs.columns, lang_pred=F.col("p.lang_pred"), score=F.col("p.score")))

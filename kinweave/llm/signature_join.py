@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded_batches, quoted
+from kinweave.llm.common import bounded_batches, give_back, quoted
 from kinweave.llm.components import connected_components
 from kinweave.llm.url_filter import Level
 from kinweave.session import materialize
@@ -383,6 +383,7 @@ def _round_edges(sets: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
             hit = _flagged(level, flat.view(np.uint64))
             yield pa.record_batch([pa.array(flat[hit]), pa.array(np.asarray(batch.column(1))[owner[hit]])], names=["key", "fp"])
+        give_back()
 
     shared_parts = sets.filter(F.size("keys") > 0).select("keys", "fp").mapInArrow(kept, "key long, fp long")
     return shared_parts.join(heads, "key").filter("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")).distinct()
@@ -405,6 +406,8 @@ def document_sets(docs: DataFrame, n: int, threshold: int, id_col: str, text_col
                     ],
                     names=["id", "n_shingles", "fp", "keys"],
                 )
+        memo.clear()
+        give_back()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("binary").alias("text"))
@@ -422,6 +425,8 @@ def _members(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
                 own = pa.array([bool(len(s)) and fingerprint(s) == fp for s, fp in zip(sets, batch.column(1).to_pylist())])
                 out = pa.record_batch([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["block", "fp", "shingles"])
                 yield out.filter(own)
+        memo.clear()
+        give_back()
 
     small = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(quoted(id_col)).cast("long").alias("of"), F.col(quoted(text_col)).cast("binary").alias("text"))
@@ -473,6 +478,7 @@ def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
             blocks = np.asarray(batch.column(0)).view(np.uint64)
             keys = [_mix(prefix(s, order, t) ^ _mix(blocks[i: i + 1])).view(np.int64) for i, s in enumerate(_sets(batch.column(2)))]
             yield pa.record_batch([batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "keys"])
+        give_back()
 
     rare = materialize(chained.mapInArrow(first, "fp long, keys array<long>"), "rare")
     finer = connected_components(_candidate_edges(rare)).select(F.col("node").alias("fp"), F.col("component").alias("block"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded_batches, held_out, quoted, whole_row, with_results
+from kinweave.llm.common import bounded_batches, give_back, held_out, quoted, whole_row, with_results
 from kinweave.llm.linear import Ftrl, WordMemo, lower_words, sliced, softmax, temperature
 from kinweave.llm.sampling import smallest_hashes
 from kinweave.session import materialize
@@ -273,6 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
                 [batch.column(0), batch.column(1), pa.array(hits, pa.int32()), pa.array(sizes, pa.int32()), pa.array(rows, pa.list_(pa.int32()))],
                 names=["y", "h", "hits", "n_words", "features"],
             )
+        del memo
+        give_back()
 
     found = texts.join(F.broadcast(sample), "h").select("y", "h", "text").mapInArrow(read, "y int, h long, hits int, n_words int, features array<int>")
     rows = found.dropDuplicates(["y", "h"]).drop("h").toArrow()  # at most max_toxic + max_clean rows
@@ -331,6 +333,8 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
         memo = model.memo()
         for texts in batches:
             yield pa.array([model.score(s, memo) for words in sliced(texts) for s in memo.slots(words)], pa.float64())
+        del memo
+        give_back()
 
     rows = docs.select(whole_row(docs).alias("row"), scores(F.col(quoted(text_col))).alias("s"))
     return rows.select(*with_results("row", docs.columns, score=F.col("s"), predicted=(F.col("s") >= THRESHOLD).cast("int")))
