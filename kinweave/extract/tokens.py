@@ -81,7 +81,8 @@ def tokenize(files: DataFrame, scan: Callable[..., list[Token]], flag: Column |
 
     others = [c for c in files.columns if c not in ("file_path", "text")]
     dealt, tasks = spread(files)
-    tokens = read(F.col("text"), F.lit(False) if flag is None else flag)
+    # Called deterministic, the scan would also run before the files are dealt: Spark would put a test for tokens there.
+    tokens = read.asNondeterministic()(F.col("text"), F.lit(False) if flag is None else flag)
     # Spark does not know what a Python function keeps of the placement, so it is made again where windows can use it.
     scanned = dealt.select("file_path", *others, tokens.alias("tokens")).repartition(tasks, "file_path")
     return scanned.select("file_path", *others, F.posexplode("tokens").alias("pos", "t")).select(

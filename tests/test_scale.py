@@ -31,6 +31,13 @@ def test_files_are_dealt_by_the_amount_of_text(spark, monkeypatch):
     assert dealt.count() == 50
 
 
+def test_texts_are_scanned_once_and_behind_the_deal(spark):
+    files = spark.createDataFrame([("a.ts", "f(1)")], "file_path string, text string")
+    plan = _plan(tokens.tokenize(files, typescript.typescript_tokens))
+    assert plan.count("ArrowEvalPython [") == 1
+    assert "Exchange" in plan[plan.index("ArrowEvalPython"):]
+
+
 def test_token_rows_are_not_shuffled(spark):
     files = spark.createDataFrame([("a.ts", "f(1)"), ("b.ts", None)], "file_path string, text string")
     rows = tokens.tokenize(files, typescript.typescript_tokens)
