@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import bounded_batches, give_back, quoted
 from kinweave.llm.components import connected_components
 from kinweave.llm.url_filter import Level
-from kinweave.session import materialize
+from kinweave.session import discard, materialize
 
 BITS = 4096
 FANOUT = 8
@@ -333,7 +333,7 @@ def _candidate_edges(sets: DataFrame) -> DataFrame:
     """``(u, v)``: each class with the smallest class of every part that it shares.
 
     Keys go through in up to ``ROUNDS`` rounds by their hash. A round's edges are
-    stored and its shuffle files are let go before the next one begins, so no
+    stored and its other files are let go before the next one begins, so no
     more than its share of the keys is on disk beside the stored sets.
     """
     spark = sets.sparkSession
@@ -342,14 +342,15 @@ def _candidate_edges(sets: DataFrame) -> DataFrame:
     edges = None
     for number in range(rounds):
         mine = F.col("keys") if rounds == 1 else F.filter("keys", lambda k: F.pmod(F.shiftrightunsigned(k, 7), F.lit(rounds)) == number)
-        found = materialize(_round_edges(sets.select(mine.alias("keys"), "fp")), "candidates")
+        heads, found = _round_edges(sets.select(mine.alias("keys"), "fp"))
+        found = materialize(found, "candidates")
         edges = found if edges is None else edges.unionByName(found)
-        if rounds > 1:
-            spark._jvm.System.gc()  # shuffle files go when nothing on the driver refers to them any more
+        discard(spark, heads)
     return edges.distinct()
 
 
-def _round_edges(sets: DataFrame) -> DataFrame:
+def _round_edges(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored table of shared keys, and the edges, which read it."""
     exploded = sets.select(F.explode("keys").alias("key"), "fp")
     heads = materialize(
         exploded.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).filter("head <> last").select("key", "head"), "parts"
@@ -386,7 +387,7 @@ def _round_edges(sets: DataFrame) -> DataFrame:
         give_back()
 
     shared_parts = sets.filter(F.size("keys") > 0).select("keys", "fp").mapInArrow(kept, "key long, fp long")
-    return shared_parts.join(heads, "key").filter("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")).distinct()
+    return heads, shared_parts.join(heads, "key").filter("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")).distinct()
 
 
 def document_sets(docs: DataFrame, n: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
@@ -451,7 +452,8 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
 
 
 def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
-    """``members`` with blocks of more than ``leaf`` members replaced by the blocks of their rare shingles."""
+    """``members`` with blocks of more than ``leaf`` members replaced by the blocks of their rare shingles; the table
+    of ``members`` goes if it is replaced."""
     large = _large(members, leaf)
     if not large.limit(1).count():
         return members
@@ -482,8 +484,11 @@ def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
 
     rare = materialize(chained.mapInArrow(first, "fp long, keys array<long>"), "rare")
     finer = connected_components(_candidate_edges(rare)).select(F.col("node").alias("fp"), F.col("component").alias("block"))
+    discard(members.sparkSession, rare)
     kept = members.join(large.select("block"), "block", "left_anti").select("block", "fp", "shingles")
-    return materialize(kept.unionByName(chained.drop("block").join(finer, "fp").select("block", "fp", "shingles")), "members")
+    split = materialize(kept.unionByName(chained.drop("block").join(finer, "fp").select("block", "fp", "shingles")), "members")
+    discard(members.sparkSession, members)
+    return split
 
 
 def _bucket(key: str, count: str, leaf: int, salt: int) -> F.Column:
@@ -491,25 +496,32 @@ def _bucket(key: str, count: str, leaf: int, salt: int) -> F.Column:
 
 
 def _block_links(members: DataFrame, t: int, leaf: int) -> DataFrame:
-    """``(fp, root)`` for all members; ``root`` is the same for the members of a component."""
+    """``(fp, root)`` for all members; ``root`` is the same for the members of a component. The table of ``members`` goes."""
+    spark = members.sparkSession
     members = _split(members, t, leaf)
     large_blocks = _large(members, leaf)
     n_large = large_blocks.count()
     if not n_large:
-        return materialize(_within(members, ["block"], t), "links")
+        links = materialize(_within(members, ["block"], t), "links")
+        discard(spark, members)
+        return links
     cut = materialize(
         members.join(large_blocks, "block", "left").withColumn("leaf", F.when(F.col("m").isNotNull(), _bucket("fp", "m", leaf, 1)).otherwise(0)), "leaves"
     )
+    discard(spark, members)
     first = materialize(_within(cut, ["block", "leaf"], t), "links")
+    discard(spark)
     large = cut.filter(F.col("m").isNotNull()).dropDuplicates(["fp"])
     heads = large.drop("m", "leaf").join(first.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi")
     counts = heads.groupBy("block").agg(F.count("*").alias("h"))
     second = materialize(_within(heads.join(counts, "block").withColumn("chunk", _bucket("fp", "h", leaf, 2)), ["block", "chunk"], t), "links")
+    discard(spark)
     edges = first.unionByName(second)
     labels = connected_components(edges.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")))
     known = materialize(
         large.join(labels, large.fp == labels.node, "left").select("block", "leaf", "m", "fp", "shingles", F.coalesce("component", "fp").alias("label")), "labelled"
     )
+    discard(spark, cut)
     main = known.groupBy("block", "label").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     others = known.join(main, "block").filter("label <> main")
     n_others = others.groupBy("block").agg(F.count("*").alias("o"))
@@ -521,6 +533,7 @@ def _block_links(members: DataFrame, t: int, leaf: int) -> DataFrame:
         .select("block", F.explode(chunks).alias("chunk"), "leaf", "fp", "shingles", "label", F.lit(1).alias("side"))
     )
     third = materialize(_within(meeting, ["block", "chunk", "leaf"], t), "links")
+    discard(spark, known, others)
     edges = edges.unionByName(third).filter("fp <> root")
     joined = connected_components(edges.select(F.col("fp").alias("u"), F.col("root").alias("v")))
     return joined.select(F.col("node").alias("fp"), F.col("component").alias("root"))
@@ -533,13 +546,15 @@ def jaccard_components(
     if not 50 <= threshold <= 100:
         raise ValueError("threshold is a percentage from 50 to 100")
     sets = document_sets(docs, n, threshold, id_col, text_col)
+    documents = materialize(sets.drop("keys"), "documents")
     classes = materialize(
-        sets.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes"
+        documents.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes"
     )
     blocks = connected_components(_candidate_edges(sets))
     wanted = materialize(
         blocks.join(classes, blocks.node == classes.fp).select(F.col("component").alias("block"), "fp", "id"), "wanted"
     )
+    discard(docs.sparkSession, sets)  # the keys took most of it
     links = _block_links(_members(docs, wanted, n, id_col, text_col), threshold, leaf)
     linked = links.select("fp", "root").distinct().join(wanted.select("fp", "id"), "fp")
     smallest = linked.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("k")).filter("k > 1")
@@ -548,6 +563,6 @@ def jaccard_components(
         classes.join(moved, "fp", "left").filter(F.col("component_id").isNotNull() | (F.col("copies") > 1))
         .select("fp", F.coalesce("component_id", "id").alias("component_id"), F.lit(True).alias("grouped")), "components"
     )
-    return sets.select("id", "n_shingles", "fp").join(known, "fp", "left").select(
+    return documents.join(known, "fp", "left").select(
         "id", "n_shingles", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
     )

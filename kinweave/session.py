@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ DEFAULTS = {
 }
 
 _local_scratch: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def get_session(app_name: str = "kinweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -77,4 +79,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _written[stored] = path
+    return stored
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more; other tables are left alone.
+
+    Spark deletes shuffle files when nothing on the driver refers to them any
+    more, so those of finished work go as well.
+    """
+    for path in [_written.pop(t) for t in tables if t in _written]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from kinweave.llm import decontamination as D
 from kinweave.llm import signature_join as S
 from kinweave.llm import topk
 from kinweave.llm.components import connected_components
+from kinweave.session import scratch_dir
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -265,3 +267,15 @@ def test_candidates_do_not_depend_on_rounds(spark, monkeypatch):
     monkeypatch.setattr(S, "ROUND_KEYS", 100)
     monkeypatch.setattr(S, "KEY_BLOCK", 7)
     assert {(r.u, r.v) for r in S._candidate_edges(sets).collect()} == one and len(one) > 100
+
+
+def test_join_leaves_no_table_of_shingles_or_keys(spark, docs):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(_edited(rng, base, rng.choice([0, 1, 2, 3, 6])))) for i in range(40)]
+    folder = Path(scratch_dir(spark))
+    before = set(folder.glob("*")) if folder.exists() else set()
+    got = S.jaccard_components(docs(rows), 3, 80, leaf=5)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert "components" in left and not left & {"sets", "parts", "rare", "members", "leaves", "labelled", "others"}
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == _components(rows, 3, 80)
