@@ -26,7 +26,10 @@ document's component of links.
    first (counted in ``ORDER_SLOTS`` slots; any common order is right), and of
    two sets that link the first ``size - ceil(threshold * size) + 1`` shingles
    have one in common. A passage of many documents comes last in that order.
-   Members that share none of these shingles link with nothing and go.
+   Members that share none of these shingles link with nothing and go. A block
+   that is chained again is replaced by one block for each smallest holder of a
+   shared shingle, with all holders of its shingles; members may be in several
+   of these, whose sizes do not grow with the length of chains.
 5. A block that still has more than ``leaf`` members is cut into leaves of about that size:
    leaves are joined in themselves, then their components' heads among each
    other, and at last the members outside the block's largest component meet
@@ -66,6 +69,7 @@ BROADCAST_ROWS = 2_000_000
 ORDER_SLOTS = 1 << 20
 ROUNDS = 8
 ROUND_KEYS = 1 << 23  # with fewer keys there is one round
+ROUND_BYTES = 1 << 28  # of shingles that are shuffled at a time
 KEY_BLOCK = 1 << 16
 
 
@@ -323,6 +327,20 @@ def _within(members: DataFrame, keys: list[str], t: int) -> DataFrame:
     return members.select(*columns).groupBy(*keys).applyInArrow(join, EDGE)
 
 
+def _links_within(members: DataFrame, keys: list[str], t: int) -> DataFrame:
+    """The stored links of :func:`_within`, in up to ``ROUNDS`` rounds of whole groups, so that no more than a round's
+    share of the shingles is shuffled beside the stored ``members``."""
+    size = members.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    rounds = int(min(ROUNDS, 1 + size // ROUND_BYTES))
+    links = None
+    for number in range(rounds):
+        mine = members if rounds == 1 else members.filter(F.pmod(F.xxhash64(F.lit(rounds), *keys), F.lit(rounds)) == number)
+        found = materialize(_within(mine, keys, t), "links")
+        discard(members.sparkSession)
+        links = found if links is None else links.unionByName(found)
+    return links
+
+
 def _flagged(level: Level, keys: np.ndarray) -> np.ndarray:
     """Whether the filter holds each key; some keys at a time, as a test makes several arrays of their length."""
     parts = [level.contains(keys[i: i + KEY_BLOCK], keys[i: i + KEY_BLOCK]) for i in range(0, len(keys), KEY_BLOCK)]
@@ -451,9 +469,25 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
     return shingles[order[: size - -(-t * size // 100) + 1]]
 
 
+def _unchained(edges: DataFrame, leaf: int) -> DataFrame:
+    """``(fp, block)``: the components of ``edges``, long ones in blocks that may share members.
+
+    An edge leads from a holder of a key to the smallest holder. A component of
+    more than ``leaf`` members is replaced by the holders around each smallest
+    one: any two holders of a key are together in the block of its smallest.
+    """
+    parts = materialize(connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("block")), "finer")
+    long = materialize(parts.groupBy("block").agg(F.count("*").alias("m")).filter(F.col("m") > leaf).select("block"), "long")
+    if not long.limit(1).count():
+        return parts
+    chained = edges.join(parts.join(long, "block", "left_semi").select(F.col("fp").alias("u")), "u", "left_semi")
+    around = chained.select(F.explode(F.array("u", "v")).alias("fp"), F.col("v").alias("block")).distinct()
+    return parts.join(long, "block", "left_anti").select("fp", "block").unionByName(around)
+
+
 def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
-    """``members`` with blocks of more than ``leaf`` members replaced by the blocks of their rare shingles; the table
-    of ``members`` goes if it is replaced."""
+    """``members`` with blocks of more than ``leaf`` members replaced by the blocks of their rare shingles, several for
+    some members; the table of ``members`` goes if it is replaced."""
     large = _large(members, leaf)
     if not large.limit(1).count():
         return members
@@ -483,8 +517,9 @@ def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
         give_back()
 
     rare = materialize(chained.mapInArrow(first, "fp long, keys array<long>"), "rare")
-    finer = connected_components(_candidate_edges(rare)).select(F.col("node").alias("fp"), F.col("component").alias("block"))
+    edges = materialize(_candidate_edges(rare), "edges")
     discard(members.sparkSession, rare)
+    finer = _unchained(edges, leaf)
     kept = members.join(large.select("block"), "block", "left_anti").select("block", "fp", "shingles")
     split = materialize(kept.unionByName(chained.drop("block").join(finer, "fp").select("block", "fp", "shingles")), "members")
     discard(members.sparkSession, members)
@@ -498,30 +533,25 @@ def _bucket(key: str, count: str, leaf: int, salt: int) -> F.Column:
 def _block_links(members: DataFrame, t: int, leaf: int) -> DataFrame:
     """``(fp, root)`` for all members; ``root`` is the same for the members of a component. The table of ``members`` goes."""
     spark = members.sparkSession
-    members = _split(members, t, leaf)
+    whole, members = members, _split(members, t, leaf)
     large_blocks = _large(members, leaf)
     n_large = large_blocks.count()
     if not n_large:
-        links = materialize(_within(members, ["block"], t), "links")
+        links = _links_within(members, ["block"], t)
         discard(spark, members)
-        return links
-    cut = materialize(
-        members.join(large_blocks, "block", "left").withColumn("leaf", F.when(F.col("m").isNotNull(), _bucket("fp", "m", leaf, 1)).otherwise(0)), "leaves"
-    )
-    discard(spark, members)
-    first = materialize(_within(cut, ["block", "leaf"], t), "links")
-    discard(spark)
-    large = cut.filter(F.col("m").isNotNull()).dropDuplicates(["fp"])
+        return links if members is whole else _joined(links)
+    cut = members.join(large_blocks, "block", "left").withColumn("leaf", F.when(F.col("m").isNotNull(), _bucket("fp", "m", leaf, 1)).otherwise(0))
+    first = _links_within(cut, ["block", "leaf"], t)
+    large = cut.filter(F.col("m").isNotNull()).dropDuplicates(["block", "fp"])
     heads = large.drop("m", "leaf").join(first.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi")
     counts = heads.groupBy("block").agg(F.count("*").alias("h"))
-    second = materialize(_within(heads.join(counts, "block").withColumn("chunk", _bucket("fp", "h", leaf, 2)), ["block", "chunk"], t), "links")
-    discard(spark)
+    second = _links_within(heads.join(counts, "block").withColumn("chunk", _bucket("fp", "h", leaf, 2)), ["block", "chunk"], t)
     edges = first.unionByName(second)
     labels = connected_components(edges.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")))
     known = materialize(
         large.join(labels, large.fp == labels.node, "left").select("block", "leaf", "m", "fp", "shingles", F.coalesce("component", "fp").alias("label")), "labelled"
     )
-    discard(spark, cut)
+    discard(spark, members)
     main = known.groupBy("block", "label").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     others = known.join(main, "block").filter("label <> main")
     n_others = others.groupBy("block").agg(F.count("*").alias("o"))
@@ -532,10 +562,14 @@ def _block_links(members: DataFrame, t: int, leaf: int) -> DataFrame:
         known.join(others.select("block", "o").distinct(), "block")
         .select("block", F.explode(chunks).alias("chunk"), "leaf", "fp", "shingles", "label", F.lit(1).alias("side"))
     )
-    third = materialize(_within(meeting, ["block", "chunk", "leaf"], t), "links")
+    third = _links_within(meeting, ["block", "chunk", "leaf"], t)
     discard(spark, known, others)
-    edges = edges.unionByName(third).filter("fp <> root")
-    joined = connected_components(edges.select(F.col("fp").alias("u"), F.col("root").alias("v")))
+    return _joined(edges.unionByName(third))
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """``(fp, root)`` of the members that links of ``(fp, root)`` put into one component."""
+    joined = connected_components(edges.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")))
     return joined.select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 

@@ -219,6 +219,23 @@ def test_blocks_chained_by_a_passage_are_split_and_keep_every_link(spark, docs):
     assert got == _components(rows, 5, 80)
 
 
+def test_long_chains_of_shared_passages_end_in_small_blocks(spark, docs):
+    rng = random.Random(10)
+    passage = [[f"g{g}w{i}" for i in range(30)] for g in range(121)]
+    rows = [(g, " ".join(passage[g] + passage[g + 1])) for g in range(120)]
+    rows += [(200 + g, " ".join(_edited(rng, passage[g] + passage[g + 1], 1))) for g in range(0, 120, 10)]
+    sets = [S.shingle_set(t.encode(), 3, S._WordHashes()) for _, t in rows]
+    members = spark.createDataFrame([(7, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "block long, fp long, shingles binary")
+    blocks = defaultdict(set)
+    for r in S._split(members, 80, 8).collect():
+        blocks[r.block].add(r.fp)
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if S._linked(sets[i], sets[j], 80)]
+    assert len(linked) >= 10 and all(any({i, j} <= held for held in blocks.values()) for i, j in linked)
+    assert max(map(len, blocks.values())) <= 8
+    got = sorted(((r.id, r.n_shingles, r.component_id) for r in S.jaccard_components(docs(rows), 3, 80, leaf=8).collect()), key=str)
+    assert got == _components(rows, 3, 80)
+
+
 def test_part_keys_meet_for_every_pair_that_may_link():
     rng = np.random.default_rng(7)
     for t in (60, 80, 90):
