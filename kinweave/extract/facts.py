@@ -64,8 +64,14 @@ def unbalanced(outside: Column | None = None) -> Column:
     return fact("error", (F.col("n1") == "") & (after != (F.lit(0) if outside is None else outside)), F.lit("braces are not balanced"), F.lit(""))
 
 
+def facts_here(*facts: Column) -> Column:
+    """The facts that hold at a token."""
+    return F.array_compact(F.array(*facts))
+
+
 def collect_facts(rows: DataFrame, *facts: Column) -> DataFrame:
-    found = F.explode(F.array_compact(F.array(*facts)))
+    """Rows of facts: those found ``here`` before, and ``facts``."""
+    found = F.explode(F.concat("here", facts_here(*facts)))
     return rows.select("file_path", F.col("pos").cast("bigint").alias("pos"), found.alias("f")).select(
         "file_path", "pos", "f.*"
     )

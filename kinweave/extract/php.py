@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.extract.facts import Extraction, assemble, collect_facts, fact, unbalanced
+from kinweave.extract.facts import Extraction, assemble, collect_facts, fact, facts_here, unbalanced
 from kinweave.extract.lexer import php_tokens
-from kinweave.extract.tokens import carry, is_ident, neighbours, since, tokenize, up_to
+from kinweave.extract.tokens import carry, is_ident, neighbours, outline, since, tokenize, up_to
 
 EXTENSIONS = (".php",)
 
@@ -37,21 +37,59 @@ def _scan(files: DataFrame) -> DataFrame:
     files = files.select(
         "file_path", "text", F.col("text").rlike(_BRACED_NAMESPACE).cast("int").alias("base")
     )
-    rows = neighbours(tokenize(files, php_tokens), back=range(1, 2), ahead=range(1, 3))
-    rows = rows.withColumns({"depth": _col("depth") - _col("base"), "word": F.lower("tok"), "outside": -_col("base")}).drop("base", "newline")
+    rows = neighbours(tokenize(files, php_tokens), back=range(1, 4), ahead=range(1, 6))
+    rows = rows.withColumns({"depth": _col("depth") - _col("base"), "word": F.lower("tok")})
     tok, word, p1, n1, n2 = _col("tok"), _col("word"), _col("p1"), _col("n1"), _col("n2")
+
+    # What a token and its neighbours tell.
     attribute = F.startswith(tok, F.lit("#["))
     opener = is_ident("tok") | attribute
+    top = (_col("depth") == 0) & (_col("parens") == 0)
+    in_braces = (_col("depth") == 1) & (_col("parens") == 0)
+    shape = F.when(word == "enum", n2.isin("{", ":", "implements")).otherwise(True)
+    named = is_ident("n1") | ((n1 == "&") & is_ident("n2"))
+    variable = F.startswith(tok, F.lit("$"))
+    type_name = F.when(
+        variable & is_ident("p1") & ~F.lower(p1).isin(*_MEMBER_MODIFIERS) & ~_col("p2").isin("|", "&"), _simple("p1")
+    )
+    scope = is_ident("tok") & (n1 == "::") & is_ident("n2") & (_col("n3") == "(") & ~p1.isin("->", "?->", "::")
+    this = (tok == "$this") & (n1 == "->") & is_ident("n2")
+    created = (word == "new") & is_ident("n1") & ~F.lower("n1").isin("class", "static")
+    here = facts_here(
+        unbalanced(-_col("base")),
+        fact("call", created, _simple("n1"), F.lit("new")),
+        fact("call", scope & (word == "parent"), n2, F.lit("super")),
+        fact("call", scope & (word == "self"), n2, F.lit("own")),
+        fact("call", scope & ~word.isin("parent", "self", "static"), n2, F.lit("static"), _simple("tok")),
+        fact("call", this & (_col("n3") == "("), n2, F.lit("own")),
+        fact(
+            "call", this & (_col("n3") == "->") & is_ident("n4") & (_col("n5") == "("), _col("n4"), F.lit("prop"), n2
+        ),
+    )
+    rows = rows.select(
+        "file_path", "pos", "tok", "word", "line", "end_line", "depth", here.alias("here"), outline().alias("outline"),
+        top.alias("top"),
+        (top & opener & p1.isin("", ";", "}", "{")).alias("starts"),
+        (top & ~word.isin(*_MODIFIERS) & ~attribute).alias("heads"),
+        (top & word.isin(*_KINDS) & named & shape).alias("heading"),
+        F.when(named & word.isin(*_KINDS), F.when(n1 == "&", n2).otherwise(n1)).alias("name"),
+        in_braces.alias("in_braces"),
+        (in_braces & opener & p1.isin("{", ";", "}")).alias("opens"),
+        (in_braces & ~word.isin(*_MEMBER_MODIFIERS) & ~attribute).alias("leading"),
+        (in_braces & (word == "function") & named).alias("function"),
+        (in_braces & variable).alias("variable"),
+        type_name.alias("type_name"),
+        (p1 == ",").alias("listed"),
+        (
+            (_col("depth") == 1) & (_col("parens") >= 1) & variable & type_name.isNotNull()
+            & (F.lower("p2").isin(*_ACCESS) | ((_col("p2") == "?") & F.lower("p3").isin(*_ACCESS)))
+        ).alias("promotes"),
+        (top & is_ident("tok") & (F.lower(p1) == "extends")).alias("extended"),
+        (in_braces & is_ident("tok") & ((F.lower(p1) == "use") | (p1 == ","))).alias("used"),
+    ).filter(_col("outline") | (F.size("here") > 0)).drop("outline")
 
     # Top-level statements.
-    rows = rows.withColumn("top", (_col("depth") == 0) & (_col("parens") == 0))
-    rows = rows.withColumn("starts", _col("top") & opener & p1.isin("", ";", "}", "{"))
-    rows = rows.withColumns(
-        {
-            "stmt": F.sum(_col("starts").cast("int")).over(up_to()),
-            "leads": since(_col("starts"), _col("top") & ~word.isin(*_MODIFIERS) & ~attribute) == 0,
-        }
-    )
+    rows = rows.withColumns({"stmt": F.sum(_col("starts").cast("int")).over(up_to()), "leads": since(_col("starts"), _col("heads")) == 0})
     # A declaration ends with the brace that closes its body.
     rows = rows.withColumn(
         "stmt_end",
@@ -59,13 +97,9 @@ def _scan(files: DataFrame) -> DataFrame:
             Window.partitionBy("file_path", "stmt")
         ),
     ).withColumn("first", carry(_col("starts"), F.struct("stmt", "line")))
-    shape = F.when(word == "enum", n2.isin("{", ":", "implements")).otherwise(True)
-    named = is_ident("n1") | ((n1 == "&") & is_ident("n2"))
-    declares = _col("top") & _col("leads") & word.isin(*_KINDS) & named & shape
-    name = F.when(n1 == "&", n2).otherwise(n1)
     kind = F.coalesce(*[F.when(word == k, v) for k, v in _KINDS.items()])
-    rows = rows.withColumn("declares", declares).withColumn(
-        "decl", carry(_col("declares"), F.struct(_col("stmt").alias("stmt"), word.alias("word"), name.alias("name")))
+    rows = rows.withColumn("declares", _col("heading") & _col("leads")).withColumn(
+        "decl", carry(_col("declares"), F.struct(_col("stmt").alias("stmt"), word.alias("word"), _col("name").alias("name")))
     )
     within = F.coalesce(_col("decl.stmt") == _col("stmt"), F.lit(False))
     rows = rows.withColumn("in_body", within & _col("decl.word").isin("class", "trait", "interface")).withColumn(
@@ -73,73 +107,46 @@ def _scan(files: DataFrame) -> DataFrame:
     )
 
     # Members.
-    rows = rows.withColumn("member", _col("in_body") & (_col("depth") == 1) & (_col("parens") == 0))
-    rows = rows.withColumn("begins", _col("member") & opener & p1.isin("{", ";", "}"))
+    rows = rows.withColumn("begins", _col("in_body") & _col("opens"))
     rows = rows.withColumns(
         {
             "member_id": F.sum(_col("begins").cast("int")).over(up_to()),
             "begin": carry(_col("begins"), F.struct("word", "line")),
             "clause": carry(_col("top") & word.isin("extends", "implements"), F.struct("stmt", "word")),
-            "member_leads": since(
-                _col("begins"), _col("member") & ~word.isin(*_MEMBER_MODIFIERS) & ~attribute
-            ) == 0,
+            "member_leads": since(_col("begins"), _col("in_body") & _col("leading")) == 0,
         }
     )
+    # Typed properties: declared in the body or promoted in a parameter list.
+    declared = _col("in_class") & _col("variable")
+    typed = _col("type_name").isNotNull()
+    rows = rows.withColumn(
+        "declared_type", carry(declared & typed, F.struct("member_id", _col("type_name").alias("type")))
+    )
     body = (_col("depth") >= 1) & ~((_col("depth") == 1) & (tok == "}"))
     rows = rows.withColumn(
         "member_end",
         F.max(F.when(body, _col("end_line"))).over(Window.partitionBy("file_path", "stmt", "member_id")),
     )
-    is_method = _col("member") & _col("member_leads") & (word == "function") & named
-
-    rows = neighbours(rows, back=range(2, 4), ahead=range(3, 6))
-    # Typed properties: declared in the body or promoted in a parameter list.
-    variable = F.startswith(tok, F.lit("$"))
-    type_name = F.when(is_ident("p1") & ~F.lower(p1).isin(*_MEMBER_MODIFIERS) & ~_col("p2").isin("|", "&"), _simple("p1"))
-    declared = _col("in_class") & _col("member") & variable
-    rows = rows.withColumn(
-        "declared_type", carry(declared & type_name.isNotNull(), F.struct("member_id", type_name.alias("type")))
-    )
-    same_list = (p1 == ",") & (_col("declared_type.member_id") == _col("member_id"))
-    promoted = (
-        _col("in_class") & (_col("depth") == 1) & (_col("parens") >= 1) & variable & type_name.isNotNull()
-        & (F.lower("p2").isin(*_ACCESS) | ((_col("p2") == "?") & F.lower("p3").isin(*_ACCESS)))
-    )
-    is_prop = promoted | (declared & (type_name.isNotNull() | same_list))
-    prop_type = F.coalesce(type_name, _col("declared_type.type"))
+    is_method = _col("in_body") & _col("function") & _col("member_leads")
+    same_list = _col("listed") & (_col("declared_type.member_id") == _col("member_id"))
+    is_prop = (_col("in_class") & _col("promotes")) | (declared & (typed | same_list))
+    prop_type = F.coalesce("type_name", "declared_type.type")
 
     # Parents: the extends clause of a class, used traits of a class or trait.
     base_class = (
-        _col("in_class") & _col("top") & is_ident("tok") & (_col("clause.stmt") == _col("stmt"))
-        & (_col("clause.word") == "extends") & (F.lower("p1") == "extends")
+        _col("in_class") & _col("extended") & (_col("clause.stmt") == _col("stmt")) & (_col("clause.word") == "extends")
     )
-    trait = (
-        _col("in_class") & _col("member") & is_ident("tok") & (_col("begin.word") == "use")
-        & ((F.lower("p1") == "use") | (p1 == ","))
-    )
-
-    scope = is_ident("tok") & (n1 == "::") & is_ident("n2") & (_col("n3") == "(") & ~p1.isin("->", "?->", "::")
-    this = (tok == "$this") & (n1 == "->") & is_ident("n2")
-    created = (word == "new") & is_ident("n1") & ~F.lower("n1").isin("class", "static")
+    trait = _col("in_class") & _col("used") & (_col("begin.word") == "use")
 
     return collect_facts(
         rows,
-        unbalanced(_col("outside")),
-        fact("symbol", _col("declares"), name, kind, line=_col("first.line"), end_line=_col("stmt_end")),
+        fact("symbol", _col("declares"), _col("name"), kind, line=_col("first.line"), end_line=_col("stmt_end")),
         fact(
-            "symbol", is_method, F.concat(_col("decl.name"), F.lit("."), name), F.lit("method"),
+            "symbol", is_method, F.concat(_col("decl.name"), F.lit("."), _col("name")), F.lit("method"),
             line=_col("begin.line"), end_line=_col("member_end"),
         ),
         fact("prop", is_prop, F.substring(tok, 2, 1 << 30), _col("decl.name"), prop_type),
         fact("parent", base_class | trait, _col("decl.name"), _simple("tok")),
-        fact("call", created, _simple("n1"), F.lit("new")),
-        fact("call", scope & (word == "parent"), n2, F.lit("super")),
-        fact("call", scope & (word == "self"), n2, F.lit("own")),
-        fact("call", scope & ~word.isin("parent", "self", "static"), n2, F.lit("static"), _simple("tok")),
-        fact("call", this & (_col("n3") == "("), n2, F.lit("own")),
-        fact(
-            "call", this & (_col("n3") == "->") & is_ident("n4") & (_col("n5") == "("), _col("n4"), F.lit("prop"), n2
-        ),
     )
 
 

@@ -5,6 +5,10 @@ token its line and its nesting depth. What declarations and calls need besides
 comes from window functions over the file. A file's tokens are one array that is
 placed by path before it is exploded: the explode and every window below keep
 that placement, so the text and its tokens are shuffled once each.
+
+What a token and its neighbours tell is worked out in the first window, and only
+the tokens that shape declarations (:func:`outline`) or are facts by themselves
+go on: later windows sort a part of the tokens, without their neighbours.
 """
 
 from __future__ import annotations
@@ -94,8 +98,7 @@ def tokenize(files: DataFrame, scan: Callable[..., list[Token]], flag: Column |
 def neighbours(rows: DataFrame, back: range = range(0), ahead: range = range(0)) -> DataFrame:
     """Add ``p<i>`` and ``n<i>``: the tokens ``i`` before and after each token, '' past the ends.
 
-    Every later window copies these columns, so a scan asks for distant tokens
-    only where it uses them.
+    Every later window would copy these columns, so a scan drops them first.
     """
     return rows.withColumns(
         {f"p{i}": F.lag("tok", i, "").over(in_file()) for i in back}
@@ -103,6 +106,16 @@ def neighbours(rows: DataFrame, back: range = range(0), ahead: range = range(0))
     )
 
 
+def outline() -> Column:
+    """Tokens that can begin or end a statement or a member, or stand in its head; needs ``n1``.
+
+    A token moves the depth by one at most. So the last token of a statement is
+    at depth 1 or less, that of a member's body is there too or is the brace that
+    leads back to depth 1, unless the file ends first.
+    """
+    return (F.col("depth") <= 1) | ((F.col("depth") == 2) & (F.col("tok") == "}")) | (F.col("n1") == "")
+
+
 def is_ident(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).rlike(IDENT)
 

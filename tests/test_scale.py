@@ -1,6 +1,6 @@
 """Work that must grow no faster than its input: joins by key, tasks by the amount of text."""
 
-from kinweave.extract import tokens, typescript
+from kinweave.extract import php, tokens, typescript
 from kinweave.graph import CodeGraph
 from kinweave.operators import lookup, resolve
 from kinweave.operators.records import with_liveness
@@ -53,6 +53,30 @@ def test_a_batch_of_long_files_keeps_every_token(spark):
     assert sorted((r.file_path, r["count"]) for r in rows) == [(f"f{i}.ts", 40_000) for i in range(9)]
 
 
+def test_later_windows_sort_a_part_of_the_tokens(spark):
+    files = spark.createDataFrame([("a", "class A { m() { return this.n(1) } }")], "file_path string, text string")
+    for scan in (php._scan, typescript._scan):
+        steps = [line.strip(" +-*()0123456789").split(" ")[0] for line in _plan(scan(files)).splitlines()]
+        first = len(steps) - 1 - steps[::-1].index("Window")
+        assert steps[:first].count("Sort") >= 2  # above the first window
+        assert "Filter" in steps[len(steps) - 1 - steps[::-1].index("Sort", len(steps) - first):first]
+
+
+def test_bodies_that_are_left_out_keep_their_ends(spark):
+    deep = "{ if (a) { b(1, [2]) } }\n" * 30
+    text = f"class A {{\n m() {{\n{deep}\n }}\n n() {{ this.m() }}\n}}\nfunction f() {{\n{deep}}}\nclass B {{ o() {{ {deep}"
+    rows = [("a.ts", text), ("b.ts", "x(1)")]
+    found = typescript.extract(spark.createDataFrame(rows, "file_path string, text string"))
+    got = {(r.fqn, r.line_start, r.line_end) for r in found.symbols.collect()}
+    assert got == {("A", 1, 36), ("A.m", 2, 34), ("A.n", 35, 35), ("f", 37, 68), ("B", 69, 98), ("B.o", 69, 98)}
+    assert [r.file_path for r in found.errors.collect()] == ["a.ts"]
+    text = "<?php\n" + text.replace("m()", "function m()", 1).replace(" n()", " function n()").replace("o()", "function o()").replace("this.m", "$this->m")
+    found = php.extract(spark.createDataFrame([("a.php", text)], "file_path string, text string"))
+    got = {(r.fqn, r.line_start, r.line_end) for r in found.symbols.collect()}
+    assert got == {("A", 2, 37), ("A.m", 3, 35), ("A.n", 36, 36), ("f", 38, 69), ("B", 70, 99), ("B.o", 70, 99)}
+    assert {(r.caller_id, r.target_name) for r in found.refs.collect()} == {("a.php::A.n", "A.m")}
+
+
 def test_records_meet_the_graph_by_key(spark):
     records = spark.createDataFrame([("r1", None), ("r2", "r1")], "id string, ss string")
     live = with_liveness(records)
