@@ -15,13 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave import schema
 from kinweave.functions.paths import parent_fqn
-from kinweave.operators.resolve import enclosing_symbol
-from kinweave.session import materialize, placed
+from kinweave.operators.resolve import enclosing_in_place
+from kinweave.session import materialize
 
 
 @dataclass(frozen=True)
@@ -77,9 +77,26 @@ def collect_facts(rows: DataFrame, *facts: Column) -> DataFrame:
     )
 
 
+def _linked(facts: DataFrame) -> DataFrame:
+    """Facts with the symbol ``around`` each call and the declared type ``prop_type`` of a property in that symbol's class.
+
+    Both are found in windows by file, where the scan has placed the facts: no call is shuffled for them.
+    """
+    is_call, is_prop = F.col("fact") == "call", F.col("fact") == "prop"
+    facts = enclosing_in_place(facts, is_call, F.col("fact") == "symbol", F.col("name"))
+    facts = facts.withColumns(
+        {
+            "cls": F.when(is_call, parent_fqn(F.col("around"))).when(is_prop, F.col("a")),
+            "prop": F.when(is_call & (F.col("a") == "prop"), F.col("b")).when(is_prop, F.col("name")),
+        }
+    )
+    declared = F.max_by(F.when(is_prop, F.col("b")), F.when(is_prop, F.col("pos"))).over(Window.partitionBy("file_path", "cls", "prop"))
+    return facts.withColumn("prop_type", F.when(is_call & F.col("cls").isNotNull() & F.col("prop").isNotNull(), declared)).drop("prop")
+
+
 def assemble(facts: DataFrame, language: str) -> Extraction:
-    """Facts are written once, so the text is tokenized once for all three outputs."""
-    facts = materialize(facts, f"facts-{language}")
+    """Facts are linked within their files and written once, so the text is tokenized once for all three outputs."""
+    facts = materialize(_linked(facts), f"facts-{language}")
     symbols = facts.filter("fact = 'symbol'").select(
         F.concat("file_path", F.lit("::"), "name").alias("id"),
         F.col("name").alias("fqn"),
@@ -93,13 +110,7 @@ def assemble(facts: DataFrame, language: str) -> Extraction:
     inheritance = facts.filter("fact = 'parent'").select(
         "file_path", F.col("name").alias("child"), F.col("a").alias("parent")
     )
-    props = facts.filter("fact = 'prop'").groupBy("file_path", F.col("a").alias("cls"), F.col("name").alias("b")).agg(
-        F.max_by("b", "pos").alias("prop_type")
-    )
-    calls = enclosing_symbol(
-        facts.filter("fact = 'call'").select("file_path", "line", "name", "a", "b"), symbols
-    ).withColumn("cls", parent_fqn(F.col("symbol_fqn")))
-    calls = calls.join(placed(props), ["file_path", "cls", "b"], "left")
+    calls = facts.filter("fact = 'call'").withColumn("symbol_id", F.concat("file_path", F.lit("::"), "around"))
     dotted = F.when(F.col("a") == "static", F.col("b")).when(F.col("a") == "own", F.col("cls")).when(
         F.col("a") == "prop", F.col("prop_type")
     )

@@ -15,7 +15,7 @@ so a name that is defined and called everywhere does not multiply.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave import schema
@@ -196,3 +196,29 @@ def enclosing_symbol(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     return lines.join(placed(narrowest), ["file_path", "line"]).select(
         *lines.columns, F.col("s.id").alias("symbol_id"), F.col("s.fqn").alias("symbol_fqn")
     )
+
+
+def enclosing_in_place(rows: DataFrame, asks: Column, encloses: Column, symbol: Column) -> DataFrame:
+    """``rows`` with ``around``: for those that ``asks``, the narrowest ``symbol`` around their ``line``, the earlier on a tie.
+
+    :func:`enclosing_symbol` for lines and symbols that are rows of one table
+    ``(file_path, pos, line, end_line, ...)``, of which those that ``encloses``
+    are symbols. Blocks and lines meet in windows by file, level and block, so a
+    table that is placed by file is not moved again, whatever the levels. Rows
+    that ask in vain are left out.
+    """
+    first, last = F.col("line"), F.col("end_line")
+    extent = F.when(encloses & (last >= first), last - first + 1)
+    at_levels = F.transform(
+        F.sequence(F.lit(0), F.floor(F.log2(F.col("longest").cast("double"))).cast("int")),
+        lambda level: F.struct(level.alias("level"), F.call_function("shiftright", first, level).alias("bin")),
+    )
+    numbered = rows.withColumns({"row": F.monotonically_increasing_id(), "longest": F.max(extent).over(Window.partitionBy("file_path"))})
+    spread = numbered.select("*", F.posexplode_outer(F.when(asks, at_levels).when(extent.isNotNull(), _dyadic(first, last))).alias("place", "at"))
+    of_block = F.when(extent.isNotNull(), F.struct(extent.alias("extent"), "pos", symbol.alias("symbol")))
+    spread = spread.withColumns({"level": F.col("at.level"), "bin": F.col("at.bin")}).drop("at", "longest")
+    spread = spread.withColumn("found", F.min(of_block).over(Window.partitionBy("file_path", "level", "bin")))
+    kept = spread.filter(F.when(asks, F.col("file_path").isNotNull() & F.col("found").isNotNull()).otherwise(F.coalesce("place", F.lit(0)) == 0))
+    rest = [c for c in rows.columns if c != "file_path"]
+    once = kept.groupBy("file_path", "row").agg(F.any_value(F.struct(*rest)).alias("own"), F.min(F.when(asks, F.col("found"))).alias("found"))
+    return once.select("file_path", *[F.col(f"own.{c}").alias(c) for c in rest], F.col("found.symbol").alias("around"))

@@ -77,6 +77,16 @@ def test_bodies_that_are_left_out_keep_their_ends(spark):
     assert {(r.caller_id, r.target_name) for r in found.refs.collect()} == {("a.php::A.n", "A.m")}
 
 
+def test_calls_are_linked_where_the_scan_left_them(spark):
+    text = "class A {\n  private d: B;\n  m() {\n    this.n();\n    this.d.k(); new C();\n  }\n}\nx.y();\n"
+    files = spark.createDataFrame([("a.ts", text), ("a.ts", "z.y()"), (None, text)], "file_path string, text string").filter("text like 'class%'")
+    found = typescript.extract(files)
+    assert "Exchange" not in _plan(found.refs)
+    assert "Exchange" not in _plan(php.extract(spark.createDataFrame([("a.php", "<?php f();")], "file_path string, text string")).refs)
+    got = sorted((r.caller_id, r.target_name, r.kind, r.line) for r in found.refs.collect())
+    assert got == [("a.ts::A.m", "A.n", "static_call", 4), ("a.ts::A.m", "B.k", "static_call", 5), ("a.ts::A.m", "C", "instantiation", 5)]
+
+
 def test_records_meet_the_graph_by_key(spark):
     records = spark.createDataFrame([("r1", None), ("r2", "r1")], "id string, ss string")
     live = with_liveness(records)
