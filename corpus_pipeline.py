@@ -73,7 +73,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids")
+    # stored in between, so that a task has one Python worker with the tokenizer at a time and not two
+    ids = materialize(bpe.encode(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids"), "ids")
     return bpe.decode(ids, TOKENIZER).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded_batches, quoted, whole_row, with_results
+from kinweave.llm.common import bounded_batches, give_back, quoted, whole_row, with_results
 
 MAX_MODEL_BYTES = 64 << 20
 MEMO = 60_000
@@ -282,6 +282,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)))
             yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
         model._forget()  # the worker lives on, for other work
+        give_back()
 
     rows = docs.select(whole_row(docs).alias("row"), ids_of(F.col(quoted(text_col))).alias("ids"))
     return rows.select(*with_results("row", docs.columns, **{ids_col: F.col("ids")}))
@@ -296,6 +297,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", decoded_col: str
         model = _model(shared.value)
         for ids in batches:
             yield model.decode(ids)
+        give_back()
 
     rows = encoded.select(whole_row(encoded).alias("row"), text_of(F.col(quoted(ids_col))).alias("decoded"))
     return rows.select(*with_results("row", encoded.columns, **{decoded_col: F.col("decoded")}))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded_batches, lower_ascii, quoted, whole_row, with_results
+from kinweave.llm.common import bounded_batches, give_back, lower_ascii, quoted, whole_row, with_results
 from kinweave.session import materialize
 
 BLOCK_WINDOWS = 400_000
@@ -102,6 +102,8 @@ def corpus_counts(docs: DataFrame, terms: list[str], text_col: str = "text") ->
                 total += np.bincount(postings.read(text)[1], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["term", "n"])
+        del postings, total
+        give_back()
 
     counted = docs.select(F.col(quoted(text_col)).cast("binary")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     total = np.zeros(len(terms), np.int64)
@@ -173,6 +175,8 @@ def _index(rows: DataFrame, terms: list[str], needed: list[list[int]]) -> DataFr
             yield pa.StructArray.from_arrays(
                 [pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(per_doc, pa.int32()), pairs)], ["n_words", "postings"]
             )
+        del postings, groups
+        give_back()
 
     indexed = rows.select("doc_row", "row", positions("text").alias("p"))
     return materialize(indexed.select("doc_row", "row", "p.n_words", "p.postings"), "postings")

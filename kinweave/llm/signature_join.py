@@ -67,6 +67,8 @@ FANOUT = 8
 MAX_FILTER_WORDS = 1 << 21  # 16 MB of Bloom filter bits
 BROADCAST_ROWS = 2_000_000
 ORDER_SLOTS = 1 << 20
+# From this size on a group's memory is returned after it, not kept for the next.
+GROUP_BYTES = 1 << 20
 ROUNDS = 8
 ROUND_KEYS = 1 << 23  # with fewer keys there is one round
 ROUND_BYTES = 1 << 28  # of shingles that are shuffled at a time
@@ -322,7 +324,10 @@ def _within(members: DataFrame, keys: list[str], t: int) -> DataFrame:
     columns = [*keys, "fp", "shingles", *[c for c in ("side", "label") if c in members.columns]]
 
     def join(table: pa.Table) -> pa.Table:
-        return _join_group(table, t)
+        found = _join_group(table, t)
+        if table.nbytes >= GROUP_BYTES:
+            give_back()
+        return found
 
     return members.select(*columns).groupBy(*keys).applyInArrow(join, EDGE)
 
@@ -388,6 +393,8 @@ def _round_edges(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         for i in range(0, len(used), KEY_BLOCK):
             at = used[i: i + KEY_BLOCK]
             yield pa.record_batch([pa.array(at), pa.array(mine[at].view(np.int64))], names=["word", "bits"])
+        del mine
+        give_back()
 
     found = heads.select("key").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     blank.words[np.asarray(found.column("word"))] = np.asarray(found.column("bits")).view(np.uint64)
@@ -502,6 +509,8 @@ def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
         for i in range(0, len(used), 50_000):
             at = used[i: i + 50_000]
             yield pa.record_batch([pa.array(at), pa.array(held[at])], names=["slot", "n"])
+        del held
+        give_back()
 
     found = chained.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(ORDER_SLOTS, np.int64)

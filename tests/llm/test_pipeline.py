@@ -36,6 +36,12 @@ def test_stages_keep_columns_and_decide(spark):
     assert {r.doc_id for r in clean} >= {9000, 9003} and not any(r.doc_id and 5000 <= r.doc_id < 5005 for r in clean)
 
 
+def test_a_task_has_one_tokenizer_at_a_time(spark):
+    out = corpus_pipeline.tokenize(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(3), SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and all(len(r.ids) == r.n_tokens for r in out.collect())
+
+
 def test_empty_documents_go_through_all_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
