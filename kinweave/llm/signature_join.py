@@ -30,6 +30,7 @@ document's component of links.
    that is chained again is replaced by one block for each smallest holder of a
    shared shingle, with all holders of its shingles; members may be in several
    of these, whose sizes do not grow with the length of chains.
+   Shingles are stored once: places in blocks are rows of their own.
 5. A block that still has more than ``leaf`` members is cut into leaves of about that size:
    leaves are joined in themselves, then their components' heads among each
    other, and at last the members outside the block's largest component meet
@@ -67,6 +68,8 @@ FANOUT = 8
 MAX_FILTER_WORDS = 1 << 21  # 16 MB of Bloom filter bits
 BROADCAST_ROWS = 2_000_000
 ORDER_SLOTS = 1 << 20
+SLOT_ROW = 1 << 16  # slots whose counts are one row
+COUNTERS = 64  # tasks that count slots, each for all of them
 # From this size on a group's memory is returned after it, not kept for the next.
 GROUP_BYTES = 1 << 20
 ROUNDS = 8
@@ -332,14 +335,23 @@ def _within(members: DataFrame, keys: list[str], t: int) -> DataFrame:
     return members.select(*columns).groupBy(*keys).applyInArrow(join, EDGE)
 
 
-def _links_within(members: DataFrame, keys: list[str], t: int) -> DataFrame:
-    """The stored links of :func:`_within`, in up to ``ROUNDS`` rounds of whole groups, so that no more than a round's
-    share of the shingles is shuffled beside the stored ``members``."""
-    size = members.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    rounds = int(min(ROUNDS, 1 + size // ROUND_BYTES))
+def _links_within(places: DataFrame | None, members: DataFrame, keys: list[str], t: int) -> DataFrame:
+    """The stored links of :func:`_within` for the groups of ``places(*keys, fp[, side, label])``, or of ``members`` as they are.
+
+    Shingles are stored once, in ``members``, however many places their set has.
+    They meet their places in up to ``ROUNDS`` rounds of whole groups, so that
+    no more than a round's share of them is shuffled.
+    """
+    sizes = members.select("fp", F.length("shingles").alias("bytes"))
+    sizes = sizes if places is None else places.join(sizes.dropDuplicates(["fp"]), "fp")
+    size, n = sizes.agg(F.sum("bytes"), F.count("*")).first()
+    rounds = int(min(ROUNDS, 1 + (size or 0) // ROUND_BYTES))
+    groups = members if places is None else places
     links = None
     for number in range(rounds):
-        mine = members if rounds == 1 else members.filter(F.pmod(F.xxhash64(F.lit(rounds), *keys), F.lit(rounds)) == number)
+        mine = groups if rounds == 1 else groups.filter(F.pmod(F.xxhash64(F.lit(rounds), *keys), F.lit(rounds)) == number)
+        if places is not None:
+            mine = members.select("fp", "shingles").join(F.broadcast(mine) if 2 * n // rounds <= BROADCAST_ROWS else mine, "fp")
         found = materialize(_within(mine, keys, t), "links")
         discard(members.sparkSession)
         links = found if links is None else links.unionByName(found)
@@ -461,8 +473,8 @@ def _members(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
     return materialize(found, "members")
 
 
-def _large(members: DataFrame, leaf: int) -> DataFrame:
-    return materialize(members.groupBy("block").agg(F.count_distinct("fp").alias("m")).filter(F.col("m") > leaf), "large")
+def _large(places: DataFrame, leaf: int) -> DataFrame:
+    return materialize(places.groupBy("block").agg(F.count_distinct("fp").alias("m")).filter(F.col("m") > leaf), "large")
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
@@ -492,30 +504,44 @@ def _unchained(edges: DataFrame, leaf: int) -> DataFrame:
     return parts.join(long, "block", "left_anti").select("fp", "block").unionByName(around)
 
 
-def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
-    """``members`` with blocks of more than ``leaf`` members replaced by the blocks of their rare shingles, several for
-    some members; the table of ``members`` goes if it is replaced."""
-    large = _large(members, leaf)
-    if not large.limit(1).count():
-        return members
-    chained = members.join(large.select("block"), "block", "left_semi").select("block", "fp", "shingles")
+def _slot_counts(chained: DataFrame) -> np.ndarray:
+    """How many sets hold each slot of the order. A task's counts are ``ORDER_SLOTS / SLOT_ROW`` rows of numbers and few
+    tasks count, so what is moved does not grow with the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(ORDER_SLOTS, np.int64)
         for batch in batches:
-            for shingles in _sets(batch.column(2)):
+            for shingles in _sets(batch.column(0)):
                 np.add.at(held, _slots(shingles), 1)
-        used = np.flatnonzero(held)
-        for i in range(0, len(used), 50_000):
-            at = used[i: i + 50_000]
-            yield pa.record_batch([pa.array(at), pa.array(held[at])], names=["slot", "n"])
+        for i in range(0, ORDER_SLOTS, SLOT_ROW):
+            yield pa.record_batch([pa.array([i // SLOT_ROW]), pa.array([held[i: i + SLOT_ROW].tobytes()], pa.binary())], names=["part", "counts"])
         del held
         give_back()
 
-    found = chained.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[part] = held.get(part, 0) + np.frombuffer(counts.as_py(), np.int64)
+        yield pa.record_batch([pa.array(list(held), pa.int64()), pa.array([n.tobytes() for n in held.values()], pa.binary())], names=["part", "counts"])
+        give_back()
+
+    rows = "part long, counts binary"
+    found = chained.select("shingles").coalesce(COUNTERS).mapInArrow(count, rows).repartition("part").mapInArrow(add, rows).toArrow()
     counts = np.zeros(ORDER_SLOTS, np.int64)
-    counts[np.asarray(found.column("slot"))] = np.asarray(found.column("n"))
-    shared = members.sparkSession.sparkContext.broadcast(counts)
+    for part, held in zip(found.column("part").to_pylist(), found.column("counts").to_pylist()):
+        counts[part * SLOT_ROW: (part + 1) * SLOT_ROW] = np.frombuffer(held, np.int64)
+    return counts
+
+
+def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
+    """``(block, fp)`` of ``members``, with blocks of more than ``leaf`` members replaced by the blocks of their rare
+    shingles, several for some members."""
+    large = _large(members, leaf)
+    if not large.limit(1).count():
+        return members.select("block", "fp").distinct()
+    chained = members.join(large.select("block"), "block", "left_semi").select("block", "fp", "shingles")
+    shared = members.sparkSession.sparkContext.broadcast(_slot_counts(chained))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -529,10 +555,9 @@ def _split(members: DataFrame, t: int, leaf: int) -> DataFrame:
     edges = materialize(_candidate_edges(rare), "edges")
     discard(members.sparkSession, rare)
     finer = _unchained(edges, leaf)
-    kept = members.join(large.select("block"), "block", "left_anti").select("block", "fp", "shingles")
-    split = materialize(kept.unionByName(chained.drop("block").join(finer, "fp").select("block", "fp", "shingles")), "members")
-    discard(members.sparkSession, members)
-    return split
+    kept = members.join(large.select("block"), "block", "left_anti").select("block", "fp").distinct()
+    # a member without a shared rare shingle has no links in its block and no place
+    return materialize(kept.unionByName(finer.select("block", "fp")), "places")
 
 
 def _bucket(key: str, count: str, leaf: int, salt: int) -> F.Column:
@@ -542,37 +567,40 @@ def _bucket(key: str, count: str, leaf: int, salt: int) -> F.Column:
 def _block_links(members: DataFrame, t: int, leaf: int) -> DataFrame:
     """``(fp, root)`` for all members; ``root`` is the same for the members of a component. The table of ``members`` goes."""
     spark = members.sparkSession
-    whole, members = members, _split(members, t, leaf)
-    large_blocks = _large(members, leaf)
+    if not _large(members, leaf).limit(1).count():
+        links = _links_within(None, members, ["block"], t)
+        discard(spark, members)
+        return links
+    places = _split(members, t, leaf)
+    large_blocks = _large(places, leaf)
     n_large = large_blocks.count()
     if not n_large:
-        links = _links_within(members, ["block"], t)
-        discard(spark, members)
-        return links if members is whole else _joined(links)
-    cut = members.join(large_blocks, "block", "left").withColumn("leaf", F.when(F.col("m").isNotNull(), _bucket("fp", "m", leaf, 1)).otherwise(0))
-    first = _links_within(cut, ["block", "leaf"], t)
+        links = _joined(_links_within(places, members, ["block"], t))
+        discard(spark, members, places)
+        return links
+    cut = places.join(large_blocks, "block", "left").withColumn("leaf", F.when(F.col("m").isNotNull(), _bucket("fp", "m", leaf, 1)).otherwise(0))
+    first = _links_within(cut, members, ["block", "leaf"], t)
     large = cut.filter(F.col("m").isNotNull()).dropDuplicates(["block", "fp"])
     heads = large.drop("m", "leaf").join(first.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi")
     counts = heads.groupBy("block").agg(F.count("*").alias("h"))
-    second = _links_within(heads.join(counts, "block").withColumn("chunk", _bucket("fp", "h", leaf, 2)), ["block", "chunk"], t)
+    second = _links_within(heads.join(counts, "block").withColumn("chunk", _bucket("fp", "h", leaf, 2)), members, ["block", "chunk"], t)
     edges = first.unionByName(second)
     labels = connected_components(edges.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")))
     known = materialize(
-        large.join(labels, large.fp == labels.node, "left").select("block", "leaf", "m", "fp", "shingles", F.coalesce("component", "fp").alias("label")), "labelled"
+        large.join(labels, large.fp == labels.node, "left").select("block", "leaf", "m", "fp", F.coalesce("component", "fp").alias("label")), "labelled"
     )
-    discard(spark, members)
     main = known.groupBy("block", "label").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     others = known.join(main, "block").filter("label <> main")
     n_others = others.groupBy("block").agg(F.count("*").alias("o"))
-    others = materialize(others.join(n_others, "block").withColumn("chunk", _bucket("fp", "o", leaf, 3)).select("block", "m", "o", "chunk", "fp", "shingles", "label"), "others")
+    others = materialize(others.join(n_others, "block").withColumn("chunk", _bucket("fp", "o", leaf, 3)).select("block", "m", "o", "chunk", "fp", "label"), "others")
     leaves = F.sequence(F.lit(0), F.ceil(F.col("m") / leaf).cast("int") - 1)
     chunks = F.sequence(F.lit(0), F.ceil(F.col("o") / leaf).cast("int") - 1)
-    meeting = others.select("block", "chunk", F.explode(leaves).alias("leaf"), "fp", "shingles", "label", F.lit(0).alias("side")).unionByName(
+    meeting = others.select("block", "chunk", F.explode(leaves).alias("leaf"), "fp", "label", F.lit(0).alias("side")).unionByName(
         known.join(others.select("block", "o").distinct(), "block")
-        .select("block", F.explode(chunks).alias("chunk"), "leaf", "fp", "shingles", "label", F.lit(1).alias("side"))
+        .select("block", F.explode(chunks).alias("chunk"), "leaf", "fp", "label", F.lit(1).alias("side"))
     )
-    third = _links_within(meeting, ["block", "chunk", "leaf"], t)
-    discard(spark, known, others)
+    third = _links_within(meeting, members, ["block", "chunk", "leaf"], t)
+    discard(spark, members, places, known, others)
     return _joined(edges.unionByName(third))
 
 

@@ -11,7 +11,7 @@ from kinweave.llm import decontamination as D
 from kinweave.llm import signature_join as S
 from kinweave.llm import topk
 from kinweave.llm.components import connected_components
-from kinweave.session import scratch_dir
+from kinweave.session import materialize, scratch_dir
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -296,3 +296,30 @@ def test_join_leaves_no_table_of_shingles_or_keys(spark, docs):
     left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
     assert "components" in left and not left & {"sets", "parts", "rare", "members", "leaves", "labelled", "others"}
     assert sorted(((r.id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == _components(rows, 3, 80)
+
+
+def test_shingles_are_stored_once_however_many_blocks_a_member_has(spark, docs, monkeypatch):
+    rng = random.Random(12)
+    passage = [[f"g{g}w{i}" for i in range(30)] for g in range(31)]
+    rows = [(g, " ".join(passage[g] + passage[g + 1])) for g in range(30)]
+    rows += [(200 + g, " ".join(_edited(rng, passage[g] + passage[g + 1], 1))) for g in range(0, 30, 10)]
+    rows += [(5, rows[5][1]), (None, rows[7][1]), (None, rows[7][1])]
+    stored = []
+    monkeypatch.setattr(S, "materialize", lambda df, label: stored.append((label, df.columns)) or materialize(df, label))
+    monkeypatch.setattr(S, "ROUND_BYTES", 1 << 15)
+    got = sorted(((r.id, r.n_shingles, r.component_id) for r in S.jaccard_components(docs(rows), 3, 80, leaf=4).collect()), key=str)
+    assert got == _components(rows, 3, 80)
+    assert [c for c in stored if "shingles" in c[1]] == [("members", ["block", "fp", "shingles"])]
+    assert ("places", ["block", "fp"]) in stored
+
+
+def test_slots_are_counted_in_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "COUNTERS", 3)
+    sets = [np.arange(i, i + 50, dtype=np.uint64) for i in range(40)]
+    chained = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets], "shingles binary").repartition(9)
+    plans = []
+    seen = type(chained).toArrow
+    monkeypatch.setattr(type(chained), "toArrow", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or seen(df))
+    counts = S._slot_counts(chained)
+    assert counts[:89].tolist() == [sum(s[0] <= v <= s[-1] for s in sets) for v in range(89)] and not counts[89:].any()
+    assert "Coalesce 3" in plans[0]
