@@ -95,8 +95,13 @@ def _linked(facts: DataFrame) -> DataFrame:
 
 
 def assemble(facts: DataFrame, language: str) -> Extraction:
-    """Facts are linked within their files and written once, so the text is tokenized once for all three outputs."""
-    facts = materialize(_linked(facts), f"facts-{language}")
+    """The tables of ``facts``, which are linked within their files here."""
+    return tables(_linked(facts), language)
+
+
+def tables(linked: DataFrame, language: str) -> Extraction:
+    """Linked facts are written once, so the text is tokenized once for all three outputs."""
+    facts = materialize(linked, f"facts-{language}")
     symbols = facts.filter("fact = 'symbol'").select(
         F.concat("file_path", F.lit("::"), "name").alias("id"),
         F.col("name").alias("fqn"),

@@ -1,4 +1,7 @@
-"""PHP declarations, calls and inheritance from token rows.
+"""PHP declarations, calls and inheritance from tokens.
+
+The rules are written twice: ``_scan`` has them as windows over token rows,
+``facts`` as one pass over a file's tokens, which is what ``extract`` runs.
 
 Known difference from a grammar-based reading: calls inside interpolated strings
 are not seen.
@@ -9,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.extract.facts import Extraction, assemble, collect_facts, fact, facts_here, unbalanced
-from kinweave.extract.lexer import php_tokens
+from kinweave.extract.facts import Extraction, collect_facts, fact, facts_here, tables, unbalanced
+from kinweave.extract.lexer import Token, php_tokens
+from kinweave.extract.structure import WORDS, Fact, Rows, read
 from kinweave.extract.tokens import carry, is_ident, neighbours, outline, since, tokenize, up_to
 
 EXTENSIONS = (".php",)
@@ -33,6 +37,7 @@ def _simple(name: str) -> Column:
 
 
 def _scan(files: DataFrame) -> DataFrame:
+    """What :func:`facts` finds, as windows over token rows."""
     # Inside braced namespaces every declaration sits one brace deeper.
     files = files.select(
         "file_path", "text", F.col("text").rlike(_BRACED_NAMESPACE).cast("int").alias("base")
@@ -150,6 +155,127 @@ def _scan(files: DataFrame) -> DataFrame:
     )
 
 
+def _tokens(text: str, base: int | None) -> tuple[list[Token], int]:
+    return php_tokens(text), base or 0
+
+
+def _last(name: str) -> str:
+    return name.rpartition("\\")[2]
+
+
+def facts(rows: Rows) -> list[Fact]:
+    """The facts of a path's tokens."""
+    pos, tok, lines, ends, depths, all_parens, _, outside = rows
+    out: list[Fact] = []
+
+    def add(i: int, kind: str, name: str, a: str, b: str = "") -> None:
+        out.append((pos[i], kind, name, a, b, lines[i], ends[i]))
+
+    # Calls, and statements of the tokens that shape declarations or are facts.
+    statements: list[list[int]] = [[]]
+    for i, depth in enumerate(depths):
+        t, n1 = tok[i], tok[i + 1]
+        depth -= outside[i]
+        here = len(out)
+        if n1 == "::":
+            if tok[i + 3] == "(" and WORDS[t] and WORDS[tok[i + 2]] and tok[i - 1] not in ("->", "?->", "::"):
+                word = t.lower()
+                if word == "parent":
+                    add(i, "call", tok[i + 2], "super")
+                elif word == "self":
+                    add(i, "call", tok[i + 2], "own")
+                elif word != "static":
+                    add(i, "call", tok[i + 2], "static", _last(t))
+        elif t == "$this":
+            if n1 == "->" and WORDS[tok[i + 2]]:
+                if tok[i + 3] == "(":
+                    add(i, "call", tok[i + 2], "own")
+                elif tok[i + 3] == "->" and WORDS[tok[i + 4]] and tok[i + 5] == "(":
+                    add(i, "call", tok[i + 4], "prop", tok[i + 2])
+        elif len(t) == 3 and WORDS[n1] and t.lower() == "new" and n1.lower() not in ("class", "static"):
+            add(i, "call", _last(n1), "new")
+        if n1 == "" and depth + (t == "{") - (t == "}") != -outside[i]:
+            add(i, "error", "braces are not balanced", "")
+        if depth <= 1 or n1 == "" or len(out) > here or (depth == 2 and t == "}"):
+            if depth == 0 and all_parens[i] == 0 and tok[i - 1] in ("", ";", "}", "{") and (WORDS[t] or t.startswith("#[")):
+                statements.append([])
+            statements[-1].append(i)
+
+    decl = begin = clause = first = declared_type = None
+    leading_before = member = 0
+    for stmt, held in enumerate(statements):
+        if not held:
+            continue
+        if stmt:
+            first = lines[held[0]]
+        stmt_end = max([ends[i] for i in held if depths[i] > outside[i]], default=None)
+        heads_before = 0
+        kind = ""  # the word of the declaration in this statement
+        member_end, waiting = None, []
+        for i in held:
+            depth, parens = depths[i] - outside[i], all_parens[i]
+            t, n1, p1 = tok[i], tok[i + 1], tok[i - 1]
+            if depth == 0 and parens == 0:
+                word = t.lower()
+                if word in _KINDS and not heads_before and (name := _declared(tok, i)) is not None and (
+                    word != "enum" or tok[i + 2] in ("{", ":", "implements")
+                ):
+                    kind, decl = word, name
+                    out.append((pos[i], "symbol", name, _KINDS[word], "", first, stmt_end))
+                if word == "extends" or word == "implements":
+                    clause = (stmt, word)
+                if word not in _MODIFIERS and not t.startswith("#["):
+                    heads_before += 1
+                if kind in ("class", "trait") and clause == (stmt, "extends") and p1.lower() == "extends" and WORDS[t]:
+                    add(i, "parent", decl, _last(t))
+            elif depth == 1 and kind in ("class", "trait", "interface"):
+                variable = t.startswith("$")
+                typed = _named_type(tok, i) if variable else None
+                if parens == 0:
+                    attribute = t.startswith("#[")
+                    if p1 in ("{", ";", "}") and (attribute or WORDS[t]):
+                        out += [(*m, member_end) for m in waiting]
+                        member_end, waiting = None, []
+                        member += 1
+                        begin = (t.lower(), lines[i])
+                        leading_before = 0
+                    word = t.lower()
+                    if word == "function" and not leading_before and (name := _declared(tok, i)) is not None:
+                        waiting.append((pos[i], "symbol", f"{decl}.{name}", "method", "", None if begin is None else begin[1]))
+                    if word not in _MEMBER_MODIFIERS and not attribute:
+                        leading_before += 1
+                    if kind != "interface":
+                        if variable:
+                            if typed is not None:
+                                declared_type = (member, typed)
+                            if typed is not None or (p1 == "," and declared_type is not None and declared_type[0] == member):
+                                add(i, "prop", t[1:], decl, declared_type[1])
+                        if begin is not None and begin[0] == "use" and (p1 == "," or p1.lower() == "use") and WORDS[t]:
+                            add(i, "parent", decl, _last(t))
+                elif parens >= 1 and typed is not None and kind != "interface" and (
+                    tok[i - 2].lower() in _ACCESS or (tok[i - 2] == "?" and tok[i - 3].lower() in _ACCESS)
+                ):
+                    add(i, "prop", t[1:], decl, typed)
+            if depth > 1 or (depth == 1 and t != "}"):
+                member_end = ends[i] if member_end is None else max(member_end, ends[i])
+        out += [(*m, member_end) for m in waiting]
+    return out
+
+
+def _declared(tok: list[str], i: int) -> str | None:
+    """The name after a word that declares one."""
+    name = tok[i + 2] if tok[i + 1] == "&" else tok[i + 1]
+    return name if WORDS[name] else None
+
+
+def _named_type(tok: list[str], i: int) -> str | None:
+    """The class in the type before a variable."""
+    p1 = tok[i - 1]
+    if WORDS[p1] and tok[i - 2] not in ("|", "&") and p1.lower() not in _MEMBER_MODIFIERS:
+        return _last(p1)
+    return None
+
+
 def extract(files: DataFrame) -> Extraction:
     """Symbols, call references and inheritance of ``(file_path, text)``."""
-    return assemble(_scan(files), "php")
+    return tables(read(files, F.col("text").rlike(_BRACED_NAMESPACE).cast("int"), _tokens, facts), "php")

@@ -45,8 +45,9 @@ def up_to() -> Window:
     return in_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def spread(files: DataFrame) -> tuple[DataFrame, int]:
-    """Files of ``(file_path, text[, ...])`` dealt to tasks of about ``TASK_TEXT`` characters, and the number of tasks.
+def spread(files: DataFrame, share: int | None = None) -> tuple[DataFrame, int]:
+    """Files of ``(file_path, text[, ...])`` dealt to tasks of about ``share`` characters (``TASK_TEXT`` if none is given),
+    and the number of tasks.
 
     The number grows with the text, so what a task sorts stays in its memory. It
     is explicit so that adaptive execution does not merge partitions by the size
@@ -55,7 +56,7 @@ def spread(files: DataFrame) -> tuple[DataFrame, int]:
     """
     files = materialize(files, "texts")
     size = files.agg(F.sum(F.length("text"))).first()[0] or 0
-    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_TEXT))
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (share or TASK_TEXT)))
     return files.repartition(tasks, "file_path"), tasks
 
 

@@ -1,10 +1,15 @@
 """Work that must grow no faster than its input: joins by key, tasks by the amount of text."""
 
-from kinweave.extract import php, tokens, typescript
+import time
+from collections import Counter
+
+from kinweave.extract import facts, php, structure, tokens, typescript
+from kinweave.extract.facts import assemble
 from kinweave.graph import CodeGraph
 from kinweave.operators import lookup, resolve
 from kinweave.operators.records import with_liveness
 from kinweave.plans import catalog
+from kinweave.session import materialize
 
 
 def _plan(df):
@@ -109,3 +114,49 @@ def test_candidates_are_scanned_once(spark, tmp_path):
     counts = catalog.QUERIES["bootstrap_counts"](spark, str(tmp_path))
     assert any("candidates-" in f for f in counts.inputFiles())
     assert sum(r.n for r in counts.collect()) == 16 + 3 + 8
+
+
+TS_TEXT = (
+    "import { x } from 'y';\nexport abstract class A extends B implements C, D {\n  private dep: X<Y>;\n  constructor(private readonly o: P) {}\n"
+    "  @dec(1)\n  m(a: B): void { this.dep.k(); this.n(); super.o(); Q.r?.(); new S(); `${T.u()}` }\n  abstract y(): void;\n  'q'() {}\n}\n"
+    "class E extends A implements V.W {\n  f: G;\n  h() { this.f.i(); }\n}\nconst a = 1, b = 2\nfunction k() { L.z() }\ninterface I { j(): void }\n"
+)
+PHP_TEXT = (
+    "<?php\nnamespace N {\nfinal class A extends \\B\\C {\n  use D, E;\n  private ?F $g, $h;\n  function __construct(private X $y) {}\n"
+    "  #[At(1)]\n  public static function &m() { $this->g->k(); $this->n(); parent::o(); self::p(); Q\\R::s(); new T(); }\n}\n"
+    "trait U { function v() { W::x(); } }\nenum Y: int { case Z; }\nfunction f() { A::m(); }\n}\n"
+)
+
+
+def test_one_pass_and_windows_find_the_same(spark):
+    cases = (
+        (typescript, TS_TEXT, ["}", "{", "`", "class", "\n", ";", "(", "abstract ", "this."]),
+        (php, PHP_TEXT, ["}", "{", "class ", "\n", ";", "(", "use ", "$this->", "?>"]),
+    )
+    for module, text, signs in cases:
+        ext = module.EXTENSIONS[0]
+        texts = [text] + [text[:i] + signs[i % len(signs)] + text[i + i % 4:] for i in range(0, len(text), 7)]
+        rows = [(f"f{i}{ext}", t) for i, t in enumerate(texts)] + [(f"f1{ext}", texts[1]), (None, text), (f"e{ext}", ""), (f"n{ext}", None)]
+        files = spark.createDataFrame(rows, "file_path string, text string")
+        name = module.__name__.rpartition(".")[2]
+        want, got = assemble(module._scan(files), name), module.extract(files)
+        for table in ("symbols", "refs", "inheritance", "errors"):
+            one, other = (Counter(tuple(r) for r in getattr(e, table).collect()) for e in (got, want))
+            assert one == other and one
+
+
+def test_no_token_becomes_a_row(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(facts, "materialize", lambda df, label: plans.append(_plan(df)) or materialize(df, label))
+    for module, text in ((typescript, TS_TEXT), (php, PHP_TEXT)):
+        module.extract(spark.createDataFrame([("a" + module.EXTENSIONS[0], text)], "file_path string, text string"))
+    assert len(plans) == 2 and not any(step in plan for plan in plans for step in ("Window", "Generate"))
+    assert all(plan.count("Exchange") == 1 and "MapInArrow" in plan for plan in plans)
+
+
+def test_calls_meet_symbols_in_time_that_grows_with_both():
+    n = 20_000
+    found = [(i, "symbol", f"A{i}", "method", "", 1, 2 * n - i) for i in range(n)] + [(n + i, "call", "f", "new", "", i + 1, i + 1) for i in range(n)]
+    began = time.monotonic()
+    around = {r[6]: r[8] for r in structure.linked("a.ts", found) if r[2] == "call"}
+    assert around == {i: f"A{n - 1}" for i in range(1, n + 1)} and time.monotonic() - began < 20
